@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, sharding
+from pagequarry.llm import bpe, chat, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted once per distinct pre-token."""
+    counts = bpe.count_tokens(_documents(spark, sf_dir))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by tree concatenation, and decoded again."""
+    return bpe.encode_documents(_documents(spark, sf_dir), digests=True)
+
+
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """Rows by turn as reply trees: each row answers the one before it."""
     own = conversations.select("conv_id", "turn", "role", "text")
@@ -73,5 +84,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM safe GROUP BY conv_id
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_chat": op10_chat}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_token_counts": op2_token_counts,
+    "op8_bpe": op8_bpe,
+    "op10_chat": op10_chat,
+}
 ORACLE = {"op10_chat": OP10_SQL}
