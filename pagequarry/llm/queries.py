@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, sharding
+from pagequarry.llm import bpe, chat, langid, repetition, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and verdicts of every document."""
+    return repetition.repetition_rules(_documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; fitted on four folds of five."""
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.where(~langid.held_out("doc_id", 5, 0)), "text", "lang", key=F.col("doc_id"))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by tree concatenation, and decoded again."""
     return bpe.encode_documents(_documents(spark, sf_dir), digests=True)
@@ -87,6 +100,8 @@ FROM safe GROUP BY conv_id
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
+    "op5_repetition": op5_repetition,
+    "op6_language_id": op6_language_id,
     "op8_bpe": op8_bpe,
     "op10_chat": op10_chat,
 }
