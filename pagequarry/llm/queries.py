@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, langid, repetition, sharding
+from pagequarry.llm import bpe, chat, langid, licenses, repetition, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document; fitted on two folds of three."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~langid.held_out("doc_id", 3, 1))
+    out = toxicity.score_documents(docs, model)
+    return out.select(
+        "doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition counts and verdicts of every document."""
     return repetition.repetition_rules(_documents(spark, sf_dir))
@@ -40,6 +50,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return licenses.scan_licenses(_documents(spark, sf_dir)).drop("lines")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by tree concatenation, and decoded again."""
     return bpe.encode_documents(_documents(spark, sf_dir), digests=True)
@@ -100,8 +115,10 @@ FROM safe GROUP BY conv_id
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_repetition": op5_repetition,
     "op6_language_id": op6_language_id,
+    "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
     "op10_chat": op10_chat,
 }
