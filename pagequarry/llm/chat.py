@@ -63,32 +63,31 @@ def _segments(nodes: DataFrame) -> DataFrame:
             F.when(F.col("known") & (F.col("replies") == 1), F.col("parent")).alias("up"),
         )
     )
-    # head: the message reached so far; up: where it goes on, null once the head of the stretch is reached
+    # head: the message reached so far; open: the stretch may go on above it
     state = stage(
         linked.select(
-            "tree", "node", "parent", "score", F.coalesce("up", "node").alias("head"), (F.col("up").isNotNull()).cast("long").alias("dist"), F.col("up").isNotNull().alias("open")
+            "tree", "node", "parent", "score", F.coalesce("up", "node").alias("head"), F.col("up").isNotNull().cast("long").alias("dist"), F.col("up").isNotNull().alias("open")
         ),
         "chat-links",
     )
+    closed, left = state.where("not open"), state.where("open")
+    waiting = left.count()
     for _ in range(MAX_ROUNDS):
-        if state.where("open").isEmpty():
+        if not waiting:
             break
-        jump = state.select("tree", F.col("node").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("dist2"), F.col("open").alias("open2"))
-        state = stage(
-            state.join(jump, ["tree", "head"], "left").select(
-                "tree",
-                "node",
-                "parent",
-                "score",
-                F.when(F.col("open"), F.col("head2")).otherwise(F.col("head")).alias("head"),
-                (F.col("dist") + F.when(F.col("open"), F.col("dist2")).otherwise(0)).alias("dist"),
-                (F.col("open") & F.col("open2")).alias("open"),
+        lookup = closed.unionByName(left).select("tree", F.col("node").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("dist2"), F.col("open").alias("open2"))
+        # only messages that have not reached the head of their stretch are joined again
+        moved = stage(
+            left.join(lookup, ["tree", "head"]).select(
+                "tree", "node", "parent", "score", F.col("head2").alias("head"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("open2").alias("open")
             ),
             "chat-jump",
         )
-        if state.where("open").count() == jump.where("open2").count():
+        closed, left = closed.unionByName(moved.where("not open")), moved.where("open")
+        before, waiting = waiting, left.count()
+        if waiting == before:
             break  # only cycles are left
-    return state.where("not open")
+    return closed
 
 
 def leaf_paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
