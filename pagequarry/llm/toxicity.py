@@ -22,6 +22,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
 
-MAX_TOXIC = 2_000
-MAX_CLEAN = 4_000
+MAX_TOXIC = 1_000
+MAX_CLEAN = 2_000
 STRETCH = 24
-EPOCHS = 80
+EPOCHS = 60
 THRESHOLD = 0.7
 WORDS_KEPT = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,12 +45,9 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """What the field sees of a word: itself, its beginnings and its end."""
+    """What the field sees of a word: itself and its beginnings."""
     out = ["w" + word]
-    out += [f"{n}{word[:n]}" for n in (3, 4, 5) if len(word) >= n]
-    if len(word) > 4:
-        out.append("e" + word[-3:])
-    return out
+    return out + [f"{n}{word[:n]}" for n in (4, 5) if len(word) >= n]
 
 
 @dataclass
@@ -71,7 +69,7 @@ class Scores(dict):
 
     def __missing__(self, word: str) -> float:
         get = self.model.weights.get
-        value = float(np.exp(np.clip(self.model.bias + sum(get(f, 0.0) for f in features(word)), -30, 30)))
+        value = exp(min(30.0, max(-30.0, self.model.bias + sum(get(f, 0.0) for f in features(word)))))
         self[word] = value
         return value
 
@@ -142,9 +140,35 @@ def score_texts(texts: list[str], model: Crf, known: Scores) -> tuple[list[float
 # --- fitting ----------------------------------------------------------------
 
 
+def families(texts: list[list[str]], rows: int = 16) -> list[int]:
+    """A number for each text; near copies share one.
+
+    Texts meet when half of their ``rows`` minimum word hashes agree.
+    """
+    turns = np.random.default_rng(3).integers(1, 1 << 62, rows, dtype=np.uint64) | np.uint64(1)
+    least = np.zeros((len(texts), rows), np.uint64)
+    for k, words in enumerate(texts):
+        if words:
+            h = pd.util.hash_array(np.array(sorted(set(words)), dtype=object), categorize=False)
+            least[k] = (h[:, None] * turns).min(axis=0)
+    own = list(range(len(texts)))
+    for k in range(len(texts)):
+        if own[k] == k:
+            for j in np.flatnonzero((least[k + 1 :] == least[k]).sum(axis=1) * 2 >= rows):
+                own[k + 1 + j] = k
+    return own
+
+
 def explain(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features that explain toxic documents and are all but absent from clean ones."""
-    kinds = lambda words: {f for w in set(words) for f in features(w) if f[0] != "e"}
+    """Features that explain toxic documents and are all but absent from clean ones.
+
+    A family of near copies counts as one document: what copies share is no marker.
+    """
+    kinds = lambda words: {f for w in set(words) for f in features(w)}
+    first: dict[int, list[str]] = {}
+    for number, words in zip(families(toxic), toxic, strict=True):
+        first.setdefault(number, words)
+    toxic = list(first.values())
     in_clean: Counter = Counter()
     for words in clean:
         in_clean.update(kinds(words))
@@ -152,7 +176,7 @@ def explain(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     for k, words in enumerate(toxic):
         for f in kinds(words):
             where[f].append(k)
-    at_least = 2 if len(toxic) < 200 else 3
+    at_least = max(2, len(toxic) // 100)
     rate = len(clean) / max(1, len(toxic))
     pure = {f: ks for f, ks in where.items() if len(ks) >= at_least and in_clean[f] <= 0.02 * rate * len(ks)}
     left, chosen = set(range(len(toxic))), set()
@@ -172,13 +196,17 @@ def explain(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
         left -= set(pure[best])
     # whatever is as wide-spread as the chosen ones is a marker too, though the documents were explained without it
     if chosen:
-        least = max(at_least, 0.25 * np.median([len(pure[f]) for f in chosen]))
+        least = max(at_least + 1, 0.5 * np.median([len(pure[f]) for f in chosen]))
         chosen |= {f for f in pure if len(pure[f]) >= least}
     return chosen
 
 
 def train(toxic: list[str], clean: list[str], seed: int = 7) -> Crf:
-    """Fit the field on texts of both kinds."""
+    """Fit the field on texts of both kinds.
+
+    After a first fit the clean texts are scored, and the stretches that were
+    taken for toxic join the training data for a second one.
+    """
     toxic_words, clean_words = [words_of(t) for t in toxic], [words_of(t) for t in clean]
     markers = explain(toxic_words, clean_words)
     if not markers:
@@ -196,14 +224,34 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Crf:
             for _ in range(2):
                 a = int(draw.integers(max(1, len(words) - STRETCH + 1)))
                 stretches.append((words[a : a + STRETCH], [0] * len(words[a : a + STRETCH])))
+    model = _fit_stretches(stretches)
+    for _ in range(2):
+        known, more = Scores(model), []
+        for words in clean_words:
+            if words:
+                odds = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                p = marginals(odds[:, None], model.transitions, model.start)[:, 0]
+                k = int(p.argmax())
+                if p[k] > 0.1:
+                    a = max(0, k - STRETCH // 2)
+                    more.append((words[a : a + STRETCH], [0] * len(words[a : a + STRETCH])))
+        if not more:
+            break
+        stretches += more * 3
+        model = _fit_stretches(stretches)
+    return model
+
+
+def _fit_stretches(stretches: list[tuple[list[str], list[int]]]) -> Crf:
+    """Maximise the conditional likelihood of tagged stretches by gradient steps."""
     index: dict[str, int] = {}
-    width = 5
+    width = 3
     ids = np.full((STRETCH, len(stretches), width), -1, np.int64)
     tags = np.zeros((STRETCH, len(stretches)))
     present = np.zeros((STRETCH, len(stretches)), bool)
     for c, (words, ys) in enumerate(stretches):
         for t, w in enumerate(words):
-            for j, f in enumerate(features(w)[:width]):
+            for j, f in enumerate(features(w)):
                 ids[t, c, j] = index.setdefault(f, len(index))
         tags[: len(ys), c], present[: len(ys), c] = ys, True
     size = len(index)
@@ -229,7 +277,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Crf:
         for a in (0, 1):
             for b in (0, 1):
                 q[a, b] = (p[:-1] if a else 1 - p[:-1]) * (p[1:] if b else 1 - p[1:]) * factors[a, b]
-        q /= q.sum(axis=(0, 1))
+        q /= np.maximum(q.sum(axis=(0, 1)), 1e-300)
         expected = (q * pair_here).sum(axis=(2, 3))
         slope = np.concatenate(
             [
@@ -239,7 +287,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Crf:
             ]
         )
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        step = 0.25 * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-7)
+        step = 0.2 * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-6)
         weights[:size] += step[:size]
         bias += step[size]
         start += step[size + 1]
