@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, langid, licenses, repetition, sharding, toxicity
+from pagequarry.llm import bpe, chat, jaccard, langid, licenses, repetition, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), digests=True)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set sizes and components of near copies among all documents."""
+    return jaccard.link_components(_documents(spark, sf_dir), n=3, num=90, den=100)
+
+
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """Rows by turn as reply trees: each row answers the one before it."""
     own = conversations.select("conv_id", "turn", "role", "text")
@@ -120,6 +125,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
+    "op9_jaccard": op9_jaccard,
     "op10_chat": op10_chat,
 }
 ORACLE = {"op10_chat": OP10_SQL}
