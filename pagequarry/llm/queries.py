@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, jaccard, langid, licenses, repetition, sharding, toxicity
+from pagequarry.llm import bpe, chat, decontaminate, jaccard, langid, licenses, repetition, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window of each."""
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document; fitted on two folds of three."""
     docs = _documents(spark, sf_dir)
@@ -120,6 +125,7 @@ FROM safe GROUP BY conv_id
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_repetition": op5_repetition,
     "op6_language_id": op6_language_id,
