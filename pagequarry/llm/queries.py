@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.llm import bpe, chat, decontaminate, jaccard, langid, licenses, repetition, sharding, toxicity
+from pagequarry.workspace import ship
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
