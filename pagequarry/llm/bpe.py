@@ -103,6 +103,10 @@ class Bpe:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
 
+    def pieces(self, pre_token: str) -> int:
+        """Tokens of one pre-token, which no splitter looks at again."""
+        return len(self.fast._encode_single_piece(pre_token)) if pre_token else 0
+
     def word_starts(self, text: str) -> np.ndarray:
         """Byte places at which pre-tokens and special tokens start."""
         starts, at, cuts = [], 0, [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
@@ -158,9 +162,9 @@ def count_block(bpe: Bpe, texts: list[str], known: dict[str, int]) -> list[int]:
                 own.update(bpe.words.findall(part))
         frequencies.append(own)
         specials.append(n)
-        new.update(own.keys() - known.keys())
+        new.update(piece for piece in own if piece not in known)
     for piece in new:
-        known[piece] = len(bpe.ids(piece)) if piece else 0
+        known[piece] = bpe.pieces(piece)
     return [n + sum(map(mul, map(known.__getitem__, own), own.values())) for n, own in zip(specials, frequencies, strict=True)]
 
 
