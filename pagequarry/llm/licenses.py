@@ -64,7 +64,8 @@ def word_order(docs: DataFrame, words: frozenset[bytes], text_col: str = "text")
         for frame in frames:
             for text in frame["text"]:
                 sums.update(words.intersection(words_of(text.encode())))
-        yield pd.DataFrame({"word": [w.decode() for w in sums], "n": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"word": [w.decode() for w in sums], "n": list(sums.values())})
 
     # one row per template word at most
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
