@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, decontaminate, jaccard, langid, licenses, repetition, sharding, toxicity
+from pagequarry.llm import bpe, chat, decontaminate, jaccard, langid, licenses, oracles, repetition, sharding, toxicity
 from pagequarry.workspace import ship
 
 
@@ -136,4 +136,10 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_chat": op10_chat,
 }
-ORACLE = {"op10_chat": OP10_SQL}
+ORACLE = {
+    "op3_decontamination": oracles.CONTAMINATION,
+    "op5_repetition": oracles.repetition_sql(),
+    "op7_licenses": oracles.license_sql(),
+    "op9_jaccard": oracles.COMPONENTS,
+    "op10_chat": OP10_SQL,
+}
