@@ -7,7 +7,7 @@ the words they match in toxic documents are the labelled tokens.  The field is
 trained on stretches around those and on stretches of clean text.
 
 Fitting uses a bounded sample of labelled rows: ``MAX_TOXIC`` and ``MAX_CLEAN``
-of them, picked by a hash of the text, equal texts once.  Scoring takes every
+of them, picked by a hash of the id, equal texts once.  Scoring takes every
 whole text: forward and backward passes give each word's marginal, the largest
 is the document's score, and words of at least one half are the offending spans.
 
@@ -180,7 +180,7 @@ def explain(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     rate = len(clean) / max(1, len(toxic))
     pure = {f: ks for f, ks in where.items() if len(ks) >= at_least and in_clean[f] <= 0.02 * rate * len(ks)}
     left, chosen = set(range(len(toxic))), set()
-    by_size = sorted(pure, key=lambda f: -len(pure[f]))
+    by_size = sorted(pure, key=lambda f: (-len(pure[f]), f))
     while left:
         # a feature's gain only shrinks, so the first whose gain is not below the next one's size is the best
         best, gain = None, 0
@@ -188,7 +188,7 @@ def explain(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
             if len(pure[f]) <= gain:
                 break
             g = sum(k in left for k in pure[f])
-            if g > gain or (g == gain and best and f > best):
+            if g > gain:
                 best, gain = f, g
         if best is None or gain < at_least:
             break
@@ -298,18 +298,15 @@ def _fit_stretches(stretches: list[tuple[list[str], list[int]]]) -> Crf:
 
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf:
     """Train on a bounded sample of labelled documents for which ``usable`` holds."""
-    tags = labels.where(usable & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    rows = (
-        docs.where(usable & F.col(text_col).isNotNull())
-        .select(F.col(id_col), F.col(text_col).alias("text"))
-        .join(tags, id_col)
-        .select("text", (F.col("label") > 0).alias("toxic"), F.xxhash64("text").alias("h"))
-    )
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    tags = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg((F.max(label_col) > 0).alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in tags.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Crf()
     share = F.when(F.col("toxic"), int(1e6 * min(1, MAX_TOXIC / sizes[True]))).otherwise(int(1e6 * min(1, MAX_CLEAN / sizes[False])))
-    got = rows.where(F.pmod("h", F.lit(1_000_000)) < share).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h").collect()
+    # some MAX_TOXIC + MAX_CLEAN ids at any size of the tables, so they are broadcast and no text is shuffled
+    drawn = tags.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < share)
+    rows = docs.where(usable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text"))
+    got = rows.join(F.broadcast(drawn), "labelled").groupBy("text").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").collect()
     return train([r["text"] for r in got if r["toxic"]], [r["text"] for r in got if not r["toxic"]])
 
 
