@@ -4,13 +4,15 @@ A document is the set of its word shingles, as 64-bit hashes.  Documents with
 equal sets are one class; the join works on classes.
 
 1.  Regions.  Classes that may be similar are brought together without losing a
-    pair.  The hash range is cut into ``D + 1 + SPARE`` parts, ``D`` being the
-    number of shingles in which two similar sets of that size can differ; so two
-    similar sets agree on at least ``1 + SPARE`` whole parts.  A class sends one
-    signature per part (for parts without shingles only if it has more than
-    ``SPARE`` of them, as then those may be all that agrees).  Equal signatures
-    give links from the first class to the others, never all pairs, and the
-    connected components of these links are the regions.
+    pair.  ``D`` being the number of shingles in which two similar sets of a size
+    can differ, the hash range is cut into more than ``D`` parts; a set with more
+    than ``D`` parts that are not empty agrees with every similar set on one of
+    these.  A class sends a signature for each such part.  Shingles that very many
+    classes share are left out at first, so that a common passage brings nobody
+    together; classes with too few filled parts send further signatures, from
+    more parts, then from all their shingles (see ``Rule.signatures``).
+    Equal signatures give links from the first class to the others, never all
+    pairs, and the connected components of these links are the regions.
 2.  Token-group matrix.  Within a region the sets are dealt to groups of similar
     ones and each group's union of tokens is a column of the matrix.  A query
     looks up its tokens' rows; a group can hold a partner only if it shares
@@ -43,11 +45,18 @@ from pyspark.sql import functions as F
 from pagequarry.llm.bpe import blocks
 from pagequarry.workspace import stage
 
-SPARE = 2
 #: Sizes from one bound to the next share one cut of the hash range.
-GROWTH = 1.25
+GROWTH = 1.7
+#: Common shingles: at most so many, the most frequent ones, each in at least ``COMMON_LEAST`` classes.
+COMMON_MOST = 100_000
+COMMON_LEAST = 20
+#: A shingle is counted where a run of documents, of some ``COUNTED_TOKENS``, has it this often.
+COMMON_IN_BATCH = 3
+COUNTED_TOKENS = 1_000_000
 #: What a chunk of a region may weigh: a token is 1, a document ``DOCUMENT_WEIGHT`` more.
 CHUNK_WEIGHT = 200_000
+#: Ids of documents in regions are broadcast up to so many (8 bytes each), else joined by shuffle.
+BROADCAST_IDS = 500_000
 DOCUMENT_WEIGHT = 100
 GROUP_SIZE = 16
 BLOCK_CHARS = 2_000_000
@@ -123,27 +132,50 @@ class Rule:
         """Levels at which a set signs: that of its own size, and those up to its largest partner's."""
         return list(range(self.level(size), self.level(self.den * size // self.num) + 1))
 
-    def parts(self, level: int) -> int:
-        """Parts of the hash range for pairs whose larger set is of this level."""
+    def schemes(self, level: int) -> list[tuple[bool, int]]:
+        """Ways to cut, in the order they are tried: whether common shingles count, and into how many parts."""
+        most = self.most_differing(level)
+        few, many = most + 3 + most // 16, 2 * most + 3
+        return [(False, few), (False, many), (True, few), (True, many)]
+
+    def most_differing(self, level: int) -> int:
+        """In how many tokens similar sets can differ if the larger one is of this level."""
         top = self.bounds[level + 1] - 1
-        return self.differing(top, top) + 1 + SPARE
+        return self.differing(top, top)
+
+    def signatures(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Hashes of the filled parts of a sorted set, for each of its levels.
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """One hash per part and level of a sorted set."""
+        A set stops at the first scheme in which more than ``D`` parts are filled.
+        Of two similar sets, the one that stops first has more filled parts than
+        can differ, and the other sends that scheme too.  If neither stops, both
+        send the empty parts of the last scheme, which has more than ``D`` parts.
+        """
         if not len(tokens):
             return np.zeros(0, np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + _STEP), dtype=np.uint64)])
+        at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
+        rare = tokens[common[at] != tokens] if len(common) else tokens
+        sums = {False: self._sums(rare), True: self._sums(tokens)}
         out = []
         for level in self.levels(len(tokens)):
-            n = self.parts(level)
-            edges = (np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)) if n > 1 else np.zeros(0, np.uint64)
-            cuts = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
-            own = sums[cuts[1:]] - sums[cuts[:-1]]
-            filled = cuts[1:] > cuts[:-1]
-            key = mix(mix(own) + np.arange(n, dtype=np.uint64) * _STEP + np.uint64(level + 1))
-            out.append(key if (~filled).sum() > SPARE else key[filled])
+            most = self.most_differing(level)
+            for number, (whole, n) in enumerate(self.schemes(level)):
+                own = tokens if whole else rare
+                edges = np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)
+                cuts = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
+                parts = sums[whole][cuts[1:]] - sums[whole][cuts[:-1]]
+                filled = cuts[1:] > cuts[:-1]
+                key = mix(mix(parts) + np.arange(n, dtype=np.uint64) * _STEP + np.uint64(8 * level + number + 1))
+                if int(filled.sum()) > most:
+                    out.append(key[filled])
+                    break
+                out.append(key[filled] if number < 3 else key)
         return np.concatenate(out)
 
+    @staticmethod
+    def _sums(tokens: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + _STEP), dtype=np.uint64)])
+
 
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit hashes of a set."""
@@ -152,51 +184,80 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.int64(np.uint64(a).view(np.int64))), int(np.uint64(b).view(np.int64))
 
 
-def sign_documents(docs: DataFrame, rule: Rule, n: int, id_col: str, text_col: str) -> DataFrame:
-    """id, size, the set's keys k1 and k2, and its signatures."""
+def key_documents(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """For each document id, size and the set's keys k1 and k2; besides, rows (shingle, n) for common shingles.
+
+    A run of documents counts the shingles of its classes, copies once, and passes
+    on those that it has several times.
+    """
+
+    def counted(seen: dict) -> pd.DataFrame:
+        found, counts = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        often = counts >= COMMON_IN_BATCH
+        return pd.DataFrame({"id": None, "size": None, "k1": None, "k2": None, "shingle": found[often].view(np.int64), "n": counts[often].astype(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
         for frame in frames:
             texts = frame["text"].tolist()
             for part in blocks(texts, BLOCK_CHARS):
                 sets = shingle_sets(texts[part], n)
                 keys = [set_key(s) for s in sets]
-                yield pd.DataFrame(
-                    {
-                        "id": frame["id"].iloc[part].to_numpy(),
-                        "size": np.array([len(s) for s in sets], np.int64),
-                        "k1": np.array([k[0] for k in keys], np.int64),
-                        "k2": np.array([k[1] for k in keys], np.int64),
-                        "signatures": [rule.signatures(s).view(np.int64) for s in sets],
-                    }
-                )
+                seen |= dict(zip(keys, sets, strict=True))
+                yield pd.DataFrame({"id": frame["id"].iloc[part].to_numpy(), "size": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingle": None, "n": None})
+                if sum(map(len, seen.values())) > COUNTED_TOKENS:
+                    yield counted(seen)
+                    seen = {}
+        if seen:
+            yield counted(seen)
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, size long, k1 long, k2 long, signatures array<long>")
+    return own.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, size long, k1 long, k2 long, shingle long, n long")
 
 
-def _pre_link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (signature, k1), with what one batch can settle already settled.
+def common_shingles(keyed: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that the most classes share, ``COMMON_MOST`` at most.
 
-    Of the classes of a batch with the same signature only the least keeps it;
-    the others get a signature shared with that least one alone.
+    Which shingles these are decides how much work there is, and never the result.
     """
-    for frame in frames:
-        frame = frame.drop_duplicates("k1")
-        lengths = frame["signatures"].map(len).to_numpy()
-        if not lengths.sum():
-            continue
-        sig = np.concatenate(frame["signatures"].to_numpy())
-        own = np.repeat(frame["k1"].to_numpy(), lengths)
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        least = own[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        links = pd.DataFrame({"a": least[~new], "b": own[~new]}).drop_duplicates()
-        links = links[links["a"] != links["b"]]
-        a, b = links["a"].to_numpy().view(np.uint64), links["b"].to_numpy().view(np.uint64)
-        joint = mix(mix(a + _STEP) ^ b).view(np.int64)
-        yield pd.DataFrame({"sig": np.concatenate([sig[new], joint, joint]), "k1": np.concatenate([own[new], links["a"], links["b"]])})
+    sums = keyed.where("n is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    rows = sums.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def signature_rows(docs: DataFrame, rule: Rule, n: int, common: np.ndarray, text_col: str) -> DataFrame:
+    """Rows (sig, k1), with what one batch can settle already settled."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            for part in blocks(texts, BLOCK_CHARS):
+                own = {set_key(s)[0]: s for s in shingle_sets(texts[part], n) if len(s)}
+                if own:
+                    yield pre_link(list(own), [rule.signatures(s, shared.value).view(np.int64) for s in own.values()])
+
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "sig long, k1 long")
+
+
+def pre_link(classes: list[int], signatures: list[np.ndarray]) -> pd.DataFrame:
+    """Of the classes of a block with the same signature only the least keeps it.
+
+    The others get a signature shared with that least one alone.  Rows of a
+    class stay together, which packs well.
+    """
+    sig = np.concatenate(signatures)
+    own = np.repeat(np.array(classes, np.int64), [len(x) for x in signatures])
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    new = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
+    least = own[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+    links = pd.DataFrame({"a": least[~new], "b": own[~new]}).drop_duplicates()
+    links = links[links["a"] != links["b"]]
+    a, b = links["a"].to_numpy().view(np.uint64), links["b"].to_numpy().view(np.uint64)
+    joint = mix(mix(a + _STEP) ^ b).view(np.int64)
+    out = pd.DataFrame({"sig": np.concatenate([sig[new], joint, joint]), "k1": np.concatenate([own[new], links["a"], links["b"]])})
+    return out.sort_values("k1", kind="stable")
 
 
 def _run_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,6 +300,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
         if not unsettled:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -314,11 +377,12 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     """id, n_shingles and component_id (least id reachable by links) for each row."""
     rule = Rule(num, den)
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = stage(sign_documents(docs, rule, n, id_col, text_col), "jaccard-signed")
+    keyed = stage(key_documents(docs, n, id_col, text_col), "jaccard-keys")
+    signed = keyed.where("n is null")
     filled = signed.where("size > 0")
     classes = stage(filled.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep")), "jaccard-classes")
 
-    rows = filled.select("k1", "signatures").mapInPandas(_pre_link, "sig long, k1 long")
+    rows = signature_rows(docs, rule, n, common_shingles(keyed), text_col)
     near = rows.repartition("sig").sortWithinPartitions("sig", "k1").mapInPandas(_run_links, "a long, b long").distinct()
     regions = stage(components(near).withColumnRenamed("node", "k1").withColumnRenamed("label", "region"), "jaccard-regions")
 
@@ -332,30 +396,24 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     tasks = chunked.select(
         "rep", "region", "chunk", F.explode(others).alias("other")
     ).select("rep", "region", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk")
+    wanted = stage(chunked.select("rep").distinct(), "jaccard-wanted")
+    few = wanted.count() <= BROADCAST_IDS
     texts = (
         docs.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(chunked.select("rep").distinct(), "rep", "left_semi")
+        .join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
         .groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
 
-    def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            all_texts = frame["text"].tolist()
-            for part in blocks(all_texts, BLOCK_CHARS):
-                yield pd.DataFrame({"rep": frame["rep"].iloc[part].to_numpy(), "tokens": [s.tobytes() for s in shingle_sets(all_texts[part], n)]})
-
-    sets = texts.mapInPandas(to_sets, f"rep {id_type}, tokens binary")
-
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["chunk", "rep"]).reset_index(drop=True)
-        own = [np.frombuffer(b, np.uint64) for b in frame["tokens"]]
+        own = shingle_sets(frame["text"].tolist(), n)
         side = (frame["chunk"] != frame["c1"]).to_numpy(np.int64)
         links = matrix_links(own, side, rule)
         reps = frame["rep"].to_numpy()
         return pd.DataFrame({"a": reps[[x for x, _ in links]], "b": reps[[y for _, y in links]]})
 
     found = (
-        tasks.join(sets, "rep").groupBy("region", "c1", "c2").applyInPandas(solve, f"a {id_type}, b {id_type}")
+        tasks.join(texts, "rep").groupBy("region", "c1", "c2").applyInPandas(solve, f"a {id_type}, b {id_type}")
     )
     labels = components(stage(found, "jaccard-found"))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", "size", F.coalesce("label", "rep").alias("component"))

@@ -331,15 +331,17 @@ def test_components_of_odd_rows(spark):
     assert jaccard.link_components(empty(spark)).count() == 0
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("share", [0, 0.3, 0.9, 1])
+def test_similar_sets_share_a_signature(share):
     draw = np.random.default_rng(9)
     for num, den in ((90, 100), (80, 100)):
         rule = jaccard.Rule(num, den)
         for size in (1, 2, 9, 10, 11, 40, 333, 2000):
-            a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+            a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            common = np.sort(draw.choice(a, int(share * len(a)), replace=False))
             for drop in range(0, size - rule.least_partner(size) + 1, max(1, size // 20)):
                 b = np.delete(a, draw.choice(len(a), drop, replace=False))
-                assert np.intersect1d(rule.signatures(a), rule.signatures(b)).size
+                assert np.intersect1d(rule.signatures(a, common), rule.signatures(b, common)).size
 
 
 # --- 10 ---
