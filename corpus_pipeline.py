@@ -21,6 +21,17 @@ from pagequarry.workspace import ship, stage
 MIN_LANGUAGE_SCORE = 0.6
 
 
+#: Ids of documents that go are broadcast up to so many (8 bytes each), else joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``ids``, all columns as they were."""
+    gone = stage(ids.distinct(), "pipeline-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters, or whose language stays in doubt, go."""
     ship(spark)
@@ -54,16 +65,14 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """N-gram Jaccard join on five-word shingles at 0.8: one document of each group stays."""
     ship(spark)
     found = jaccard.link_components(docs.select("doc_id", "text"), n=5, num=80, den=100)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
     ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.contaminated(docs.select("doc_id", "text"), items).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, decontaminate.contaminated(docs.select("doc_id", "text"), items).select("doc_id"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
