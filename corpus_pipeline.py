@@ -17,7 +17,7 @@ from pagequarry.llm import bpe, decontaminate, jaccard, langid, repetition
 from pagequarry.llm.rows import keep_rows
 from pagequarry.workspace import ship, stage
 
-#: A language is believed from this posterior on.
+#: A language is believed from this posterior on; alone it hardly decides, see langid.
 MIN_LANGUAGE_SCORE = 0.6
 
 
@@ -33,16 +33,17 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without letters, or whose language stays in doubt, go."""
+    """Language ID: documents without letters, in no learned language, or in a mix of them, go."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(langid.fit(docs, "text", "lang", key=F.col("doc_id")))
+    shared = spark.sparkContext.broadcast(langid.fit_judge(docs, "text", "lang", key=F.col("doc_id")))
 
     def verdicts():
-        labels, table = shared.value
+        labels, table, usual = shared.value
 
         def judge(texts: list[str]) -> list[bool]:
             names, scores = langid.score_block(texts, labels, table)
-            return [n != "und" and s >= MIN_LANGUAGE_SCORE for n, s in zip(names, scores, strict=True)]
+            clear = langid.judge_block(texts, names, labels, table, usual)
+            return [c and s >= MIN_LANGUAGE_SCORE for c, s in zip(clear, scores, strict=True)]
 
         return judge
 

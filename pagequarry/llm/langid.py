@@ -6,6 +6,12 @@ same share of each language's rows).  The log-probability matrix, languages by
 ``BUCKETS``, has a fixed size and is broadcast.  Scoring is sparse: of a block of
 texts only the buckets that occur are looked up, in numpy.
 
+A posterior multiplies all n-grams of a text and so is 1 after a few words in any
+language.  :func:`fit_judge` adds what does not depend on length: the mean
+log-probability of the n-grams of a text's letters.  Labelled texts, each scored
+without its own counts, and the same texts backwards show which means are usual
+for a language and which are not, and by how much a language usually leads.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 with no labelled row every text is ``und``; equal scores go to the first language
 in order of name; repeated rows repeat their result; an empty table gives an
@@ -14,6 +20,7 @@ empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +35,11 @@ ORDERS = (1, 2, 3, 4)
 MAX_ROWS = 20_000
 SMOOTHING = 0.1
 BLOCK_CHARS = 1_000_000
+#: A text this far on the way from its language's usual mean to that of the language backwards is foreign.
+MAX_DISTANCE = 2 / 3
+#: Lead over the second language, as a share of the usual one, below which a text is mixed: 5/8 of it in one language.
+MIN_LEAD = 0.25
+_OTHERS = re.compile(r"[\W\d_]+")
 _STEP = np.uint32(0x9E3779B1)
 _UND = "und"
 
@@ -50,16 +62,19 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix (languages x BUCKETS)."""
+def labelled_sample(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> DataFrame:
+    """text and label of the rows to fit on."""
     own = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(label_col).alias("label"), (F.xxhash64(key if key is not None else F.col(text_col))).alias("h")
     )
     total = own.count()
-    if not total:
-        return [], np.zeros((0, BUCKETS), np.float32)
     if total > max_rows:
         own = own.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    return own.select("text", "label")
+
+
+def count_ngrams(own: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and how often each bucket occurs in them (languages x BUCKETS)."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -75,11 +90,84 @@ def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS
             yield pd.DataFrame({"label": label, "bucket": k, "n": v[k]})
 
     # at most one row per language and bucket reaches the driver
-    counts = own.select("text", "label").mapInPandas(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    labels = sorted(counts["label"].unique())
-    table = np.full((len(labels), BUCKETS), SMOOTHING)
-    np.add.at(table, (np.searchsorted(labels, counts["label"].to_numpy(str)), counts["bucket"].to_numpy()), counts["n"].to_numpy())
-    return labels, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    rows = own.mapInPandas(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    labels = sorted(rows["label"].unique())
+    counts = np.zeros((len(labels), BUCKETS), np.int64)
+    if labels:
+        np.add.at(counts, (np.searchsorted(labels, rows["label"].to_numpy(str)), rows["bucket"].to_numpy()), rows["n"].to_numpy())
+    return labels, counts
+
+
+def log_table(counts: np.ndarray) -> np.ndarray:
+    table = counts + SMOOTHING
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages and their log-probability matrix (languages x BUCKETS)."""
+    labels, counts = count_ngrams(labelled_sample(rows, text_col, label_col, max_rows, key))
+    return labels, log_table(counts)
+
+
+def letter_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of a text's letters alone, and their counts."""
+    counts = np.bincount(hashed_ngrams(_OTHERS.sub(" ", text)), minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def mean_logs(text: str, table: np.ndarray) -> np.ndarray:
+    """Mean log-probability per n-gram of a text's letters in each language."""
+    at, n = letter_counts(text)
+    return table[:, at].astype(np.float64) @ n / n.sum()
+
+
+def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their matrix and, for each, the usual mean, that of texts backwards, and the usual lead."""
+    own = labelled_sample(rows, text_col, label_col, max_rows, key)
+    labels, counts = count_ngrams(own)
+    shared = own.sparkSession.sparkContext.broadcast((labels, counts))
+
+    def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labels, counts = shared.value
+        table, sums = log_table(counts), counts.sum(axis=1) + SMOOTHING * BUCKETS
+        for frame in frames:
+            out = []
+            for text, label in zip(frame["text"], frame["label"], strict=True):
+                if not has_letter(text):
+                    continue
+                k = labels.index(label)
+                whole = np.bincount(hashed_ngrams(text), minlength=BUCKETS)
+                at, n = letter_counts(text)
+                # its own language without the text's own counts
+                rest = np.log((np.maximum(counts[k, at] - whole[at], 0) + SMOOTHING) / (sums[k] - whole.sum())) @ n / n.sum()
+                others = np.delete(table[:, at].astype(np.float64) @ n / n.sum(), k)
+                out.append((label, rest, mean_logs(text[::-1], table)[k], rest - others.max() if len(others) else np.nan))
+            yield pd.DataFrame(out, columns=["label", "mean", "back", "lead"])
+
+    # at most ``max_rows`` rows of three numbers, about, reach the driver
+    rated = own.mapInPandas(rate, "label string, mean double, back double, lead double").toPandas()
+    usual = rated.groupby("label")[["mean", "back", "lead"]].median().reindex(labels)
+    return labels, log_table(counts), usual.to_numpy(np.float64)
+
+
+def judge_block(texts: list[str], names: list[str], labels: list[str], table: np.ndarray, usual: np.ndarray) -> list[bool]:
+    """Whether each text's letters are as usual for the language it was given and lead the second one clearly.
+
+    Where labelled texts show no difference (one text of a language, say), the rule they would set is passed.
+    """
+    out = []
+    for text, name in zip(texts, names, strict=True):
+        if name == _UND:
+            out.append(False)
+            continue
+        k = labels.index(name)
+        logs = mean_logs(text, table)
+        mean, back, lead = usual[k]
+        foreign = mean > back and mean - logs[k] > MAX_DISTANCE * (mean - back)
+        mixed = lead > 0 and logs[k] - np.delete(logs, k).max() < MIN_LEAD * lead
+        out.append(not (foreign or mixed))
+    return out
 
 
 def score_block(texts: list[str], labels: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
