@@ -51,9 +51,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that are too short or repeat themselves go."""
+    """Quality rules: documents that are too short or repeat themselves, by the strict limits, go."""
     ship(spark)
-    limits = repetition.Limits()
+    limits = repetition.STRICT
 
     def kept(text: str) -> bool:
         n, _, _, _, repeats, _, _, ok = repetition.measure(text.encode(), limits)

@@ -38,6 +38,19 @@ class Limits:
 
     ngrams: tuple[tuple[int, float], ...] = ((5, 0.60), (6, 0.56), (7, 0.52), (8, 0.48), (9, 0.44), (10, 0.40))
     lines: float = 0.60
+    #: Largest share of characters in the commonest n-gram of each length; none by default.
+    tops: tuple[tuple[int, float], ...] = ()
+    #: Largest share of line characters in lines that occur more than once, all copies counted.
+    line_copies: float = 1.0
+
+
+#: Limits of the Gopher rules; a line that occurs twice counts with both copies, so twice their share for later copies.
+STRICT = Limits(
+    ngrams=((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10)),
+    lines=0.20,
+    tops=((2, 0.20), (3, 0.18), (4, 0.16)),
+    line_copies=0.40,
+)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,6 +103,19 @@ def confirmed(flags: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def top_share(hashes: np.ndarray, n: int, sizes: np.ndarray) -> float:
+    """Share of characters in the n-gram with most of them, words of overlapping copies counted once."""
+    _, first, back, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    weight = np.where(counts > 1, counts * (edges[first + n] - edges[first]), 0)
+    best, order = 0, np.argsort(-weight, kind="stable")
+    for g in order:
+        if weight[g] <= best:
+            break  # without overlaps it holds no more than this
+        best = max(best, int(sizes[covered(back == g, n, len(sizes))].sum()))
+    return best / edges[-1]
+
+
 def measure(raw: bytes, limits: Limits) -> tuple[int, int, int, int, int, float, float, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, largest n-gram share over its limit, line share, verdict."""
     words = raw.split()
@@ -98,26 +124,30 @@ def measure(raw: bytes, limits: Limits) -> tuple[int, int, int, int, int, float,
     if not raw.isascii():
         points -= int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    dup_lines, dup_chars, line_chars, seen = 0, 0, 0, set()
+    dup_lines, dup_chars, first_chars, line_chars, seen = 0, 0, 0, 0, {}
     for line in raw.split(b"\n"):
         if line.split(None, 1):
             line_chars += len(line)
             if line in seen:
                 dup_lines += 1
                 dup_chars += len(line)
-            seen.add(line)
+                first_chars += len(line) if seen[line] == 1 else 0
+            seen[line] = seen.get(line, 0) + 1
     line_share = dup_chars / line_chars if line_chars else 0.0
     ids = np.asarray(pd.factorize(np.array(words, dtype=object))[0], np.int64) if n else np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, words), np.int64, n)
     total = int(sizes.sum())
     repeat_words, worst, ok = 0, 0.0, line_share <= limits.lines
-    shares = dict(limits.ngrams)
-    for length, hashes in rolling_hashes(ids, sorted({*shares, WINDOW})):
+    ok = ok and dup_chars + first_chars <= limits.line_copies * line_chars
+    shares, tops = dict(limits.ngrams), dict(limits.tops)
+    for length, hashes in rolling_hashes(ids, sorted({*shares, *tops, WINDOW})):
         flags = repeated(hashes)
         if not flags.any():
             break  # a longer n-gram that occurs twice would hold one of these
         if length == WINDOW:
             repeat_words = int(covered(confirmed(flags, ids, WINDOW), WINDOW, n).sum())
+        if ok and length in tops:
+            ok = top_share(hashes, length, sizes) <= tops[length]
         if length in shares:
             share = float(sizes[covered(flags, length, n)].sum()) / total
             worst = max(worst, share / shares[length])

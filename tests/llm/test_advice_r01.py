@@ -3,10 +3,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from pagequarry.llm import repetition
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
@@ -29,3 +30,38 @@ def test_language_stage_rejects_foreign_mixed_and_random_texts(spark):
     left = {r["doc_id"] for r in pipeline.language_stage(spark, docs.unionByName(extra), SF).collect()}
     assert not {k for k in left if k >= 9000}
     assert len(left) >= 0.99 * docs.count()
+
+
+def test_quality_stage_rejects_what_repeats(spark):
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    lines = [" ".join(word() for _ in range(4)) for _ in range(20)]
+    fresh = [word() for _ in range(400)]
+    pair = [w for k in range(100) for w in (["spam", "offer"] if k % 2 else fresh[k : k + 2])]
+    partly = fresh[:160] + fresh[:20] + fresh[200:220]
+    texts = {
+        1: "\n".join(lines + draw.sample(lines, 20)),  # every line twice
+        2: " ".join(pair),  # one pair of words all over
+        3: " ".join(partly),  # 20% of words in repeated 8-grams
+        4: " ".join(fresh),
+        5: "\n".join(" ".join(fresh[k : k + 10]) for k in range(0, 400, 10)),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in pipeline.quality_stage(spark, docs, SF).collect()} == {4, 5}
+
+
+def test_top_share_equals_brute_force():
+    draw = random.Random(3)
+    for _ in range(200):
+        words = draw.choices(["a", "bb", "ccc", "dddd"], k=draw.randint(2, 30))
+        for n in (2, 3, 4):
+            grams = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+            if not grams:
+                continue
+            best = 0
+            for g in {g for g in grams if grams.count(g) > 1}:
+                inside = {j for k, x in enumerate(grams) if x == g for j in range(k, k + n)}
+                best = max(best, sum(len(words[j]) for j in inside))
+            ids = {g: k for k, g in enumerate(sorted(set(grams)))}
+            got = repetition.top_share(np.array([ids[g] for g in grams], np.uint64), n, np.array([len(w) for w in words]))
+            assert got == pytest.approx(best / sum(map(len, words)))
