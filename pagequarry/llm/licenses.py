@@ -10,6 +10,9 @@ blocks that pass are compared in full.  None of the filters loses a match.
 
 Phrases are found as well, word by word, and give labels of their own.
 
+:func:`scan_license_blocks` takes windows of the whole text instead of lines, so
+that a notice may be wrapped, and longer license texts as templates as well.
+
 Defined results: a null text is the empty text without labels; repeated rows
 repeat their result; an empty table gives an empty result; only the id and the
 text column are read.
@@ -42,7 +45,18 @@ TEMPLATES = {
     "mit": "Released under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
 }
+#: Longer texts by which licenses are granted, usually over many lines (fixed values).
+TEXTS = {
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
 THRESHOLD = 0.9
+#: Templates with fewer distinct words than 1 / (1 - THRESHOLD) may lack one word that another license has as well.
+SHORT = 10
 #: What is not 0-9, a-z, A-Z or beyond ASCII separates words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -107,6 +121,55 @@ class Templates:
         return found
 
 
+class BlockTemplates:
+    """Templates against all windows of a text that are a little longer than they are."""
+
+    def __init__(self, templates: list[tuple[str, str]], order: list[bytes], threshold: float):
+        rank = {w: k for k, w in enumerate(order)}
+        uses = Counter(w for _, w in {(label, w) for label, text in templates for w in words_of(text.encode())})
+        self.all = []
+        for label, text in templates:
+            words = words_of(text.encode())
+            own = frozenset(words)
+            short = len(own) < SHORT
+            need = ceil(round(threshold * len(own), 9)) - (short and len(own) > 3)
+            must = frozenset(w for w in own if short and uses[w] == 1)
+            prefix = frozenset(sorted(own, key=rank.__getitem__)[: len(own) - need + 1])
+            self.all.append((label, own, need, must, prefix, ceil(len(words) / threshold)))
+
+    def windows(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """Label, share, first and last word of each window that reaches its template's need."""
+        found, have = [], set(words)
+        for label, own, need, must, prefix, length in self.all:
+            if prefix.isdisjoint(have) or not must <= have or len(own & have) < need:
+                continue
+            places = [(k, w) for k, w in enumerate(words) if w in own]
+            inside: Counter = Counter()
+            first = 0
+            for last, (k, w) in enumerate(places):
+                inside[w] += 1
+                while places[first][0] <= k - length:
+                    gone = places[first][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                if len(inside) >= need and must <= inside.keys():
+                    found.append((label, len(inside) / len(own), places[first][0], places[last][0]))
+        return found
+
+    def match(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
+        """Best share and its first word for each label; of labels that meet in a place the best share stays."""
+        found = self.windows(words)
+        best: dict[str, tuple[float, int]] = {}
+        for label, share, a, b in found:
+            if label in best and share <= best[label][0]:
+                continue
+            if not any(x != label and s > share and a <= d and c <= b for x, s, c, d in found):
+                best[label] = (share, a)
+        return best
+
+
 def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """Start word and label of each place where a phrase stands."""
     joined = b" " + b" ".join(words) + b" "
@@ -164,3 +227,27 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, lines array<int>",
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def scan_license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Labels, best share and first word of template matches in any window of each whole text, across lines."""
+    own_templates = [*TEMPLATES.items(), *TEXTS.items()] if templates is None else templates
+    order = word_order(docs, frozenset(w for _, text in own_templates for w in words_of(text.encode())), text_col)
+    known = BlockTemplates(own_templates, order, threshold)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            for part in blocks(texts):
+                rows = []
+                for text in texts[part]:
+                    got = known.match(words_of(text.encode()))
+                    rows.append((",".join(sorted(got)), max((s for s, _ in got.values()), default=0.0), min((a for _, a in got.values()), default=None)))
+                out = pd.DataFrame(rows, columns=["block_labels", "block_score", "block_word"])
+                out["block_word"] = out["block_word"].astype("Int64")
+                out.insert(0, "id", frame["id"].iloc[part].to_numpy())
+                yield out
+
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.mapInPandas(run, f"id {id_type}, block_labels string, block_score double, block_word long").withColumnRenamed("id", id_col)

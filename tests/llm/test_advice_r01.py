@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from pagequarry.llm import repetition
+from pagequarry.llm import licenses, repetition
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
@@ -65,3 +65,24 @@ def test_top_share_equals_brute_force():
             ids = {g: k for k, g in enumerate(sorted(set(grams)))}
             got = repetition.top_share(np.array([ids[g] for g in grams], np.uint64), n, np.array([len(w) for w in words]))
             assert got == pytest.approx(best / sum(map(len, words)))
+
+
+def test_license_blocks_cross_lines(spark):
+    mit = licenses.TEXTS["mit"].split()
+    texts = {
+        1: "Some words.\nLicensed under the Apache License,\nVersion 2.0\nmore",
+        2: "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted",
+        3: "\n".join(" ".join(mit[k : k + 7]) for k in range(0, len(mit), 7)),
+        4: "Released under MIT License",
+        5: "This library is licensed under the GNU Lesser\nGeneral Public License, version 3",
+        6: "Licensed under CC BY 4.0",
+        7: "apache " + "word " * 60 + "licensed under the license version 2 0",
+        8: None,
+        9: "This library is licensed under the GNU Lesser General Public License, version 3. " + "x " * 40 + licenses.TEMPLATES["gpl-3.0"],
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_license_blocks(docs).collect()}
+    labels = {k: r["block_labels"] for k, r in got.items()}
+    assert labels == {1: "apache-2.0", 2: "bsd", 3: "mit", 4: "mit", 5: "lgpl-3.0", 6: "", 7: "", 8: "", 9: "gpl-3.0,lgpl-3.0"}
+    assert got[1]["block_word"] == 2 and got[1]["block_score"] == 1.0
+    assert licenses.scan_license_blocks(docs.where("false")).count() == 0
