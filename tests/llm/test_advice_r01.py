@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from pagequarry.llm import licenses, repetition
+from pagequarry.llm import decontaminate, licenses, repetition
+from tests.llm.test_operators import brute_contaminated
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
@@ -86,3 +88,32 @@ def test_license_blocks_cross_lines(spark):
     assert labels == {1: "apache-2.0", 2: "bsd", 3: "mit", 4: "mit", 5: "lgpl-3.0", 6: "", 7: "", 8: "", 9: "gpl-3.0,lgpl-3.0"}
     assert got[1]["block_word"] == 2 and got[1]["block_score"] == 1.0
     assert licenses.scan_license_blocks(docs.where("false")).count() == 0
+
+
+def test_contamination_with_a_repeated_tail(spark):
+    draw = random.Random(4)
+    items, docs = [], []
+    for k in range(3):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(500)]
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join(["before", *words[:446], *["x"] * 54, "after"])))
+        docs.append((10 + k, " ".join(["before", *words[:444], *["x"] * 56, "after"])))
+    expected = brute_contaminated(docs, items)
+    assert expected == {(k, k) for k in range(3)}
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(*tables).collect()} == expected
+
+
+def test_copies_of_a_shingle_have_their_own_hashes(spark):
+    rows = spark.createDataFrame([([5, 3, 5, 5],), ([3, 5],), ([],)], "h array<bigint>")
+    a, b, c = [r["o"] for r in rows.select(decontaminate.occurrences(F.col("h")).alias("o")).collect()]
+    assert len(set(a)) == 4 and {3, 5} <= set(a) and b == [3, 5] and c == []
+
+
+def test_radius_is_a_bound():
+    draw = np.random.default_rng(5)
+    for a, b, shared in ((30, 30, 27), (9, 11, 9), (1, 1, 1), (126, 126, 112)):
+        x, y, z = (draw.integers(0, 2, (20_000, n)).sum(axis=1) for n in (shared, a - shared, b - shared))
+        seen = np.mean((2 * (x + y) > a) != (2 * (x + z) > b))
+        assert abs(seen - decontaminate.differing_chance(a, b, shared)) < 0.02
+    assert len(decontaminate.radii()) == decontaminate.EXACT_SHINGLES + 2
