@@ -77,9 +77,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding of every document that stayed."""
+    """BPE encoding and decoding of every document that stayed: token ids and the text decoded from them."""
     ship(spark)
-    return bpe.encode_documents(docs.select("doc_id", "text"), digests=True)
+    return bpe.encode_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [

@@ -117,3 +117,9 @@ def test_radius_is_a_bound():
         seen = np.mean((2 * (x + y) > a) != (2 * (x + z) > b))
         assert abs(seen - decontaminate.differing_chance(a, b, shared)) < 0.02
     assert len(decontaminate.radii()) == decontaminate.EXACT_SHINGLES + 2
+
+
+def test_pipeline_returns_token_ids(spark):
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    row = pipeline.encoding_stage(spark, docs, SF).first()
+    assert len(np.frombuffer(row["ids"], "<u4")) == row["n_tokens"] and row["decoded"] == "some words here"
