@@ -4,15 +4,18 @@ A document is the set of its word shingles, as 64-bit hashes.  Documents with
 equal sets are one class; the join works on classes.
 
 1.  Regions.  Classes that may be similar are brought together without losing a
-    pair.  ``D`` being the number of shingles in which two similar sets of a size
-    can differ, the hash range is cut into more than ``D`` parts; a set with more
+    pair.  ``D`` being the number of shingles in which a set can differ from a
+    similar one, the hash range is cut into more than ``D`` parts; a set with more
     than ``D`` parts that are not empty agrees with every similar set on one of
-    these.  A class sends a signature for each such part.  Shingles that very many
-    classes share are left out at first, so that a common passage brings nobody
-    together; classes with too few filled parts send further signatures, from
+    its first ``D + 1``.  A class sends a signature for each of those.  Shingles that
+    very many classes share are left out at first, so that a common passage brings
+    nobody together; classes with too few filled parts send further signatures, from
     more parts, then from all their shingles (see ``Rule.signatures``).
     Equal signatures give links from the first class to the others, never all
-    pairs, and the connected components of these links are the regions.
+    pairs, and the connected components of these links are the regions.  A run of
+    documents sends each class once and, of the classes with one signature, the
+    least for all, so a signature that a third of all rows share has a row for each
+    run and not for each document.
 2.  Token-group matrix.  Within a region the sets are dealt to groups of similar
     ones and each group's union of tokens is a column of the matrix.  A query
     looks up its tokens' rows; a group can hold a partner only if it shares
@@ -26,11 +29,15 @@ equal sets are one class; the join works on classes.
 
 Similarity is decided in whole numbers: ``den * shared >= num * union``.
 
+Classes are named by two 64-bit hashes of their sets and texts by two of their
+bytes, never by document ids; ids come back in at the end.
+
 Defined results: documents without words (or null) have an empty set and link
 with nothing; fewer words than a shingle has make one shingle of them all;
-repeated rows each get their row, and a repeated id is one document whose first
-text, by hash, stands for it in links; an empty table gives an empty result;
-other columns are never looked at.
+repeated rows each get their row; of a repeated id each text links on its own; a
+row without an id links as any other and gives its component no name, so a
+component of such rows alone has a null name; an empty table gives an empty
+result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -43,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
-from pagequarry.workspace import stage
+from pagequarry.workspace import drop_stage, stage
 
 #: Sizes from one bound to the next share one cut of the hash range.
 GROWTH = 1.7
@@ -55,9 +62,11 @@ COMMON_IN_BATCH = 3
 COUNTED_TOKENS = 1_000_000
 #: What a chunk of a region may weigh: a token is 1, a document ``DOCUMENT_WEIGHT`` more.
 CHUNK_WEIGHT = 200_000
-#: Ids of documents in regions are broadcast up to so many (8 bytes each), else joined by shuffle.
+DOCUMENT_WEIGHT = 400
+#: Texts in regions are looked up by a broadcast of so many hashes at most (16 bytes each), else by shuffle.
 BROADCAST_IDS = 500_000
-DOCUMENT_WEIGHT = 100
+#: A run of documents remembers so many classes that it has sent.
+CLASSES_KEPT = 200_000
 GROUP_SIZE = 16
 BLOCK_CHARS = 2_000_000
 MAX_ROUNDS = 60
@@ -144,32 +153,38 @@ class Rule:
         return self.differing(top, top)
 
     def signatures(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Hashes of the filled parts of a sorted set, for each of its levels.
-
-        A set stops at the first scheme in which more than ``D`` parts are filled.
-        Of two similar sets, the one that stops first has more filled parts than
-        can differ, and the other sends that scheme too.  If neither stops, both
-        send the empty parts of the last scheme, which has more than ``D`` parts.
+        """Hashes of filled parts of a sorted set, for each of its levels.
+
+        ``most`` is the number of tokens in which this set can differ from a similar
+        one of the level.  A set stops at the first scheme in which more than ``most``
+        parts are filled, and of any scheme sends the first ``most + 1`` filled parts.
+        Take two similar sets and the scheme at which the first of them stops.  It has
+        a filled part on which they agree; before the first such part each has only
+        parts on which they differ, ``most`` at the utmost, so both send it.  If neither
+        stops, both send the empty parts of the last scheme as well, of which there
+        are more than can differ.
         """
         if not len(tokens):
             return np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
         rare = tokens[common[at] != tokens] if len(common) else tokens
-        sums = {False: self._sums(rare), True: self._sums(tokens)}
+        sums: dict[bool, np.ndarray] = {}
         out = []
-        for level in self.levels(len(tokens)):
-            most = self.most_differing(level)
+        size = len(tokens)
+        for level in self.levels(size):
+            most = self.differing(size, min(self.bounds[level + 1] - 1, self.den * size // self.num))
             for number, (whole, n) in enumerate(self.schemes(level)):
                 own = tokens if whole else rare
+                if whole not in sums:
+                    sums[whole] = self._sums(own)
                 edges = np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)
                 cuts = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
                 parts = sums[whole][cuts[1:]] - sums[whole][cuts[:-1]]
-                filled = cuts[1:] > cuts[:-1]
-                key = mix(mix(parts) + np.arange(n, dtype=np.uint64) * _STEP + np.uint64(8 * level + number + 1))
-                if int(filled.sum()) > most:
-                    out.append(key[filled])
+                filled = np.flatnonzero(cuts[1:] > cuts[:-1])
+                sent = filled[: most + 1] if len(filled) > most or number < 3 else np.arange(n)
+                out.append(mix(mix(parts[sent]) + sent.astype(np.uint64) * _STEP + np.uint64(8 * level + number + 1)))
+                if len(filled) > most:
                     break
-                out.append(key[filled] if number < 3 else key)
         return np.concatenate(out)
 
     @staticmethod
@@ -184,8 +199,14 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.int64(np.uint64(a).view(np.int64))), int(np.uint64(b).view(np.int64))
 
 
+def text_keys(text_col: str) -> list:
+    """A text (null: empty) and two independent 64-bit hashes of it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def key_documents(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """For each document id, size and the set's keys k1 and k2; besides, rows (shingle, n) for common shingles.
+    """For each document id, size, the set's keys k1 and k2 and the text's t1 and t2; besides, rows (shingle, n) for common shingles.
 
     A run of documents counts the shingles of its classes, copies once, and passes
     on those that it has several times.
@@ -194,7 +215,8 @@ def key_documents(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
     def counted(seen: dict) -> pd.DataFrame:
         found, counts = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.uint64)]), return_counts=True)
         often = counts >= COMMON_IN_BATCH
-        return pd.DataFrame({"id": None, "size": None, "k1": None, "k2": None, "shingle": found[often].view(np.int64), "n": counts[often].astype(np.int64)})
+        none = dict.fromkeys(["id", "size", "k1", "k2", "t1", "t2"])
+        return pd.DataFrame({**none, "shingle": found[often].view(np.int64), "n": counts[often].astype(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
@@ -204,15 +226,16 @@ def key_documents(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
                 sets = shingle_sets(texts[part], n)
                 keys = [set_key(s) for s in sets]
                 seen |= dict(zip(keys, sets, strict=True))
-                yield pd.DataFrame({"id": frame["id"].iloc[part].to_numpy(), "size": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingle": None, "n": None})
+                given = {c: frame[c].iloc[part].to_numpy() for c in ("id", "t1", "t2")}
+                yield pd.DataFrame({**given, "size": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingle": None, "n": None})
                 if sum(map(len, seen.values())) > COUNTED_TOKENS:
                     yield counted(seen)
                     seen = {}
         if seen:
             yield counted(seen)
 
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, size long, k1 long, k2 long, shingle long, n long")
+    own = docs.select(F.col(id_col).alias("id"), *text_keys(text_col))
+    return own.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, size long, k1 long, k2 long, t1 long, t2 long, shingle long, n long")
 
 
 def common_shingles(keyed: DataFrame) -> np.ndarray:
@@ -230,12 +253,15 @@ def signature_rows(docs: DataFrame, rule: Rule, n: int, common: np.ndarray, text
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[tuple[int, int]] = set()
         for frame in frames:
             texts = frame["text"].tolist()
             for part in blocks(texts, BLOCK_CHARS):
-                own = {set_key(s)[0]: s for s in shingle_sets(texts[part], n) if len(s)}
+                own = {k: s for s in shingle_sets(texts[part], n) if len(s) and (k := set_key(s)) not in sent}
+                if len(sent) < CLASSES_KEPT:
+                    sent.update(own)
                 if own:
-                    yield pre_link(list(own), [rule.signatures(s, shared.value).view(np.int64) for s in own.values()])
+                    yield pre_link([k1 for k1, _ in own], [rule.signatures(s, shared.value).view(np.int64) for s in own.values()])
 
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "sig long, k1 long")
 
@@ -297,6 +323,7 @@ def components(links: DataFrame) -> DataFrame:
         after = stage(small, "links")
         # a star's leaves occur once; nothing is left to move when every node has one least neighbour and centres have none
         unsettled = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or after.select("u").join(after.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
+        drop_stage(edges)
         edges = after
         if not unsettled:
             break
@@ -376,49 +403,54 @@ def matrix_links(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[t
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (least id reachable by links) for each row."""
     rule = Rule(num, den)
-    id_type = docs.schema[id_col].dataType.simpleString()
     keyed = stage(key_documents(docs, n, id_col, text_col), "jaccard-keys")
     signed = keyed.where("n is null")
     filled = signed.where("size > 0")
-    classes = stage(filled.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep")), "jaccard-classes")
+    classes = stage(filled.groupBy("k1", "k2", "size").agg(F.min(F.struct("t1", "t2")).alias("rep"), F.min("id").alias("first_id")), "jaccard-classes")
 
     rows = signature_rows(docs, rule, n, common_shingles(keyed), text_col)
     near = rows.repartition("sig").sortWithinPartitions("sig", "k1").mapInPandas(_run_links, "a long, b long").distinct()
-    regions = stage(components(near).withColumnRenamed("node", "k1").withColumnRenamed("label", "region"), "jaccard-regions")
+    regions = components(near).withColumnRenamed("node", "k1").withColumnRenamed("label", "region")
 
-    members = classes.join(regions, "k1")
+    members = stage(classes.join(regions, "k1").select("k1", "k2", "rep.t1", "rep.t2", "size", "region"), "jaccard-members")
+    drop_stage(regions)
     total = members.groupBy("region").agg(F.sum(F.col("size") + DOCUMENT_WEIGHT).alias("weight"))
     chunked = members.join(total, "region").select(
-        "rep", "size", "region", F.ceil(F.col("weight") / CHUNK_WEIGHT).cast("int").alias("chunks")
-    ).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        "k1", "k2", "t1", "t2", "region", F.ceil(F.col("weight") / CHUNK_WEIGHT).cast("int").alias("chunks")
+    ).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
     # a chunk meets every chunk of its region once; each pair of chunks is a task
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    tasks = chunked.select(
-        "rep", "region", "chunk", F.explode(others).alias("other")
-    ).select("rep", "region", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk")
-    wanted = stage(chunked.select("rep").distinct(), "jaccard-wanted")
+    tasks = chunked.select("k1", "k2", "t1", "t2", "region", "chunk", F.explode(others).alias("other")).select(
+        "k1", "k2", "t1", "t2", "region", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk"
+    )
+    wanted = members.select("t1", "t2")
     few = wanted.count() <= BROADCAST_IDS
     texts = (
-        docs.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
-        .groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        docs.select(*text_keys(text_col))
+        .join(F.broadcast(wanted) if few else wanted, ["t1", "t2"], "left_semi")
+        .groupBy("t1", "t2").agg(F.first("text").alias("text"))
     )
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["chunk", "rep"]).reset_index(drop=True)
+        frame = frame.sort_values(["chunk", "k1", "k2"]).reset_index(drop=True)
         own = shingle_sets(frame["text"].tolist(), n)
         side = (frame["chunk"] != frame["c1"]).to_numpy(np.int64)
         links = matrix_links(own, side, rule)
-        reps = frame["rep"].to_numpy()
-        return pd.DataFrame({"a": reps[[x for x, _ in links]], "b": reps[[y for _, y in links]]})
-
-    found = (
-        tasks.join(texts, "rep").groupBy("region", "c1", "c2").applyInPandas(solve, f"a {id_type}, b {id_type}")
-    )
-    labels = components(stage(found, "jaccard-found"))
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", "size", F.coalesce("label", "rep").alias("component"))
+        a, b = [x for x, _ in links], [y for _, y in links]
+        k1, k2 = frame["k1"].to_numpy(), frame["k2"].to_numpy()
+        return pd.DataFrame({"a1": k1[a], "a2": k2[a], "b1": k1[b], "b2": k2[b]})
+
+    solved = tasks.join(texts, ["t1", "t2"]).groupBy("region", "c1", "c2").applyInPandas(solve, "a1 long, a2 long, b1 long, b2 long")
+    found = stage(solved, "jaccard-found")
+    drop_stage(members)
+    labels = components(found.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b")))
+    drop_stage(found)
+    linked = classes.join(labels.select("node.k1", "node.k2", "label"), ["k1", "k2"])
+    names = linked.groupBy("label").agg(F.min("first_id").alias("component"))
+    named = classes.select("k1", "k2", "first_id").join(linked.join(names, "label").select("k1", "k2", "component"), ["k1", "k2"], "left")
+    # a class with very many copies has many rows on one side here and one on the other, which adaptive joins split
     return (
         signed.select("id", "size", "k1", "k2")
-        .join(named, ["k1", "k2", "size"], "left")
+        .join(named.select("k1", "k2", F.coalesce("component", "first_id").alias("component")), ["k1", "k2"], "left")
         .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )

@@ -342,6 +342,20 @@ def test_similar_sets_share_a_signature(share):
             for drop in range(0, size - rule.least_partner(size) + 1, max(1, size // 20)):
                 b = np.delete(a, draw.choice(len(a), drop, replace=False))
                 assert np.intersect1d(rule.signatures(a, common), rule.signatures(b, common)).size
+                # as many tokens replaced as a set of the same size can differ in
+                k = min(drop, rule.differing(size, size) // 2)
+                new = np.arange(k, dtype=np.uint64) * np.uint64(0x1234567890ABCDF) | np.uint64(1)
+                c = np.unique(np.concatenate([np.delete(a, draw.choice(len(a), k, replace=False)), new]))
+                if rule.similar(np.intersect1d(a, c).size, len(a), len(c)):
+                    assert np.intersect1d(rule.signatures(a, common), rule.signatures(c, common)).size
+
+
+def test_repeated_and_missing_ids_lose_no_link(spark):
+    base, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, other), (5, base), (7, base + " end"), (9, other), (None, "n " + base), (None, "alone"), (11, "x " + other)]
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got if r["component_id"] is not None) == [(0, 5), (5, 5), (5, 5), (7, 5), (9, 5), (11, 5)]
+    assert [r["n_shingles"] for r in got if r["component_id"] is None] == [1]
 
 
 # --- 10 ---
