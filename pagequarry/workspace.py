@@ -41,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagequarry-checkpoint"))
         folder = sc.getCheckpointDir()
     return folder
@@ -65,7 +67,9 @@ def drop_stage(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stage`."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    folders = {os.path.dirname(f) for f in df.inputFiles()}
-    for folder in folders:
+    base = shared_folder(spark)
+    # a folder of ``stage`` is a child of the shared one; nothing else is ever deleted
+    own = {os.path.dirname(f) for f in df.inputFiles()}
+    for folder in (f for f in own if os.path.basename(os.path.dirname(f)) == os.path.basename(base.rstrip("/"))):
         jpath = jvm.org.apache.hadoop.fs.Path(folder)
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
