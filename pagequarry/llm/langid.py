@@ -1,10 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fitting counts hashed n-grams of one to four characters per language over a
-bounded sample of labelled rows (``max_rows``, picked by a hash of the id, the
-same share of each language's rows).  The log-probability matrix, languages by
-``BUCKETS``, has a fixed size and is broadcast.  Scoring is sparse: of a block of
-texts only the buckets that occur are looked up, in numpy.
+bounded sample of labelled rows: about ``max_rows`` divided by the number of
+languages of each, picked by a hash of id and text, and all rows of a language that
+has fewer, so a rare language is learned at any size of the table.  A language's
+prior is its share of all labelled rows.  At most ``MAX_LABELS`` languages, those with the
+most rows, are learned, so the log-probability matrix, languages by ``BUCKETS``, is
+bounded and is broadcast.  Scoring is sparse: of a block of texts only the buckets
+that occur are looked up, in numpy.
 
 A posterior multiplies all n-grams of a text and so is 1 after a few words in any
 language.  :func:`fit_judge` adds what does not depend on length: the mean
@@ -29,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
+from pagequarry.llm.rows import hash63, quota_sample
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 MAX_ROWS = 20_000
+#: A language is a row of ``BUCKETS`` numbers (256 KB) in the broadcast matrix.
+MAX_LABELS = 256
 SMOOTHING = 0.1
 BLOCK_CHARS = 1_000_000
 #: A text this far on the way from its language's usual mean to that of the language backwards is foreign.
@@ -42,6 +48,8 @@ MIN_LEAD = 0.25
 _OTHERS = re.compile(r"[\W\d_]+")
 _STEP = np.uint32(0x9E3779B1)
 _UND = "und"
+#: Languages in order of name, log-probabilities, log priors.
+Model = tuple[list[str], np.ndarray, np.ndarray]
 
 
 def hashed_ngrams(text: str) -> np.ndarray:
@@ -62,15 +70,16 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def labelled_sample(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> DataFrame:
-    """text and label of the rows to fit on."""
+def labelled_sample(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """text and label of the rows to fit on, and how many labelled rows each language has in all."""
     own = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(label_col).alias("label"), (F.xxhash64(key if key is not None else F.col(text_col))).alias("h")
+        F.col(text_col).alias("text"), F.col(label_col).alias("label"), hash63(*([] if key is None else [key]), F.col(text_col)).alias("h")
     )
-    total = own.count()
-    if total > max_rows:
-        own = own.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    return own.select("text", "label")
+    found = own.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()
+    counts = {r["label"]: (r["n"], r["least"]) for r in found}
+    each = max(1, max_rows // max(1, len(counts)))
+    drawn = quota_sample(own, counts, dict.fromkeys(counts, each), "label", "h")
+    return drawn.select("text", "label"), {k: n for k, (n, _) in counts.items()}
 
 
 def count_ngrams(own: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -103,10 +112,17 @@ def log_table(counts: np.ndarray) -> np.ndarray:
     return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix (languages x BUCKETS)."""
-    labels, counts = count_ngrams(labelled_sample(rows, text_col, label_col, max_rows, key))
-    return labels, log_table(counts)
+def log_prior(labels: list[str], sizes: dict[str, int]) -> np.ndarray:
+    """Log of each language's share of the labelled rows."""
+    own = np.array([sizes[x] for x in labels], np.float64)
+    return np.log(own / own.sum()) if len(own) else own
+
+
+def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> Model:
+    """Languages, their log-probability matrix (languages x BUCKETS) and log priors."""
+    own, sizes = labelled_sample(rows, text_col, label_col, max_rows, key)
+    labels, counts = count_ngrams(own)
+    return labels, log_table(counts), log_prior(labels, sizes)
 
 
 def letter_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +138,9 @@ def mean_logs(text: str, table: np.ndarray) -> np.ndarray:
     return table[:, at].astype(np.float64) @ n / n.sum()
 
 
-def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, their matrix and, for each, the usual mean, that of texts backwards, and the usual lead."""
-    own = labelled_sample(rows, text_col, label_col, max_rows, key)
+def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[Model, np.ndarray]:
+    """The model and, for each language, the usual mean, that of texts backwards, and the usual lead."""
+    own, sizes = labelled_sample(rows, text_col, label_col, max_rows, key)
     labels, counts = count_ngrams(own)
     shared = own.sparkSession.sparkContext.broadcast((labels, counts))
 
@@ -148,14 +164,15 @@ def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MA
     # at most ``max_rows`` rows of three numbers, about, reach the driver
     rated = own.mapInPandas(rate, "label string, mean double, back double, lead double").toPandas()
     usual = rated.groupby("label")[["mean", "back", "lead"]].median().reindex(labels)
-    return labels, log_table(counts), usual.to_numpy(np.float64)
+    return (labels, log_table(counts), log_prior(labels, sizes)), usual.to_numpy(np.float64)
 
 
-def judge_block(texts: list[str], names: list[str], labels: list[str], table: np.ndarray, usual: np.ndarray) -> list[bool]:
+def judge_block(texts: list[str], names: list[str], model: Model, usual: np.ndarray) -> list[bool]:
     """Whether each text's letters are as usual for the language it was given and lead the second one clearly.
 
     Where labelled texts show no difference (one text of a language, say), the rule they would set is passed.
     """
+    labels, table, _ = model
     out = []
     for text, name in zip(texts, names, strict=True):
         if name == _UND:
@@ -170,8 +187,9 @@ def judge_block(texts: list[str], names: list[str], labels: list[str], table: np
     return out
 
 
-def score_block(texts: list[str], labels: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+def score_block(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """Best language and its posterior for each text."""
+    labels, table, prior = model
     names, scores = [], []
     for text in texts:
         if not labels or not text or not has_letter(text):
@@ -181,7 +199,7 @@ def score_block(texts: list[str], labels: list[str], table: np.ndarray) -> tuple
         # one count per bucket that occurs: the text's row of a sparse matrix
         counts = np.bincount(hashed_ngrams(text), minlength=BUCKETS)
         at = np.flatnonzero(counts)
-        logs = table[:, at].astype(np.float64) @ counts[at]
+        logs = table[:, at].astype(np.float64) @ counts[at] + prior
         logs = np.exp(logs - logs.max())
         k = int(np.argmax(logs))
         names.append(labels[k])
@@ -189,17 +207,16 @@ def score_block(texts: list[str], labels: list[str], table: np.ndarray) -> tuple
     return names, scores
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, table = shared.value
         for frame in frames:
             texts = frame["text"].tolist()
             for part in blocks(texts, BLOCK_CHARS):
-                names, scores = score_block(texts[part], labels, table)
+                names, scores = score_block(texts[part], shared.value)
                 yield pd.DataFrame({"id": frame["id"].iloc[part].to_numpy(), "lang_pred": names, "score": scores})
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -39,31 +39,41 @@ def repetition_sql(limits: repetition.Limits | None = None) -> str:
     """Counts, shares and verdicts, from n-grams written out as text."""
     limits = limits or repetition.Limits()
     rows = ", ".join(f"({n}, CAST({share} AS DOUBLE))" for n, share in limits.ngrams)
+    tops = ", ".join(f"({n}, CAST({share} AS DOUBLE))" for n, share in limits.tops)
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
 word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d),
-base AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(octet_length(encode(w))) AS bytes FROM word GROUP BY doc_id),
+base AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(length(w)) AS chars FROM word GROUP BY doc_id),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),
 lines AS (
-  SELECT doc_id, l, count(*) AS c, octet_length(encode(l)) AS b FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l),
-dup AS (SELECT doc_id, sum(c - 1) AS n_dup_lines, CAST(sum((c - 1) * b) AS DOUBLE) / sum(c * b) AS dup_line_share FROM lines GROUP BY doc_id),
+  SELECT doc_id, l, count(*) AS c, length(l) AS b FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l),
+dup AS (
+  SELECT doc_id, sum(c - 1) AS n_dup_lines, CAST(sum((c - 1) * b) AS DOUBLE) / sum(c * b) AS dup_line_share,
+    sum(CASE WHEN c > 1 THEN c * b ELSE 0 END) <= CAST({limits.line_copies} AS DOUBLE) * sum(c * b) AS copies_ok FROM lines GROUP BY doc_id),
 lim(n, share) AS (VALUES {rows}),
 g AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS p, ws FROM d, lim),
 gram AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS t FROM g),
 twice AS (SELECT doc_id, n, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, t) AS c FROM gram) WHERE c > 1),
 cover AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS k FROM twice),
-covered AS (SELECT doc_id, n, count(*) AS words, sum(octet_length(encode(w))) AS b FROM cover JOIN word USING (doc_id, k) GROUP BY ALL),
+covered AS (SELECT doc_id, n, count(*) AS words, sum(length(w)) AS b FROM cover JOIN word USING (doc_id, k) GROUP BY ALL),
 shares AS (
-  SELECT doc_id, max(CAST(b AS DOUBLE) / bytes / share) AS ngram_excess, bool_and(CAST(b AS DOUBLE) / bytes <= share) AS ok,
+  SELECT doc_id, max(CAST(b AS DOUBLE) / chars / share) AS ngram_excess, bool_and(CAST(b AS DOUBLE) / chars <= share) AS ok,
     max(CASE WHEN n = {repetition.WINDOW} THEN words ELSE 0 END) AS n_repeat_words
   FROM covered JOIN base USING (doc_id) JOIN lim USING (n) GROUP BY doc_id),
+top(n, share) AS (VALUES {tops}),
+short AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS p, ws FROM d, top),
+often AS (SELECT doc_id, n, array_to_string(ws[p:p + n - 1], ' ') AS t, list(p) AS ps FROM short GROUP BY ALL HAVING count(*) > 1),
+each AS (SELECT doc_id, n, t, unnest(ps) AS p FROM often),
+inside AS (SELECT DISTINCT doc_id, n, t, unnest(range(p, p + n)) AS k FROM each),
+held AS (SELECT doc_id, n, t, sum(length(w)) AS b FROM inside JOIN word USING (doc_id, k) GROUP BY ALL),
+tops AS (SELECT doc_id, bool_and(CAST(b AS DOUBLE) / chars <= share) AS top_ok FROM held JOIN base USING (doc_id) JOIN top USING (n) GROUP BY doc_id),
 m AS (
   SELECT t.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(ngram_excess, 0.0) AS ngram_excess, coalesce(dup_line_share, 0.0) AS dup_line_share,
-    coalesce(ok, true) AND coalesce(dup_line_share, 0.0) <= {limits.lines} AS method_kept
-  FROM t LEFT JOIN base USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN shares USING (doc_id)),
+    coalesce(ok, true) AND coalesce(top_ok, true) AND coalesce(copies_ok, true) AND coalesce(dup_line_share, 0.0) <= {limits.lines} AS method_kept
+  FROM t LEFT JOIN base USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN shares USING (doc_id) LEFT JOIN tops USING (doc_id)),
 f AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND method_kept AS kept FROM f
 """
