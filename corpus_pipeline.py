@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm import bpe, decontaminate, jaccard, langid, repetition
 from pagequarry.llm.rows import keep_rows
-from pagequarry.workspace import ship, stage
+from pagequarry.workspace import drop_stage, ship, stage
 
 #: A language is believed from this posterior on; alone it hardly decides, see langid.
 MIN_LANGUAGE_SCORE = 0.6
@@ -38,11 +38,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     shared = spark.sparkContext.broadcast(langid.fit_judge(docs, "text", "lang", key=F.col("doc_id")))
 
     def verdicts():
-        labels, table, usual = shared.value
+        model, usual = shared.value
 
         def judge(texts: list[str]) -> list[bool]:
-            names, scores = langid.score_block(texts, labels, table)
-            clear = langid.judge_block(texts, names, labels, table, usual)
+            names, scores = langid.score_block(texts, model)
+            clear = langid.judge_block(texts, names, model, usual)
             return [c and s >= MIN_LANGUAGE_SCORE for c, s in zip(clear, scores, strict=True)]
 
         return judge
@@ -51,9 +51,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that are too short or repeat themselves, by the strict limits, go."""
+    """Quality rules: documents that are too short or repeat themselves, go."""
     ship(spark)
-    limits = repetition.STRICT
+    limits = repetition.Limits()
 
     def kept(text: str) -> bool:
         n, _, _, _, repeats, _, _, ok = repetition.measure(text.encode(), limits)
@@ -97,6 +97,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    for number, (name, step) in enumerate(STAGES[:-1]):
+        kept = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if number:
+            drop_stage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
