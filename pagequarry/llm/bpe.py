@@ -5,11 +5,14 @@ Texts go through a fast encoder made from the same vocabulary.  Texts that hold
 code point on which the libraries' Unicode tables differ (all unassigned until
 lately) go through the file's own library, so results equal that library's.
 
-Counting.  For each block of documents: pieces are counted once per distinct
-pre-token, joined to each document's pre-token frequencies, and summed.  No ids
-are kept.  The join is done within the block: sending every (document, pre-token)
-pair to the pre-token's partition would move several times the input, and the
-result would be the same.
+Counting.  One pass over the corpus finds its distinct pre-tokens and how often
+each occurs; pieces are counted once for each of them and written as a table.  A
+second pass joins each document's pre-token frequencies to that table and sums,
+without keeping ids: the commonest pre-tokens (``COMMON_MOST`` of at most
+``COMMON_BYTES`` bytes each, so the broadcast is bounded) by a broadcast, the
+remainder by a shuffle on the pre-token.  A remaining pre-token occurs less often
+than a common one of its length, or is long, so none of the shuffle's keys is hot
+but for a long text that very many documents repeat, which adaptive joins split.
 
 Encoding.  A text longer than ``leaf_chars`` is halved until all parts are
 shorter.  The parts of a block of documents are encoded in parallel threads.  Two
@@ -28,23 +31,29 @@ id and the text column are read, so clashing names elsewhere do no harm.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from operator import mul
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.workspace import stage
+
 TOKENIZER = "byte_bpe_50k.json"
 LEAF_CHARS = 16_384
 WINDOW = 64
 BLOCK_CHARS = 4_000_000
-PIECES_KEPT = 400_000
+#: Characters of distinct pre-tokens that a task holds before it passes them on.
+PIECE_CHARS = 8_000_000
+#: Pre-tokens that are broadcast: at most so many, the commonest ones, of at most so many bytes each.
+COMMON_MOST = 200_000
+COMMON_BYTES = 48
 #: Code points that Unicode tables of different ages class differently (fixed values), and rare planes as a whole.
 UNSETTLED = re.compile(
     "[՘֋֌࢏౜೜₏₝-₟Ɤ-꟱꭬꭭\U00010780-\U0001efff\U0001fb00-\U0010ffff]"
@@ -76,12 +85,13 @@ class Bpe:
         import public_tokenizers
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
         symbols = byte_symbols()
-        special = {t.content: k for k, t in self.slow.get_added_tokens_decoder().items()}
-        ranks = {bytes(symbols[c] for c in t): k for t, k in self.slow.get_vocab(with_added_tokens=False).items() if t not in special}
+        special = {t["content"]: t["id"] for t in given["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in t): k for t, k in given["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -91,6 +101,15 @@ class Bpe:
         for k, t in self.bytes_of.items():
             self.lengths[k] = len(t)
 
+    @property
+    def slow(self):
+        """The file's own library, loaded for the first text that needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def parts(self, text: str) -> tuple[list[str], int]:
         """The text between special tokens, and how many of those there are."""
         if self.special is None:
@@ -149,43 +168,80 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[slice]:
 # --- counting ---------------------------------------------------------------
 
 
-def count_block(bpe: Bpe, texts: list[str], known: dict[str, int]) -> list[int]:
-    """Tokens of each text; ``known`` holds pieces per pre-token and gains the new ones."""
-    frequencies, specials, new = [], [], set()
-    for text in texts:
-        parts, n = bpe.parts(text)
-        own: Counter = Counter()
-        for part in parts:
-            if UNSETTLED.search(part):
-                own.update(part[a:b] for _, (a, b) in bpe.slow.pre_tokenizer.pre_tokenize_str(part))
-            else:
-                own.update(bpe.words.findall(part))
-        frequencies.append(own)
-        specials.append(n)
-        new.update(piece for piece in own if piece not in known)
-    for piece in new:
-        known[piece] = bpe.pieces(piece)
-    return [n + sum(map(mul, map(known.__getitem__, own), own.values())) for n, own in zip(specials, frequencies, strict=True)]
+def pre_tokens(bpe: Bpe, text: str) -> tuple[Counter, int]:
+    """How often each pre-token occurs in a text, and the number of special tokens."""
+    parts, specials = bpe.parts(text)
+    own: Counter = Counter()
+    for part in parts:
+        if UNSETTLED.search(part):
+            own.update(part[a:b] for _, (a, b) in bpe.slow.pre_tokenizer.pre_tokenize_str(part))
+        else:
+            own.update(bpe.words.findall(part))
+    own.pop("", None)
+    return own, specials
+
+
+def distinct_pre_tokens(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
+    """Each pre-token of the corpus, how often it occurs, and its pieces, counted once."""
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe, held, chars = load(tokenizer), Counter(), 0
+        table = lambda: pd.DataFrame({"piece": list(held), "n": list(held.values())})
+        for frame in frames:
+            for text in frame["text"]:
+                own, _ = pre_tokens(bpe, text)
+                chars += sum(len(t) for t in own if t not in held)
+                held.update(own)
+                if chars > PIECE_CHARS:
+                    yield table()
+                    held, chars = Counter(), 0
+        yield table()
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = load(tokenizer)
+        for frame in frames:
+            yield frame.assign(pieces=[bpe.pieces(t) for t in frame["piece"]])
+
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    found = texts.mapInPandas(find, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return found.mapInPandas(count, "piece string, n long, pieces long")
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """id, n_bytes and n_tokens of each whole text."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    table = stage(distinct_pre_tokens(docs, text_col, tokenizer), "bpe-pre-tokens")
+    short = table.where(F.octet_length("piece") <= COMMON_BYTES)
+    common = short.orderBy(F.desc("n"), "piece").limit(COMMON_MOST).select("piece", "pieces").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(common["piece"], common["pieces"].tolist(), strict=True)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, known = load(tokenizer), {}
+        bpe, known = load(tokenizer), shared.value
         for frame in frames:
-            texts = frame["text"].tolist()
-            counts: list[int] = []
-            for part in blocks(texts):
-                if len(known) > PIECES_KEPT:
-                    known.clear()
-                counts += count_block(bpe, texts[part], known)
-            yield pd.DataFrame({"id": frame["id"], "n_bytes": frame["n_bytes"], "n_tokens": np.array(counts, np.int64)})
-
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = own.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes")).mapInPandas(run, f"id {id_type}, n_bytes long, n_tokens long")
-    return out.withColumnRenamed("id", id_col)
+            sums, rests, times = [], [], []
+            for text in frame["text"]:
+                own, total = pre_tokens(bpe, text)
+                rest = []
+                for piece, n in own.items():
+                    if (pieces := known.get(piece)) is None:
+                        rest.append((piece, n))
+                    else:
+                        total += n * pieces
+                sums.append(total)
+                rests.append([t for t, _ in rest])
+                times.append([n for _, n in rest])
+            yield pd.DataFrame({"id": frame["id"], "n_bytes": frame["n_bytes"], "known": sums, "piece": rests, "n": times})
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    counted = own.mapInPandas(run, f"id {id_type}, n_bytes long, known long, piece array<string>, n array<long>")
+    if len(common) < COMMON_MOST and short.count() == table.count():
+        return counted.select(F.col("id").alias(id_col), "n_bytes", F.col("known").alias("n_tokens"))
+    # rows get a number that stays the same once they are written
+    held = stage(counted.withColumn("row", F.monotonically_increasing_id()), "bpe-counted")
+    rest = held.where(F.size("piece") > 0).select("row", F.explode(F.arrays_zip("piece", "n")).alias("r")).select("row", "r.piece", "r.n")
+    sums = rest.join(table.select("piece", "pieces"), "piece").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    return held.join(sums, "row", "left").select(F.col("id").alias(id_col), "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
 
 # --- encoding ---------------------------------------------------------------

@@ -21,9 +21,10 @@ equal sets are one class; the join works on classes.
     looks up its tokens' rows; a group can hold a partner only if it shares
     as many tokens with the query as a partner must, and only such groups are opened and their
     members compared exactly.
-3.  Regions beyond ``CHUNK_WEIGHT`` are cut into chunks, and each pair of chunks
-    whose sizes can match is a task of its own, so memory stays bounded and no
-    pair is lost.
+3.  Regions beyond ``CHUNK_WEIGHT`` are cut into chunks.  Chunks meet the region's
+    first chunk, and what that leaves outside the region's largest part meets all
+    chunks, each in a task of its own, so memory stays bounded and no link between
+    parts is lost (see :func:`region_links`).
 4.  The links form a forest per task; components of all forests are found by
     label propagation in tables, never on the driver.
 
@@ -46,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
@@ -61,7 +62,7 @@ COMMON_LEAST = 20
 COMMON_IN_BATCH = 3
 COUNTED_TOKENS = 1_000_000
 #: What a chunk of a region may weigh: a token is 1, a document ``DOCUMENT_WEIGHT`` more.
-CHUNK_WEIGHT = 200_000
+CHUNK_WEIGHT = 150_000
 DOCUMENT_WEIGHT = 400
 #: Texts in regions are looked up by a broadcast of so many hashes at most (16 bytes each), else by shuffle.
 BROADCAST_IDS = 500_000
@@ -352,18 +353,20 @@ class Forest:
         return True
 
 
-def matrix_links(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+def matrix_links(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = None, inner: bool = True, settled: list | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the similar pairs, found through a token-group matrix.
 
-    ``side`` is 0 or 1; with both present only pairs across are looked for.
+    Sets of side 0 are looked up among those of side 1 and, if ``inner``, among
+    themselves; sets of side 1 are not compared with each other.  Sets with equal
+    ``settled`` values are known to be connected.
     """
     if len(sets) < 2:
         return []
+    side = np.zeros(len(sets), np.int64) if side is None else side
     tokens, codes = np.unique(np.concatenate(sets), return_inverse=True)
     edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     own = [codes[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     sizes = np.diff(edges)
-    across = len(set(side.tolist())) > 1
     # similar sets share their least hashes, so sorting by side, size and those puts them side by side
     order = sorted(range(len(sets)), key=lambda k: (side[k], rule.level(int(sizes[k])), int(own[k][0])))
     groups = [order[k : k + GROUP_SIZE] for k in range(0, len(order), GROUP_SIZE)]
@@ -374,22 +377,21 @@ def matrix_links(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[t
             matrix[own[k], g] = True
     low = np.array([min(int(sizes[k]) for k in g) for g in groups])
     high = np.array([max(int(sizes[k]) for k in g) for g in groups])
-    group_side = np.array([side[g[0]] for g in groups])
+    open_to = np.array([side[g[0]] == 1 or inner for g in groups])
     forest, links = Forest(len(sets)), []
+    first: dict = {}
+    for k, label in enumerate(settled or ()):
+        forest.link(first.setdefault(label, k), k)
     present = np.zeros(len(tokens), bool)
-    for q in range(len(sets)):
-        if across and side[q] == 1:
-            continue
+    for q in np.flatnonzero(side == 0):
         size = int(sizes[q])
         bound = matrix[own[q]].sum(axis=0)
         # the partner's size bounds what must be shared from below: at least what the smallest fitting member asks for
-        fits = (high >= rule.least_partner(size)) & (rule.num * low <= rule.den * size) & (bound >= rule.overlap_with(size, low))
-        if across:
-            fits &= group_side == 1
+        fits = open_to & (high >= rule.least_partner(size)) & (rule.num * low <= rule.den * size) & (bound >= rule.overlap_with(size, low))
         present[own[q]] = True
         for g in np.flatnonzero(fits):
             for k in groups[g]:
-                if (not across and k <= q) or forest.find(k) == forest.find(q):
+                if (side[k] == 0 and k <= q) or forest.find(k) == forest.find(q):
                     continue
                 other = int(sizes[k])
                 if rule.num * max(size, other) > rule.den * min(size, other):
@@ -400,6 +402,67 @@ def matrix_links(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[t
     return links
 
 
+def pair(first: str, second: str, name: str) -> Column:
+    """A class as one value."""
+    return F.struct(F.col(first).alias("k1"), F.col(second).alias("k2")).alias(name)
+
+
+def chunk_number(weight: Column) -> Column:
+    """Into how many chunks a region of a weight is cut."""
+    return F.ceil(weight / CHUNK_WEIGHT).cast("int")
+
+
+def region_links(members: DataFrame, texts: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """Links (a, b) between classes of a region that connect all that similar pairs connect.
+
+    Small regions are one task.  Of a larger one every chunk is compared in itself
+    and with the first chunk.  Mostly that connects a region but for a few
+    classes; what is outside its largest part then meets all other chunks.  So a
+    text is sent about three times, however many copies a region holds.
+    """
+    total = members.groupBy("region").agg(chunk_number(F.sum(F.col("size") + DOCUMENT_WEIGHT)).alias("chunks"))
+    chunked = members.join(total, "region").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
+    chunked = stage(chunked, "jaccard-chunks")
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["side", "k1", "k2"]).reset_index(drop=True)
+        own = [s for part in blocks(frame["text"].tolist(), BLOCK_CHARS) for s in shingle_sets(frame["text"].iloc[part].tolist(), n)]
+        labels = list(zip(frame["s1"], frame["s2"], strict=True))
+        links = matrix_links(own, rule, frame["side"].to_numpy(np.int64), bool(frame["inner"].iloc[0]), labels)
+        a, b = [x for x, _ in links], [y for _, y in links]
+        k1, k2 = frame["k1"].to_numpy(), frame["k2"].to_numpy()
+        return pd.DataFrame({"a1": k1[a], "a2": k2[a], "b1": k1[b], "b2": k2[b]})
+
+    def solved(tasks: DataFrame) -> DataFrame:
+        links = tasks.join(texts, ["t1", "t2"]).drop("t1", "t2").groupBy("region", "c", "d").applyInPandas(solve, "a1 long, a2 long, b1 long, b2 long")
+        return stage(links.select(pair("a1", "a2", "a"), pair("b1", "b2", "b")), "jaccard-found")
+
+    keys = ["k1", "k2", "t1", "t2", "region"]
+    # side 0 is compared in itself, and with side 1: the first chunk, beside every other one
+    homes = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    around = chunked.select(*keys, "chunk", F.explode(homes).alias("c"))
+    around = around.select(*keys, F.col("k1").alias("s1"), F.col("k2").alias("s2"), "c", F.lit(0).alias("d"), (F.col("chunk") != F.col("c")).cast("int").alias("side"), F.lit(True).alias("inner"))
+    found = solved(around)
+    large = chunked.where("chunks > 1")
+    if large.isEmpty():
+        return found
+    # the parts of large regions so far, and what is outside the largest of them
+    parts = components(found.join(large.select(pair("k1", "k2", "a")), "a", "left_semi"))
+    named = large.join(parts.select("node.k1", "node.k2", "label"), ["k1", "k2"], "left").withColumn("part", F.coalesce("label", pair("k1", "k2", "own"))).drop("label")
+    sizes = named.groupBy("region", "part").agg(F.count("*").alias("n"), F.sum(F.col("size") + DOCUMENT_WEIGHT).alias("weight"))
+    heads = sizes.groupBy("region").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("weight").alias("all"), F.max_by("weight", F.struct("n", "part")).alias("weight"))
+    heads = heads.where(F.col("all") > F.col("weight")).select("region", F.col("most.part").alias("head"), chunk_number(F.col("all") - F.col("weight")).alias("rests"))
+    # every class of a region with a rest; ``rest``: the number of its chunk of the rest, null in the largest part
+    left = stage(
+        named.join(heads, "region").withColumn("rest", F.when(F.col("part") != F.col("head"), F.pmod(F.xxhash64("k2", "k1"), F.col("rests")).cast("int"))).drop("head"), "jaccard-rest"
+    )
+    outside = left.where("rest is not null").select(*keys, "part", F.col("rest").alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"), F.lit(0).alias("side"))
+    inside = left.select(*keys, "part", "rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("c"), F.col("chunk").alias("d"))
+    inside = inside.where("rest is null or rest <> c").select(*keys, "part", "c", "d", F.lit(1).alias("side"))
+    across = outside.unionByName(inside).select(*keys, F.col("part.k1").alias("s1"), F.col("part.k2").alias("s2"), "c", "d", "side", (F.col("d") == 0).alias("inner"))
+    return found.unionByName(solved(across))
+
+
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (least id reachable by links) for each row."""
     rule = Rule(num, den)
@@ -414,15 +477,6 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
     members = stage(classes.join(regions, "k1").select("k1", "k2", "rep.t1", "rep.t2", "size", "region"), "jaccard-members")
     drop_stage(regions)
-    total = members.groupBy("region").agg(F.sum(F.col("size") + DOCUMENT_WEIGHT).alias("weight"))
-    chunked = members.join(total, "region").select(
-        "k1", "k2", "t1", "t2", "region", F.ceil(F.col("weight") / CHUNK_WEIGHT).cast("int").alias("chunks")
-    ).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
-    # a chunk meets every chunk of its region once; each pair of chunks is a task
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    tasks = chunked.select("k1", "k2", "t1", "t2", "region", "chunk", F.explode(others).alias("other")).select(
-        "k1", "k2", "t1", "t2", "region", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk"
-    )
     wanted = members.select("t1", "t2")
     few = wanted.count() <= BROADCAST_IDS
     texts = (
@@ -431,20 +485,8 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
         .groupBy("t1", "t2").agg(F.first("text").alias("text"))
     )
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["chunk", "k1", "k2"]).reset_index(drop=True)
-        own = shingle_sets(frame["text"].tolist(), n)
-        side = (frame["chunk"] != frame["c1"]).to_numpy(np.int64)
-        links = matrix_links(own, side, rule)
-        a, b = [x for x, _ in links], [y for _, y in links]
-        k1, k2 = frame["k1"].to_numpy(), frame["k2"].to_numpy()
-        return pd.DataFrame({"a1": k1[a], "a2": k2[a], "b1": k1[b], "b2": k2[b]})
-
-    solved = tasks.join(texts, ["t1", "t2"]).groupBy("region", "c1", "c2").applyInPandas(solve, "a1 long, a2 long, b1 long, b2 long")
-    found = stage(solved, "jaccard-found")
+    labels = components(region_links(members, texts, rule, n))
     drop_stage(members)
-    labels = components(found.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b")))
-    drop_stage(found)
     linked = classes.join(labels.select("node.k1", "node.k2", "label"), ["k1", "k2"])
     names = linked.groupBy("label").agg(F.min("first_id").alias("component"))
     named = classes.select("k1", "k2", "first_id").join(linked.join(names, "label").select("k1", "k2", "component"), ["k1", "k2"], "left")

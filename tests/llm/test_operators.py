@@ -394,3 +394,20 @@ def test_chat_query_against_sql(spark):
     expected = con.execute(queries.ORACLE["op10_chat"]).df().sort_values("conv_id").reset_index(drop=True)
     got = queries.QUERIES["op10_chat"](spark, SF).toPandas().sort_values("conv_id").reset_index(drop=True)
     assert got[expected.columns].astype(str).equals(expected.astype(str))
+
+
+def test_counts_with_a_remainder_equal_the_library(spark, monkeypatch):
+    lib = library()
+    docs = spark.createDataFrame([*enumerate([*ODD_TEXTS, None, *TEXTS[1:]]), (3, "twice"), (None, "no id")], "doc_id long, text string")
+    texts = [r["text"] or "" for r in docs.collect()]
+    expected = sorted((len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for t in texts)
+    for most, width in ((3, 48), (200_000, 2), (0, 48)):
+        monkeypatch.setattr(bpe, "COMMON_MOST", most)
+        monkeypatch.setattr(bpe, "COMMON_BYTES", width)
+        assert sorted((r["n_bytes"], r["n_tokens"]) for r in bpe.count_tokens(docs).collect()) == expected
+
+
+def test_pre_tokens_are_counted_once(spark):
+    docs = spark.createDataFrame([(k, "one two two three" + " x" * (k % 3)) for k in range(50)], "doc_id long, text string").repartition(5)
+    rows = bpe.distinct_pre_tokens(docs, "text", bpe.TOKENIZER).collect()
+    assert len({r["piece"] for r in rows}) == len(rows) and {r["piece"]: r["n"] for r in rows}[" two"] == 100
