@@ -16,11 +16,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of one Arrow batch: a Python worker holds a batch several times over (Arrow, pandas, strings).
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to Python workers once per application."""
+    """Send the package to Python workers once per application, and bound Arrow batches where the session has no bound below."""
     sc = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = str(spark.conf.get(setting)).rstrip("b")
+    if given.lstrip("-").isdigit() and not 0 < int(given) <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
