@@ -195,12 +195,14 @@ def distinct_pre_tokens(docs: DataFrame, text_col: str, tokenizer: str) -> DataF
                 if chars > PIECE_CHARS:
                     yield table()
                     held, chars = Counter(), 0
-        yield table()
+        if held:
+            yield table()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(tokenizer)
         for frame in frames:
-            yield frame.assign(pieces=[bpe.pieces(t) for t in frame["piece"]])
+            own = frame["piece"].tolist()
+            yield pd.DataFrame({"piece": own, "n": frame["n"].to_numpy(), "pieces": [bpe.pieces(t) for t in own]})
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     found = texts.mapInPandas(find, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -230,7 +232,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sums.append(total)
                 rests.append([t for t, _ in rest])
                 times.append([n for _, n in rest])
-            yield pd.DataFrame({"id": frame["id"], "n_bytes": frame["n_bytes"], "known": sums, "piece": rests, "n": times})
+            yield pd.DataFrame({"id": frame["id"].to_numpy(), "n_bytes": frame["n_bytes"].to_numpy(), "known": sums, "piece": rests, "n": times})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
@@ -365,7 +367,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     own = encode_block(bpe, texts[part], pool, leaf_chars)
                     packed = [x.astype("<u4").tobytes() for x in own]
                     decoded = [decode(bpe, x) for x in own]
-                    out = {"id": frame["id"].iloc[part], "n_tokens": [len(x) for x in own]}
+                    out = {"id": frame["id"].iloc[part].to_numpy(), "n_tokens": [len(x) for x in own]}
                     if digests:
                         out["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in packed]
                         out["decoded_sha256"] = [hashlib.sha256(x).hexdigest() for x in decoded]

@@ -411,3 +411,9 @@ def test_pre_tokens_are_counted_once(spark):
     docs = spark.createDataFrame([(k, "one two two three" + " x" * (k % 3)) for k in range(50)], "doc_id long, text string").repartition(5)
     rows = bpe.distinct_pre_tokens(docs, "text", bpe.TOKENIZER).collect()
     assert len({r["piece"] for r in rows}) == len(rows) and {r["piece"]: r["n"] for r in rows}[" two"] == 100
+
+
+def test_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([("a", "some words here of a text"), ("b", None), (None, "x")], "doc_id string, text string")
+    for table in (bpe.count_tokens(docs), bpe.encode_documents(docs), repetition.repetition_rules(docs), licenses.scan_licenses(docs), jaccard.link_components(docs)):
+        assert sorted(str(r["doc_id"]) for r in table.collect()) == ["None", "a", "b"]
