@@ -1,25 +1,32 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of text; a template matches it when the block holds at least
-``threshold`` of the template's distinct words.  Words are ordered by how many
-documents hold them, counted over all documents, rarest first.  A block that
-reaches the threshold must hold one of a template's first words in that order
-(prefix filter) and enough of its words at all (length filter), and at each
-shared word what is left on both sides must still suffice (positional filter);
-blocks that pass are compared in full.  None of the filters loses a match.
+A block of a template is any run of words of the whole text, across lines, of at
+most ``length`` words: the template's own number of words over the threshold.  A
+template matches it when the block holds at least ``threshold`` of the template's
+distinct words.  Words are ordered by how often documents hold them, counted over
+all documents, rarest first.
+
+- Length filter: a text with fewer distinct template words than needed has no block.
+- Prefix filter: a block that reaches the threshold must hold one of the template's
+  first words in that order (its size minus the need, plus one), so only the
+  surroundings of those places are looked at.
+- Positional filter: going through the template's words in that order, a surrounding
+  is given up as soon as more words are missing than may be.
+
+What passes is compared in full: of every block that starts and ends with a template
+word the distinct words are counted.  None of the filters loses a match.  Of
+different labels whose blocks overlap the one with the larger share stays.
 
 Phrases are found as well, word by word, and give labels of their own.
 
-:func:`scan_license_blocks` takes windows of the whole text instead of lines, so
-that a notice may be wrapped, and longer license texts as templates as well.
-
 Defined results: a null text is the empty text without labels; repeated rows
-repeat their result; an empty table gives an empty result; only the id and the
-text column are read.
+repeat their result; equal shares in one place all stay; an empty table gives an
+empty result; only the id and the text column are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
@@ -55,8 +62,6 @@ TEXTS = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 THRESHOLD = 0.9
-#: Templates with fewer distinct words than 1 / (1 - THRESHOLD) may lack one word that another license has as well.
-SHORT = 10
 #: What is not 0-9, a-z, A-Z or beyond ASCII separates words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -66,8 +71,15 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def template_words(templates: dict[str, str]) -> dict[str, frozenset[bytes]]:
-    return {label: frozenset(words_of(text.encode())) for label, text in templates.items()}
+def all_templates() -> list[tuple[str, str]]:
+    """Short notices and longer texts, with their labels."""
+    return [*TEMPLATES.items(), *TEXTS.items()]
+
+
+def needs(text: str, threshold: float = THRESHOLD) -> tuple[frozenset[bytes], int, int]:
+    """A template's distinct words, how many of them a block needs, and the longest block."""
+    words = words_of(text.encode())
+    return frozenset(words), ceil(round(threshold * len(set(words)), 9)), ceil(round(len(words) / threshold, 9))
 
 
 def word_order(docs: DataFrame, words: frozenset[bytes], text_col: str = "text") -> list[bytes]:
@@ -88,135 +100,127 @@ def word_order(docs: DataFrame, words: frozenset[bytes], text_col: str = "text")
 
 
 class Templates:
-    """Templates in word order, with an index of their prefixes."""
-
-    def __init__(self, templates: dict[str, frozenset[bytes]], order: list[bytes], threshold: float):
-        self.rank = {w: k for k, w in enumerate(order)}
-        self.sets = {label: sorted(map(self.rank.__getitem__, words)) for label, words in templates.items() if words}
-        self.need = {label: ceil(round(threshold * len(s), 9)) for label, s in self.sets.items()}
-        self.index: dict[int, list[tuple[str, int]]] = {}
-        for label, ranks in self.sets.items():
-            for place, rank in enumerate(ranks[: len(ranks) - self.need[label] + 1]):
-                self.index.setdefault(rank, []).append((label, place))
-        self.prefix_words = frozenset(order[k] for k in self.index)
-        self.shortest = min(self.need.values(), default=0)
-
-    def match(self, words: list[bytes]) -> dict[str, float]:
-        """Containment of each template that a block reaches the threshold of."""
-        block = sorted({self.rank[w] for w in words if w in self.rank})
-        if len(block) < self.shortest:
-            return {}
-        alive: dict[str, int] = {}
-        for j, rank in enumerate(block):
-            for label, i in self.index.get(rank, ()):
-                need, size = self.need[label], len(self.sets[label])
-                shared = alive.get(label, 0)
-                if shared < 0 or len(block) < need:
-                    continue
-                alive[label] = shared + 1 if shared + 1 + min(size - i - 1, len(block) - j - 1) >= need else -1
-        own, found = set(block), {}
-        for label, shared in alive.items():
-            if shared > 0 and (n := len(own.intersection(self.sets[label]))) >= self.need[label]:
-                found[label] = n / len(self.sets[label])
-        return found
-
-
-class BlockTemplates:
-    """Templates against all windows of a text that are a little longer than they are."""
+    """Templates with their words in global order, and the blocks of a text that match them."""
 
-    def __init__(self, templates: list[tuple[str, str]], order: list[bytes], threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], order: list[bytes], threshold: float = THRESHOLD):
         rank = {w: k for k, w in enumerate(order)}
-        uses = Counter(w for _, w in {(label, w) for label, text in templates for w in words_of(text.encode())})
         self.all = []
         for label, text in templates:
-            words = words_of(text.encode())
-            own = frozenset(words)
-            short = len(own) < SHORT
-            need = ceil(round(threshold * len(own), 9)) - (short and len(own) > 3)
-            must = frozenset(w for w in own if short and uses[w] == 1)
-            prefix = frozenset(sorted(own, key=rank.__getitem__)[: len(own) - need + 1])
-            self.all.append((label, own, need, must, prefix, ceil(len(words) / threshold)))
-
-    def windows(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
-        """Label, share, first and last word of each window that reaches its template's need."""
-        found, have = [], set(words)
-        for label, own, need, must, prefix, length in self.all:
-            if prefix.isdisjoint(have) or not must <= have or len(own & have) < need:
+            own, need, length = needs(text, threshold)
+            if own:
+                ranked = sorted(own, key=rank.__getitem__)
+                self.all.append((label, own, ranked, frozenset(ranked[: len(own) - need + 1]), need, length))
+        self.prefix_words = frozenset(w for t in self.all for w in t[3])
+
+    def blocks(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """Label, share, first and last word of each block that reaches its template's need, one for each last word."""
+        found: list[tuple[str, float, int, int]] = []
+        have = set(words)
+        if self.prefix_words.isdisjoint(have):
+            return found
+        for label, own, ranked, prefix, need, length in self.all:
+            if prefix.isdisjoint(have) or len(own & have) < need:
                 continue
             places = [(k, w) for k, w in enumerate(words) if w in own]
-            inside: Counter = Counter()
-            first = 0
-            for last, (k, w) in enumerate(places):
-                inside[w] += 1
-                while places[first][0] <= k - length:
-                    gone = places[first][1]
-                    inside[gone] -= 1
-                    if not inside[gone]:
-                        del inside[gone]
-                    first += 1
-                if len(inside) >= need and must <= inside.keys():
-                    found.append((label, len(inside) / len(own), places[first][0], places[last][0]))
+            for first, last in surroundings(places, prefix, length):
+                part = places[first:last]
+                if suffices({w for _, w in part}, ranked, need):
+                    found += [(label, n / len(own), a, b) for n, a, b in counted(part, need, length)]
         return found
 
     def match(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
-        """Best share and its first word for each label; of labels that meet in a place the best share stays."""
-        found = self.windows(words)
+        """Best share and its first word for each label; of labels that overlap the larger share stays."""
+        found = sorted(self.blocks(words), key=lambda x: (-x[1], x[2], x[3]))
         best: dict[str, tuple[float, int]] = {}
         for label, share, a, b in found:
-            if label in best and share <= best[label][0]:
-                continue
-            if not any(x != label and s > share and a <= d and c <= b for x, s, c, d in found):
+            if label not in best and not any(x != label and s > share and a <= d and c <= b for x, s, c, d in found):
                 best[label] = (share, a)
         return best
 
 
+def surroundings(places: list[tuple[int, bytes]], prefix: frozenset[bytes], length: int) -> list[tuple[int, int]]:
+    """Runs of places around prefix words that hold every block of at most ``length`` words with such a word."""
+    out: list[tuple[int, int]] = []
+    spots = [k for k, w in places if w in prefix]
+    at = [k for k, _ in places]
+    for spot in spots:
+        first, last = bisect_right(at, spot - length), bisect_right(at, spot + length - 1)
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], last)
+        else:
+            out.append((first, last))
+    return out
+
+
+def suffices(have: set[bytes], ranked: list[bytes], need: int) -> bool:
+    """Whether enough template words are there; given up when too many of the rarest are missing."""
+    may = len(ranked) - need
+    for word in ranked:
+        if word not in have:
+            may -= 1
+            if may < 0:
+                return False
+    return True
+
+
+def counted(places: list[tuple[int, bytes]], need: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """Distinct words, first and last word of each block that ends in one of the places and has enough."""
+    inside: Counter = Counter()
+    first = 0
+    for last, (k, w) in enumerate(places):
+        inside[w] += 1
+        while places[first][0] <= k - length:
+            gone = places[first][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            first += 1
+        if len(inside) >= need:
+            yield len(inside), places[first][0], places[last][0]
+
+
 def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """Start word and label of each place where a phrase stands."""
     joined = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in phrases.items():
-        at = joined.find(phrase)
+        at, before, word = joined.find(phrase), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", before, at)
+            before = at
+            found.append((word, label))
             at = joined.find(phrase, at + 1)
     return found
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Phrases, template matches and the lines that hold them, for each whole text."""
-    sets = template_words(templates or TEMPLATES)
-    order = word_order(docs, frozenset().union(*sets.values()), text_col)
-    known = Templates(sets, order, threshold)
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Phrases and template matches, with the first word of the first matching block, for each whole text."""
+    own_templates = all_templates() if templates is None else templates
+    order = word_order(docs, frozenset(w for _, text in own_templates for w in words_of(text.encode())), text_col)
+    known = Templates(own_templates, order, threshold)
     phrases = {b" " + p.encode() + b" ": label for p, label in PHRASES.items()}
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(text: str) -> tuple:
-        raw = text.encode()
-        words = words_of(raw)
+        words = words_of(text.encode())
         base = phrase_places(words, phrases)
-        found: dict[str, float] = {}
-        lines: list[int] = []
-        if not known.prefix_words.isdisjoint(words):
-            for n, line in enumerate(raw.split(b"\n")):
-                if got := known.match(words_of(line)):
-                    lines.append(n)
-                    for label, share in got.items():
-                        found[label] = max(share, found.get(label, 0.0))
+        found = known.match(words)
         own = {label for _, label in base}
         starts = [k for k, _ in base]
         return (
             len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)),
-            ",".join(sorted(own | set(found))), max([1.0 * bool(base), *found.values()]), lines,
+            ",".join(sorted(own | set(found))), max([1.0 * bool(base), *(s for s, _ in found.values())]), min((a for _, a in found.values()), default=None),
         )
 
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "lines"]
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "block_word"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
             for part in blocks(texts):
                 out = pd.DataFrame([scan(t) for t in texts[part]], columns=names)
-                out["first_word"], out["last_word"] = out["first_word"].astype("Int64"), out["last_word"].astype("Int64")
+                for name in ("first_word", "last_word", "block_word"):
+                    out[name] = out[name].astype("Int64")
                 out["score"] = out["score"].astype(np.float64)
                 out.insert(0, "id", frame["id"].iloc[part].to_numpy())
                 yield out
@@ -224,30 +228,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = own.mapInPandas(
         run,
-        f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, lines array<int>",
+        f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, block_word long",
     )
     return out.withColumnRenamed("id", id_col)
-
-
-def scan_license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Labels, best share and first word of template matches in any window of each whole text, across lines."""
-    own_templates = [*TEMPLATES.items(), *TEXTS.items()] if templates is None else templates
-    order = word_order(docs, frozenset(w for _, text in own_templates for w in words_of(text.encode())), text_col)
-    known = BlockTemplates(own_templates, order, threshold)
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for part in blocks(texts):
-                rows = []
-                for text in texts[part]:
-                    got = known.match(words_of(text.encode()))
-                    rows.append((",".join(sorted(got)), max((s for s, _ in got.values()), default=0.0), min((a for _, a in got.values()), default=None)))
-                out = pd.DataFrame(rows, columns=["block_labels", "block_score", "block_word"])
-                out["block_word"] = out["block_word"].astype("Int64")
-                out.insert(0, "id", frame["id"].iloc[part].to_numpy())
-                yield out
-
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(run, f"id {id_type}, block_labels string, block_score double, block_word long").withColumnRenamed("id", id_col)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pagequarry.llm import licenses, repetition
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,32 +78,41 @@ SELECT *, NOT base_failed AND method_kept AS kept FROM f
 
 
 def license_sql() -> str:
-    """Phrases by position, and templates against the distinct words of each line."""
-    sets = licenses.template_words(licenses.TEMPLATES)
-    rows = ", ".join(
-        f"('{label}', [{', '.join(repr(w.decode()) for w in sorted(words))}], {ceil(round(licenses.THRESHOLD * len(words), 9))})" for label, words in sorted(sets.items())
-    )
+    """Phrases by position; templates by counting the distinct words of every block between two template words."""
+    quoted = lambda words: ", ".join(repr(w.decode()) for w in sorted(words))
+    rows = []
+    for number, (label, text) in enumerate(licenses.all_templates()):
+        words, need, length = licenses.needs(text)
+        rows.append(f"({number}, '{label}', [{quoted(words)}], {need}, {length})")
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in licenses.PHRASES.items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH t AS (SELECT doc_id, {_LOWER} AS text FROM documents),
 d AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS ws FROM t),
-template(label, words, need) AS (VALUES {rows}),
+template(k, label, words, need, length) AS (VALUES {", ".join(rows)}),
 phrase(label, words) AS (VALUES {phrases}),
 pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d),
 place AS (SELECT doc_id, label, k - 1 AS k FROM pos JOIN phrase ON ws[k] = words[1] AND ws[k:k + len(words) - 1] = words),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM place GROUP BY doc_id),
-line AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '{word}')) AS ws FROM t),
+near AS (SELECT doc_id, ws, template.* FROM d, template WHERE len(list_intersect(list_distinct(ws), words)) >= need),
+scope AS (SELECT doc_id, k, label, need, length, len(words) AS size, unnest(range(1, len(ws) + 1)) AS p, ws, words FROM near),
+spot AS (SELECT doc_id, k, label, need, length, size, p - 1 AS p, ws[p] AS w FROM scope WHERE list_contains(words, ws[p])),
+block AS (
+  SELECT b.doc_id, b.k, b.label, CAST(count(DISTINCT a.w) AS DOUBLE) / b.size AS share, min(a.p) AS a, b.p AS b
+  FROM spot b JOIN spot a ON a.doc_id = b.doc_id AND a.k = b.k AND a.p <= b.p AND a.p > b.p - b.length
+  GROUP BY b.doc_id, b.k, b.label, b.size, b.need, b.p HAVING count(DISTINCT a.w) >= b.need),
 found AS (
-  SELECT doc_id, label, max(CAST(len(list_intersect(ws, words)) AS DOUBLE) / len(words)) AS share
-  FROM line, template WHERE len(list_intersect(ws, words)) >= need GROUP BY ALL),
+  SELECT doc_id, label, share, a FROM block x WHERE NOT EXISTS (
+    SELECT 1 FROM block y WHERE y.doc_id = x.doc_id AND y.label <> x.label AND y.share > x.share AND x.a <= y.b AND y.a <= x.b)),
 both_kinds AS (SELECT doc_id, label, share FROM found UNION ALL SELECT doc_id, label, 1.0 FROM place),
-total AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM both_kinds GROUP BY doc_id)
+total AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM both_kinds GROUP BY doc_id),
+best AS (SELECT doc_id, label, a FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY share DESC, a) = 1),
+earliest AS (SELECT doc_id, min(a) AS block_word FROM best GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM d LEFT JOIN base USING (doc_id) LEFT JOIN total USING (doc_id)
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, block_word
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN total USING (doc_id) LEFT JOIN earliest USING (doc_id)
 """
 
 

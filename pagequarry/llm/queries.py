@@ -39,8 +39,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~langid.held_out("doc_id", 3, 1))
     out = toxicity.score_documents(docs, model)
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select(
-        "doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+        "doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), offsets.alias("offsets")
     )
 
 
@@ -59,7 +60,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
-    return licenses.scan_licenses(_documents(spark, sf_dir)).drop("lines")
+    return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

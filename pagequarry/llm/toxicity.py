@@ -6,10 +6,12 @@ not occur in clean ones are chosen greedily until the toxic ones are explained;
 the words they match in toxic documents are the labelled tokens.  The field is
 trained on stretches around those and on stretches of clean text.
 
-Fitting uses a bounded sample of labelled rows: ``MAX_TOXIC`` and ``MAX_CLEAN``
-of them, picked by a hash of the id, equal texts once.  Scoring takes every
-whole text: forward and backward passes give each word's marginal, the largest
-is the document's score, and words of at least one half are the offending spans.
+Fitting uses a bounded sample of labelled rows: about ``MAX_TOXIC`` and ``MAX_CLEAN``
+of them at any size of the tables, picked by a hash of the id, equal texts once,
+and of these, in order of a hash, as many whole texts as ``MAX_CHARS`` hold.  Scoring
+takes every whole text: forward and backward passes give each word's marginal, the
+largest is the document's score, and words of at least one half are the offending
+spans, given by their places in the text itself.
 
 Defined results: a null text or one without letters scores 0; without labels of
 both kinds every text scores 0; conflicting labels of a document count as toxic;
@@ -30,9 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
+from pagequarry.llm.rows import hash63, quota_sample
+from pagequarry.workspace import drop_stage, stage
 
 MAX_TOXIC = 1_000
 MAX_CLEAN = 2_000
+#: Characters of sampled texts that reach the driver, at most.
+MAX_CHARS = 30_000_000
 STRETCH = 24
 EPOCHS = 60
 THRESHOLD = 0.7
@@ -41,7 +47,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
 
 
 def features(word: str) -> list[str]:
@@ -74,30 +80,46 @@ class Scores(dict):
         return value
 
 
-def marginals(odds: np.ndarray, transitions: np.ndarray, start: float) -> np.ndarray:
-    """Forward-backward marginals of the toxic label; ``odds`` is (time, batch), 1 beyond a sequence's end is not needed.
+def messages(odds: np.ndarray, transitions: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward messages (with a word's own emission) and backward ones (without), as ratios of the two labels.
 
-    With two labels each pass carries one number, the ratio of its two messages.
-    Columns are aligned at their start; rows beyond a shorter sequence's end hold NaN.
+    ``odds`` is (time, batch); rows beyond a shorter sequence's end hold NaN.
     """
     (t00, t01), (t10, t11) = transitions
     ended = np.isnan(odds)
     odds = np.where(ended, 1.0, odds)
-    ahead = np.empty_like(odds)
+    ahead, behind = np.empty_like(odds), np.empty_like(odds)
     ahead[0] = r = odds[0] * np.exp(start)
     for t in range(1, len(odds)):
         r = odds[t] * (t01 + r * t11) / (t00 + r * t10)
         ahead[t] = r
     s = np.ones(odds.shape[1])
     for t in range(len(odds) - 1, -1, -1):
-        ahead[t] *= s
+        behind[t] = s
         v = odds[t] * s
         s = np.where(ended[t], 1.0, (t10 + t11 * v) / (t00 + t01 * v))
-    out = ahead / (1.0 + ahead)
-    out[ended] = 0.0
+    return ahead, behind
+
+
+def marginals(odds: np.ndarray, transitions: np.ndarray, start: float) -> np.ndarray:
+    """Forward-backward marginals of the toxic label; 0 beyond a sequence's end."""
+    ahead, behind = messages(odds, transitions, start)
+    ratio = ahead * behind
+    out = ratio / (1.0 + ratio)
+    out[np.isnan(odds)] = 0.0
     return out
 
 
+def pair_marginals(odds: np.ndarray, transitions: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """(2, 2, time - 1, batch): chance of each pair of labels at two neighbouring places."""
+    after = np.where(np.isnan(odds[1:]), 1.0, odds[1:]) * behind[1:]
+    out = np.empty((2, 2, *after.shape))
+    for a in (0, 1):
+        for b in (0, 1):
+            out[a, b] = (ahead[:-1] if a else 1.0) * transitions[a, b] * (after if b else 1.0)
+    return out / out.sum(axis=(0, 1))
+
+
 def batched(lengths: list[int], most: int = 1_500_000) -> Iterator[list[int]]:
     """Indices in batches of similar length, so little is padding."""
     order = sorted(range(len(lengths)), key=lengths.__getitem__)
@@ -131,9 +153,7 @@ def score_texts(texts: list[str], model: Crf, known: Scores) -> tuple[list[float
             scores[k] = float(best[c])
             if best[c] >= 0.5:
                 bad = set(np.flatnonzero(found[:, c] >= 0.5).tolist())
-                # lower() may change a text's length, so places are found in the text itself when it does not
-                source = texts[k] if len(texts[k].lower()) == len(texts[k]) else texts[k].lower()
-                spans[k] = [m.span() for n, m in enumerate(_WORD.finditer(source.lower())) if n in bad]
+                spans[k] = [m.span() for n, m in enumerate(_WORD.finditer(texts[k])) if n in bad]
     return scores, spans
 
 
@@ -242,11 +262,38 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Crf:
     return model
 
 
+@dataclass
+class Stretches:
+    """Tagged stretches as arrays: feature ids (time, batch, 3), tags, which places are there, number of features."""
+
+    ids: np.ndarray
+    tags: np.ndarray
+    present: np.ndarray
+    size: int
+
+
+def slope(params: np.ndarray, data: Stretches) -> np.ndarray:
+    """Gradient of the mean log-likelihood a place: weights, bias, start, four transitions (logs)."""
+    size = data.size
+    weights, bias, start, moves = np.append(params[:size], 0.0), params[size], params[size + 1], params[size + 2 :].reshape(2, 2)
+    flat = data.ids.reshape(-1)
+    raw = bias + weights[flat].reshape(data.ids.shape).sum(axis=2)
+    odds = np.where(data.present, np.exp(np.clip(raw, -30, 30)), np.nan)
+    factors = np.exp(moves)
+    ahead, behind = messages(odds, factors, start)
+    p = ahead * behind / (1.0 + ahead * behind)
+    gap = np.where(data.present, data.tags - p, 0.0)
+    here = data.present[1:] & data.present[:-1]
+    expected = (pair_marginals(odds, factors, ahead, behind) * here).sum(axis=(2, 3))
+    truth = np.array([[np.sum(here & (data.tags[:-1] == a) & (data.tags[1:] == b)) for b in (0, 1)] for a in (0, 1)])
+    own = np.bincount(flat, weights=np.repeat(gap.reshape(-1), data.ids.shape[2]), minlength=size + 1)[:size]
+    return np.concatenate([own, [gap.sum(), gap[0].sum()], (truth - expected).reshape(-1)]) / data.present.sum()
+
+
 def _fit_stretches(stretches: list[tuple[list[str], list[int]]]) -> Crf:
     """Maximise the conditional likelihood of tagged stretches by gradient steps."""
     index: dict[str, int] = {}
-    width = 3
-    ids = np.full((STRETCH, len(stretches), width), -1, np.int64)
+    ids = np.full((STRETCH, len(stretches), 3), -1, np.int64)
     tags = np.zeros((STRETCH, len(stretches)))
     present = np.zeros((STRETCH, len(stretches)), bool)
     for c, (words, ys) in enumerate(stretches):
@@ -255,59 +302,38 @@ def _fit_stretches(stretches: list[tuple[list[str], list[int]]]) -> Crf:
                 ids[t, c, j] = index.setdefault(f, len(index))
         tags[: len(ys), c], present[: len(ys), c] = ys, True
     size = len(index)
-    weights = np.zeros(size + 1)  # the last stands for no feature and stays 0
-    bias, start, moves = -4.0, 0.0, np.zeros((2, 2))
+    # the id after the last stands for no feature
+    data = Stretches(np.where(ids < 0, size, ids), tags, present, size)
+    params = np.zeros(size + 6)
+    params[size] = -4.0
     first, second = np.zeros(size + 6), np.zeros(size + 6)
-    flat = ids.reshape(-1)
-    flat = np.where(flat < 0, size, flat)
-    pair_here = present[1:] & present[:-1]
-    truth = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            truth[a, b] = np.sum(pair_here & (tags[:-1] == a) & (tags[1:] == b))
-    count = present.sum()
     for epoch in range(1, EPOCHS + 1):
-        raw = bias + weights[flat].reshape(ids.shape).sum(axis=2)
-        odds = np.where(present, np.exp(np.clip(raw, -30, 30)), np.nan)
-        factors = np.exp(moves)
-        p = marginals(odds, factors, start)
-        gap = np.where(present, tags - p, 0.0)
-        # expected transitions, from the marginals of neighbours weighted by the transition factors
-        q = np.empty((2, 2, *pair_here.shape))
-        for a in (0, 1):
-            for b in (0, 1):
-                q[a, b] = (p[:-1] if a else 1 - p[:-1]) * (p[1:] if b else 1 - p[1:]) * factors[a, b]
-        q /= np.maximum(q.sum(axis=(0, 1)), 1e-300)
-        expected = (q * pair_here).sum(axis=(2, 3))
-        slope = np.concatenate(
-            [
-                np.bincount(flat, weights=np.repeat(gap.reshape(-1), width), minlength=size + 1)[:size] / count - 1e-6 * weights[:size],
-                [gap.sum() / count, gap[0].sum() / count],
-                ((truth - expected) / count).reshape(-1),
-            ]
-        )
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        step = 0.2 * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-6)
-        weights[:size] += step[:size]
-        bias += step[size]
-        start += step[size + 1]
-        moves += step[size + 2 :].reshape(2, 2)
-    names = {f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 0.01}
-    return Crf(names, float(bias), np.exp(moves), float(start))
+        g = slope(params, data)
+        g[:size] -= 1e-6 * params[:size]
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g**2
+        params += 0.2 * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-6)
+    names = {f: float(params[k]) for f, k in index.items() if abs(params[k]) > 0.01}
+    return Crf(names, float(params[size]), np.exp(params[size + 2 :].reshape(2, 2)), float(params[size + 1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf:
     """Train on a bounded sample of labelled documents for which ``usable`` holds."""
     tags = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg((F.max(label_col) > 0).alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in tags.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    tags = tags.withColumn("h", hash63("labelled"))
+    counts = {r["toxic"]: (r["n"], r["least"]) for r in tags.groupBy("toxic").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}
+    if len(counts) < 2:
         return Crf()
-    share = F.when(F.col("toxic"), int(1e6 * min(1, MAX_TOXIC / sizes[True]))).otherwise(int(1e6 * min(1, MAX_CLEAN / sizes[False])))
-    # some MAX_TOXIC + MAX_CLEAN ids at any size of the tables, so they are broadcast and no text is shuffled
-    drawn = tags.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < share)
+    # about MAX_TOXIC + MAX_CLEAN ids at any size of the tables, so they are broadcast and no text is shuffled
+    drawn = quota_sample(tags, counts, {True: MAX_TOXIC, False: MAX_CLEAN}, "toxic", "h").select("labelled", "toxic")
     rows = docs.where(usable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text"))
-    got = rows.join(F.broadcast(drawn), "labelled").groupBy("text").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").collect()
-    return train([r["text"] for r in got if r["toxic"]], [r["text"] for r in got if not r["toxic"]])
+    got = stage(rows.join(F.broadcast(drawn), "labelled").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("text")), "toxicity-sample")
+    order = got.select("h", F.length("text").alias("n")).orderBy("h").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
+    chars = np.cumsum([r["n"] for r in order])
+    last = int(np.searchsorted(chars, MAX_CHARS, "right"))
+    held = got.where(F.col("h") < order[last]["h"]) if last < len(order) else got
+    texts = held.orderBy("h", "text").select("text", "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
+    drop_stage(got)
+    return train([r["text"] for r in texts if r["toxic"]], [r["text"] for r in texts if not r["toxic"]])
 
 
 def score_documents(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

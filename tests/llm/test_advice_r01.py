@@ -75,7 +75,7 @@ def test_license_blocks_cross_lines(spark):
         1: "Some words.\nLicensed under the Apache License,\nVersion 2.0\nmore",
         2: "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted",
         3: "\n".join(" ".join(mit[k : k + 7]) for k in range(0, len(mit), 7)),
-        4: "Released under MIT License",
+        4: "Released under the\n MIT License",
         5: "This library is licensed under the GNU Lesser\nGeneral Public License, version 3",
         6: "Licensed under CC BY 4.0",
         7: "apache " + "word " * 60 + "licensed under the license version 2 0",
@@ -83,11 +83,11 @@ def test_license_blocks_cross_lines(spark):
         9: "This library is licensed under the GNU Lesser General Public License, version 3. " + "x " * 40 + licenses.TEMPLATES["gpl-3.0"],
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in licenses.scan_license_blocks(docs).collect()}
-    labels = {k: r["block_labels"] for k, r in got.items()}
-    assert labels == {1: "apache-2.0", 2: "bsd", 3: "mit", 4: "mit", 5: "lgpl-3.0", 6: "", 7: "", 8: "", 9: "gpl-3.0,lgpl-3.0"}
-    assert got[1]["block_word"] == 2 and got[1]["block_score"] == 1.0
-    assert licenses.scan_license_blocks(docs.where("false")).count() == 0
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    labels = {k: r["labels"] for k, r in got.items()}
+    assert labels == {1: "apache-2.0", 2: "bsd", 3: "mit", 4: "mit", 5: "gpl,lgpl-3.0", 6: "cc-by", 7: "", 8: "", 9: "gpl,gpl-3.0,lgpl-3.0"}
+    assert got[1]["block_word"] == 2 and got[1]["score"] == 1.0
+    assert licenses.scan_licenses(docs.where("false")).count() == 0
 
 
 def test_contamination_with_a_repeated_tail(spark):

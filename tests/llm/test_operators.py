@@ -263,24 +263,35 @@ def test_licenses(spark):
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
-    assert (got[1]["labels"], got[1]["n_base"], got[1]["lines"]) == ("apache-2.0", 0, [1])
+    assert (got[1]["labels"], got[1]["n_base"], got[1]["block_word"]) == ("apache-2.0", 0, 1)
     assert (got[2]["base_labels"], got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == ("cc-by,reserved", 3, 0, 5)
-    assert (got[3]["base_labels"], got[3]["first_word"]) == ("gpl", 3) and got[6]["labels"] == "apache-2.0" and got[7]["labels"] == ""
+    assert (got[3]["base_labels"], got[3]["first_word"]) == ("gpl", 3) and got[6]["labels"] == "apache-2.0" and got[7]["labels"] == "apache-2.0"
     assert got[8]["first_word"] == 2 and got[4]["n_words"] == got[5]["n_words"] == 0 and got[4]["first_word"] is None
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def brute_blocks(words, templates, threshold):
+    """Label, share, first and last word of all blocks, by trying every window."""
+    found = set()
+    for label, text in templates:
+        own = licenses.words_of(text.encode())
+        length, need = -int(-len(own) // threshold), -int(-round(threshold * len(set(own)), 9) // 1)
+        for b in range(len(words)):
+            places = [k for k in range(max(0, b - length + 1), b + 1) if words[k] in own]
+            if words[b] in own and len({words[k] for k in places}) >= need:
+                found.add((label, len({words[k] for k in places}) / len(set(own)), places[0], b))
+    return found
+
+
 def test_license_join_is_exact():
     draw = random.Random(7)
     letters = [c.encode() for c in "abcdefghij"]
     for _ in range(300):
-        templates = {str(k): frozenset(draw.sample(letters, draw.randint(1, 6))) for k in range(4)}
-        order = sorted(frozenset().union(*templates.values()), key=lambda _: draw.random())
-        threshold = draw.choice([0.5, 0.75, 0.9, 1.0])
-        known = licenses.Templates(templates, order, threshold)
-        block = draw.choices(letters, k=draw.randint(0, 9))
-        expected = {k: len(t & set(block)) / len(t) for k, t in templates.items() if len(t & set(block)) >= threshold * len(t) - 1e-9}
-        assert known.match(block) == expected
+        templates = [(str(k), b" ".join(draw.choices(letters, k=draw.randint(1, 7))).decode()) for k in range(4)]
+        order = sorted({w for _, t in templates for w in licenses.words_of(t.encode())}, key=lambda _: draw.random())
+        threshold = draw.choice([0.5, 0.75, 0.8, 1.0])
+        words = draw.choices([*letters, b"x", b"y"], k=draw.randint(0, 40))
+        assert set(licenses.Templates(templates, order, threshold).blocks(words)) == brute_blocks(words, templates, threshold)
 
 
 # --- 9 ---
@@ -417,3 +428,94 @@ def test_ids_may_be_strings(spark):
     docs = spark.createDataFrame([("a", "some words here of a text"), ("b", None), (None, "x")], "doc_id string, text string")
     for table in (bpe.count_tokens(docs), bpe.encode_documents(docs), repetition.repetition_rules(docs), licenses.scan_licenses(docs), jaccard.link_components(docs)):
         assert sorted(str(r["doc_id"]) for r in table.collect()) == ["None", "a", "b"]
+
+
+def test_combs_and_odd_roles(spark):
+    # a comb: each message on the way has a side reply; the way itself scores best
+    rows = [(1, 0, None, "user", "0", 0.0)]
+    for k in range(1, 40):
+        rows += [(1, 2 * k, 2 * k - 2, ("user", "assistant")[k % 2], str(k), 1.0), (1, 2 * k + 1, 2 * k - 2, "side", "s", 0.5)]
+    # a branching that hangs from a cycle
+    rows += [(2, 0, 1, "user", "c", 0.0), (2, 1, 0, "user", "c", 0.0), (2, 2, 1, "user", "off", 0.0), (2, 3, 2, "user", "off", 0.0), (2, 4, 2, "user", "off", 0.0)]
+    odd = ["a\\nb", "a\nb", "\\", "<s>\n\\n", "", None]
+    rows += [(10 + k, 0, None, role, "text\\n\n", 0.0) for k, role in enumerate(odd)]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    out = {r["tree"]: r for r in chat.format_chats(messages).withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    assert [t["text"] for t in out[1]["turns"]] == [str(k) for k in range(40)] and out[1]["path_score"] == 39.0 and 2 not in out
+    for k, role in enumerate(odd):
+        assert [(t["role"], t["text"]) for t in out[10 + k]["turns"]] == [(role or "", "text\\n\n")]
+    assert chat.format_chats(messages, top_k=100).where("tree = 1").count() == 40
+
+
+def test_field_gradient_equals_finite_differences():
+    draw = np.random.default_rng(1)
+    size, time, batch = 4, 5, 3
+    ids = draw.integers(0, size + 1, (time, batch, 3))
+    present = np.ones((time, batch), bool)
+    present[3:, 1] = present[1:, 2] = False
+    tags = np.where(present, draw.integers(0, 2, (time, batch)), 0).astype(float)
+    data = toxicity.Stretches(ids, tags, present, size)
+    params = draw.normal(0, 0.7, size + 6)
+
+    def likelihood(v):
+        w, bias, start, moves = np.append(v[:size], 0.0), v[size], v[size + 1], v[size + 2 :].reshape(2, 2)
+        total = 0.0
+        for c in range(batch):
+            n = int(present[:, c].sum())
+            raw = bias + w[ids[:n, c]].sum(axis=1)
+            value = lambda y: start * y[0] + sum(raw[k] * y[k] for k in range(n)) + sum(moves[a, b] for a, b in zip(y[:-1], y[1:], strict=True))  # noqa: B023, E731
+            total += value(tags[:n, c].astype(int)) - np.logaddexp.reduce([value([p >> k & 1 for k in range(n)]) for p in range(1 << n)])
+        return total / present.sum()
+
+    got = toxicity.slope(params, data)
+    for k in range(size + 6):
+        step = np.zeros(size + 6)
+        step[k] = 1e-5
+        assert abs((likelihood(params + step) - likelihood(params - step)) / 2e-5 - got[k]) < 1e-6
+
+
+def test_spans_are_places_in_the_text():
+    model = toxicity.Crf({"wvilewort": 60.0}, -30.0)
+    texts = ["İİİİ vilewort here", "VILEWORT", "clean words"]
+    scores, spans = toxicity.score_texts(texts, model, toxicity.Scores(model))
+    assert [[t[a:b] for a, b in own] for t, own in zip(texts, spans, strict=True)] == [["vilewort"], ["VILEWORT"], []]
+    assert scores[0] > 0.9 and scores[2] < 0.1
+
+
+def brute_bayes(rows, text):
+    import math
+
+    langs, counts = sorted({x for _, x in rows}), {}
+    for t, x in rows:
+        counts.setdefault(x, Counter()).update(langid.hashed_ngrams(t).tolist())
+    logs = {}
+    for x in langs:
+        total = sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS
+        logs[x] = math.log(sum(y == x for _, y in rows) / len(rows)) + sum(math.log((counts[x][b] + langid.SMOOTHING) / total) for b in langid.hashed_ngrams(text).tolist())
+    best = max(langs, key=lambda x: logs[x])
+    return best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+
+def test_languages_equal_brute_force_bayes(spark):
+    draw = random.Random(8)
+    word = lambda letters: "".join(draw.choices(letters, k=draw.randint(1, 6)))
+    rows = [(" ".join(word(letters) for _ in range(draw.randint(1, 8))), x) for x, letters, n in (("aa", "abcdé", 12), ("bb", "abxyz", 30), ("cc", "cdxyß", 5)) for _ in range(n)]
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, "text", "lang", key=F.col("doc_id"))
+    tried = [t for t, _ in rows] + ["a", "x y", "ß", "dé ab", "zzz"]
+    for t, name, score in zip(tried, *langid.score_block(tried, model), strict=True):
+        best, chance = brute_bayes(rows, t)
+        assert abs(score - chance) < 1e-3 and (name == best or chance < 0.501)
+
+
+def test_samples_hold_every_label_at_any_size(spark):
+    from pagequarry.llm.rows import label_shares, quota_sample
+
+    counts = {"en": (10**11, 5), "rare": (3, 1 << 60), "mid": (10**6, 17)}
+    shares = label_shares(counts, dict.fromkeys(counts, 5_000))
+    assert shares["rare"] == (1 << 63) - 1 and shares["en"] / 2**63 * 10**11 == pytest.approx(5_000, rel=0.01)
+    assert label_shares({"x": (10**30, 9)}, {"x": 1}) == {"x": 9}
+    rows = spark.range(20_000).select(F.when(F.col("id") < 7, "few").otherwise("many").alias("label"), langid.hash63("id").alias("h"))
+    found = {r["label"]: (r["n"], r["least"]) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}
+    got = {r["label"]: r["count"] for r in quota_sample(rows, found, {"few": 100, "many": 100}, "label", "h").groupBy("label").count().collect()}
+    assert got["few"] == 7 and 50 < got["many"] < 200
