@@ -67,9 +67,9 @@ DOCUMENT_WEIGHT = 400
 #: Texts in regions are looked up by a broadcast of so many hashes at most (16 bytes each), else by shuffle.
 BROADCAST_IDS = 500_000
 #: A run of documents remembers so many classes that it has sent.
-CLASSES_KEPT = 200_000
+CLASSES_KEPT = 50_000
 GROUP_SIZE = 16
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 MAX_ROUNDS = 60
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
