@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.sources.scan import ScanOptions, scan
+from pagequarry.sources.scan import INFO_KEYS, ScanOptions, scan
 
 
 def live_entries(entries: DataFrame) -> DataFrame:
@@ -54,7 +56,8 @@ _VALUES = ["kind", "bool_val", "int_val", "real_val", "name_val", "bytes_val", "
 def inherited(key: str, levels: Column | None = None) -> Column:
     """A page's attribute: of its chain, from itself upwards, the first that has the key."""
     attributes = levels if levels is not None else F.col("attributes")
-    return F.get(F.array_sort(F.filter(attributes, lambda a: a["key"] == key), lambda a, b: a["depth"] - b["depth"]), 0)
+    # the scan lists a page's own attributes before its parents'
+    return F.get(F.filter(attributes, lambda a: a["key"] == key), 0)
 
 
 def joined_content(parts: Column) -> Column:
@@ -67,9 +70,9 @@ def joined_content(parts: Column) -> Column:
 BOXES = {"MediaBox": "media_box", "CropBox": "crop_box", "BleedBox": "bleed_box", "TrimBox": "trim_box", "ArtBox": "art_box"}
 
 
-def pages(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Pages with boxes, rotation, resource names and content; no shuffle is needed."""
-    spine = scan(files, "page_spine", options)
+def pages(files: DataFrame, options: ScanOptions | None = None, contents: bool = True) -> DataFrame:
+    """Pages with boxes, rotation, resource names and (unless told not to decode it) content; no shuffle is needed."""
+    spine = scan(files, "page_spine", replace(options or ScanOptions(), contents=contents))
     box = lambda key: F.when(inherited(key)["kind"] == "array", T.normal_rect(inherited(key)["numbers"]))
     rotate = inherited("Rotate")
     return spine.select(
@@ -79,20 +82,17 @@ def pages(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     )
 
 
-#: Standard information entries and their columns (fixed values).
-INFO = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "creator", "Producer": "producer"}
-DATES = {"CreationDate": ("creation_date", "creation_tz_s"), "ModDate": ("mod_date", "mod_tz_s")}
+DATES = {"creation_date": "creation_tz_s", "mod_date": "mod_tz_s"}
 
 
 def document_info(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """One row per file that has information entries."""
-    entries = scan(files, "info_entries", options).select("doc_id", "key", T.decode_text(F.col("bytes_val")).alias("value"))
-    known = [*INFO, *DATES]
-    value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
-    custom = F.map_from_entries(F.collect_list(F.when(~F.col("key").isin(known), F.struct("key", "value"))))
-    rows = entries.groupBy("doc_id").agg(*[value(k).alias(v) for k, v in INFO.items()], *[value(k).alias(k) for k in DATES], custom.alias("custom"))
-    dates = [c for k, (instant, offset) in DATES.items() for c in (T.parse_date(F.col(k)).alias(instant), T.date_offset(F.col(k)).alias(offset))]
-    return rows.select("doc_id", *INFO.values(), *dates, "custom")
+    """One row per file that opens: standard entries as text and instants, all others as a map; no shuffle is needed."""
+    raw = scan(files, "info", options)
+    texts = [k for k in INFO_KEYS.values() if k not in DATES]
+    shown = raw.select("doc_id", *[T.decode_text(F.col(k)).alias(k) for k in texts], *[T.decode_text(F.col(k)).alias(k) for k in DATES], "custom")
+    dates = [c for k, offset in DATES.items() for c in (T.parse_date(F.col(k)).alias(k), T.date_offset(F.col(k)).alias(offset))]
+    custom = F.map_from_entries(F.transform("custom", lambda e: F.struct(e["key"].alias("key"), T.decode_text(e["value"]).alias("value"))))
+    return shown.select("doc_id", *texts, *dates, custom.alias("custom"))
 
 
 def embedded_files(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:

@@ -48,9 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes]) -> DataFrame:
     """One file per row, as (doc_id, content)."""
-    least = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < least:
-        rows = rows.repartition(least)
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -236,7 +234,7 @@ def q15_page_tree(spark, sf_dir):
 def q16_boxes(spark, sf_dir):
     """Boxes with corners in any order."""
     files = _page_files(spark, sf_dir, lambda x: b"/MediaBox [%s %s -1.5 7]" % (repr(x["l_quantity"]).encode(), repr(x["l_extendedprice"]).encode()))
-    return views.pages(files).select(_doc(), "page_index", "media_box.*")
+    return views.pages(files, contents=False).select(_doc(), "page_index", "media_box.*")
 
 
 @query(
@@ -251,7 +249,7 @@ def q17_inheritance(spark, sf_dir):
         return box + (b" /Rotate 180" if x["l_linenumber"] % 3 == 0 else b"")
 
     files = _page_files(spark, sf_dir, own, b"/MediaBox [0 0 100 200] /Rotate 90")
-    return views.pages(files).select(_doc(), "page_index", (F.col("media_box.urx") - F.col("media_box.llx")).alias("width"), "rotation")
+    return views.pages(files, contents=False).select(_doc(), "page_index", (F.col("media_box.urx") - F.col("media_box.llx")).alias("width"), "rotation")
 
 
 @query(
@@ -261,7 +259,7 @@ def q17_inheritance(spark, sf_dir):
 def q18_rotation(spark, sf_dir):
     """Negative, large and odd rotations."""
     files = _page_files(spark, sf_dir, lambda x: b"/Rotate %d" % (90 * x["l_linenumber"] - 180 + 45 * (x["l_linenumber"] % 4 == 3)))
-    return views.pages(files).select(_doc(), "page_index", "rotation")
+    return views.pages(files, contents=False).select(_doc(), "page_index", "rotation")
 
 
 @query(
@@ -290,7 +288,7 @@ def q20_resources(spark, sf_dir):
         return P.page_file([(b"", [])], b"/Resources <<" + b" ".join(keys) + b">>")
 
     files = files_of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", write)
-    return views.pages(files).select(_doc(), F.array_join("resource_keys", ",").alias("names"))
+    return views.pages(files, contents=False).select(_doc(), F.array_join("resource_keys", ",").alias("names"))
 
 
 # --- cross-reference sections ---
@@ -594,3 +592,47 @@ def q45_hostile_files(spark, sf_dir):
 
     files = files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write)
     return scan(files, "documents").select(_doc(), F.col("error").isNull().alias("opened"))
+
+
+@query("SELECT c_custkey AS doc_id, c_custkey % 5 <> 0 AS failed FROM customer")
+def q46_hostile_objects(spark, sf_dir):
+    """Objects that cannot be read give rows with an error beside those that can."""
+    bad = [b"(well)", b"[5 99999999999999999999 R]", b"{", b"99999999999999999999", b"<</A 1 2>>"]
+    write = lambda r: P.Writer().classic({**_BASE, 3: bad[r["c_custkey"] % 5]}).out
+    files = files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write)
+    return scan(files, "objects").where("num = 3").select(_doc(), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT c_custkey AS doc_id, c_name AS keywords, c_mktsegment AS segment, make_timestamp(2020 + c_custkey % 5, 3, 4, 5, 6, 7.0) AS modified FROM customer")
+def q47_custom_info(spark, sf_dir):
+    """Information entries of other names, keywords and the date of the last change."""
+
+    def write(r):
+        date = b"(D:%d0304050607Z)" % (2020 + r["c_custkey"] % 5)
+        return _info_file(b"()", more=b" /Keywords " + P.literal(r["c_name"].encode()) + b" /Segment " + P.literal(r["c_mktsegment"].encode()) + b" /ModDate " + date)
+
+    info = views.document_info(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", write))
+    return info.select(_doc(), "keywords", F.col("custom")["Segment"].alias("segment"), F.col("mod_date").cast("timestamp_ntz").alias("modified"))
+
+
+@query(
+    "SELECT c_custkey AS doc_id, CAST(c_custkey % 7 AS DOUBLE) AS bleed_llx, CAST(c_custkey % 7 + 100 AS DOUBLE) AS bleed_urx, "
+    "CASE WHEN c_custkey % 2 = 0 THEN 5.0::DOUBLE END AS trim_lly, 20.5::DOUBLE AS art_ury FROM customer"
+)
+def q48_page_boxes(spark, sf_dir):
+    """Boxes that pages do not inherit, corners in any order."""
+
+    def write(r):
+        k = r["c_custkey"] % 7
+        trim = b" /TrimBox [1 30 9 5]" if r["c_custkey"] % 2 == 0 else b""
+        return P.page_file([(b"/BleedBox [%d 0 %d 50] /ArtBox [0 20.5 10 1]" % (k + 100, k) + trim, [])], b"/TrimBox [0 0 1 1]")
+
+    pages = views.pages(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), contents=False)
+    return pages.select(_doc(), F.col("bleed_box.llx").alias("bleed_llx"), F.col("bleed_box.urx").alias("bleed_urx"), F.col("trim_box.lly").alias("trim_lly"), F.col("art_box.ury").alias("art_ury"))
+
+
+@query("SELECT doc_id, sha256(encode(coalesce(text, ''))) AS sha FROM documents")
+def q49_raw_bytes(spark, sf_dir):
+    """Raw bytes of streams, before any filter."""
+    rows = scan(_text_files(spark, sf_dir, lambda t: P.stream(t)), "streams")
+    return rows.where("num = 3").select(_doc(), F.sha2("raw", 256).alias("sha"))

@@ -128,6 +128,8 @@ def unpredict(data: bytes, p: Params) -> bytes:
     colors, bits, columns = p.colors or 1, p.bits or 8, p.columns or 1
     if min(colors, bits, columns) < 1:
         raise PdfError("predictor: parameters must be positive")
+    if not data:
+        return b""
     step, row = (colors * bits + 7) // 8, (columns * colors * bits + 7) // 8
     stride = row if p.predictor == 2 else row + 1
     if len(data) % stride:

@@ -17,7 +17,10 @@ HEADER_WINDOW = TAIL_WINDOW = 1024
 DEFAULT_MAX_STREAM = 16 << 20
 _STARTXREF = re.compile(rb"startxref[ \t\r\n]*([0-9]*)")
 _EOL = re.compile(rb"[ \t]*(?:\r\n|\r|\n)?")
-_INDIRECT = re.compile(rb"(\d+)[" + SPACE + rb"]+(\d+)[" + SPACE + rb"]*obj(?=[" + SPACE + rb"]|\Z)")
+# looked for from the first digit of a number only, so a long run of digits or blanks is passed once
+_INDIRECT = re.compile(rb"(?<!\d)(\d{1,19})[" + SPACE + rb"]++(\d{1,19})[" + SPACE + rb"]*+obj(?=[" + SPACE + rb"]|\Z)")
+#: Bytes of decoded streams that a file keeps while it is read.
+CACHE_BYTES = 32 << 20
 _MAX_INT = (1 << 63) - 1
 
 
@@ -48,7 +51,17 @@ class Entry:
 
 def _integer(raw: bytes) -> int:
     text = raw.lstrip(b" \t")
-    return int(text) if re.fullmatch(rb"[+-]?\d+", text) else 0
+    return int(text) if re.fullmatch(rb"[+-]?\d{1,19}", text) else 0
+
+
+def _remember(cache: dict, key, value, size) -> None:
+    """Keep a value, and of all kept ones the latest of ``CACHE_BYTES`` together."""
+    cache[key] = value
+    total = sum(map(size, cache.values()))
+    for old in list(cache)[:-1]:
+        if total <= CACHE_BYTES:
+            break
+        total -= size(cache.pop(old))
 
 
 class Document:
@@ -132,6 +145,8 @@ class Document:
             if len(parts) != 2 or not all(re.fullmatch(rb"[+-]?\d{1,19}", p) for p in parts):
                 raise PdfError(f"bad subsection header {line!r}")
             first, count = map(int, parts)
+            if abs(first) + max(count, 0) > _MAX_INT:
+                raise PdfError(f"object numbers out of range in {line!r}")
             at = _EOL.match(self.buf, m.end()).end()
             for k in range(count):
                 row = self.buf[at : at + 20]
@@ -178,6 +193,8 @@ class Document:
         size, place = sum(widths), 0
         edges = [sum(widths[:k]) for k in range(4)]
         for first, count in zip(index[::2], index[1::2], strict=False):
+            if abs(first) + max(count, 0) > _MAX_INT:
+                raise PdfError("object numbers out of range in /Index")
             for k in range(count):
                 row = rows[place : place + size]
                 if len(row) < size:
@@ -188,7 +205,7 @@ class Document:
                 if kind == 2:
                     self._add(Entry(number, order, first + k, 0, 2, container=a, index=b))
                 elif kind in (0, 1):
-                    self._add(Entry(number, order, first + k, b, kind, a))
+                    self._add(Entry(number, order, first + k, min(b, _MAX_INT), kind, a))
                 order += kind <= 2
         before = body.get("Prev")
         return before if type(before) is int else 0
@@ -311,7 +328,7 @@ class Document:
                 if (k1, k2) != ("int", "int"):
                     raise PdfError("bad object stream header")
                 pairs.append((_integer(a), _integer(b)))
-            self._containers[container] = (content, first, pairs)
+            _remember(self._containers, container, (content, first, pairs), lambda v: len(v[0]) + 64 * len(v[2]))
         content, first, pairs = self._containers[container]
         if not 0 <= index < len(pairs) or pairs[index][0] != ref.num:
             raise PdfError(f"object stream {container} does not hold {ref.num} at {index}")
@@ -360,7 +377,7 @@ class Document:
         """A stream's decoded bytes."""
         key = (stream.start, stream.num)
         if key not in self._decoded:
-            self._decoded[key] = self._decode(stream, encrypted=True)
+            _remember(self._decoded, key, self._decode(stream, encrypted=True), len)
         return self._decoded[key]
 
     # --- security ---

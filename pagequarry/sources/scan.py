@@ -8,6 +8,7 @@ elsewhere; an object or stream that cannot be read gives a row with its error.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from pagequarry.sources.document import DEFAULT_MAX_STREAM, Document, Stream
 from pagequarry.sources.syntax import Name, PdfError, Ref
 
 _MAX = (1 << 63) - 1
+_MAX_SMALL = (1 << 31) - 1
 #: Rows are handed on after this many, or this many bytes of binary values.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -32,6 +34,8 @@ class ScanOptions:
     max_stream: int = DEFAULT_MAX_STREAM
     password: bytes = b""
     dump: DumpOptions = DumpOptions()
+    #: Whether ``page_spine`` decodes the pages' content streams.
+    contents: bool = True
 
 
 _ATTRIBUTE = "struct<depth:int,key:string,kind:string,numbers:array<double>,int_val:bigint,keys:array<string>>"
@@ -48,6 +52,7 @@ SCHEMAS = {
     "page_spine": f"page_index int, num bigint, gen bigint, parents array<struct<num:bigint,gen:bigint>>, attributes array<{_ATTRIBUTE}>, contents array<binary>, content_error string",
     "content_ops": f"page_index int, op_index int, operator string, offset bigint, operands array<{_OPERAND}>, image binary, error string",
     "info_entries": "key string, bytes_val binary",
+    "info": "title binary, author binary, subject binary, keywords binary, creator binary, producer binary, creation_date binary, mod_date binary, custom array<struct<key:string,value:binary>>",
     "attachments": "ord int, name_bytes binary, spec_num bigint, spec_gen bigint, file_bytes binary, error string",
     "struct_elems": "ord int, depth int, role string, mapped_role string",
     "dumps": "json string",
@@ -125,7 +130,9 @@ def _streams(doc: Document, o: ScanOptions) -> Iterator[tuple]:
         try:
             names, given = doc.filters(value.dict)
             names = [_shown(n) for n in names]
-            params = [{"predictor": p.predictor, "columns": p.columns, "colors": p.colors, "bpc": p.bits, "no_early_change": not p.early_change} for p in given]
+            # what is beyond 32 bits is no size of anything and shows as the bound
+            small = lambda n: max(-_MAX_SMALL, min(_MAX_SMALL, n))
+            params = [{"predictor": small(p.predictor), "columns": small(p.columns), "colors": small(p.colors), "bpc": small(p.bits), "no_early_change": not p.early_change} for p in given]
             data = doc.content(value)
         except PdfError as e:
             error = str(e)
@@ -187,7 +194,7 @@ def _page_spine(doc: Document, o: ScanOptions) -> Iterator[tuple]:
                 parents.append({"num": node["Parent"].num, "gen": node["Parent"].gen})
         contents = error = None
         try:
-            contents = _contents(doc, own)
+            contents = _contents(doc, own) if o.contents else None
         except PdfError as e:
             error = str(e)
         yield index, ref.num if ref else None, ref.gen if ref else None, parents, attributes, contents, error
@@ -245,6 +252,17 @@ def _info_entries(doc: Document, o: ScanOptions) -> Iterator[tuple]:
             yield _shown(key), value
 
 
+#: Columns of the information entries that a document usually has (fixed values).
+INFO_KEYS = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "creator", "Producer": "producer", "CreationDate": "creation_date", "ModDate": "mod_date"}
+
+
+def _info(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+    # names that differ only in bytes that cannot be shown are one key, and the last one stays
+    own = dict(_info_entries(doc, o))
+    known = [own.pop(k, None) for k in INFO_KEYS]
+    yield *known, [{"key": k, "value": v} for k, v in own.items()]
+
+
 def _attachments(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for order, (name, ref, own) in enumerate(doc.attachments()):
         files = doc.get(own, "EF")
@@ -293,24 +311,46 @@ def _dumps(doc: Document, o: ScanOptions) -> Iterator[tuple]:
 
 MAKERS = {
     "documents": _documents, "xref_entries": _xref_entries, "trailers": _trailers, "objects": _objects, "nodes": _nodes,
-    "streams": _streams, "page_spine": _page_spine, "content_ops": _content_ops, "info_entries": _info_entries,
+    "streams": _streams, "page_spine": _page_spine, "content_ops": _content_ops, "info_entries": _info_entries, "info": _info,
     "attachments": _attachments, "struct_elems": _struct_elems, "dumps": _dumps,
 }
 
 
+def error_row(table: str, error: str) -> list[tuple]:
+    """The row that tells of an error, for tables with a column for it."""
+    columns = [c.split()[0] for c in re.split(r", (?=\w+ )", SCHEMAS[table])]
+    return [(*[None] * (len(columns) - 1), error)] if columns[-1].endswith("error") else []
+
+
 def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator[tuple]:
-    """The rows of one file; never raises on malformed input."""
+    """The rows of one file; never raises on malformed input.
+
+    A file that cannot be opened gives a row of ``documents`` alone.  Whatever else
+    goes wrong ends the file's rows with one that holds the error, if the table has
+    a column for it.
+    """
     try:
         doc = Document(content or b"", options.max_stream, options.password)
     except PdfError as e:
         if table == "documents":
-            yield (*[None] * 8, str(e))
+            yield from error_row(table, str(e))
         return
-    yield from MAKERS[table](doc, options)
+    except Exception as e:  # noqa: BLE001
+        yield from error_row(table, f"{type(e).__name__}: {e}"[:500])
+        return
+    try:
+        yield from MAKERS[table](doc, options)
+    except Exception as e:  # noqa: BLE001
+        yield from error_row(table, f"{type(e).__name__}: {e}"[:500])
 
 
-def _weight(row: tuple) -> int:
-    return sum(len(v) for v in row if isinstance(v, (bytes, str)))
+def _weight(value) -> int:
+    """Bytes of all strings in a value, however deep."""
+    if isinstance(value, (bytes, str)):
+        return len(value)
+    if isinstance(value, dict):
+        return sum(map(_weight, value.values()))
+    return sum(map(_weight, value)) if isinstance(value, (list, tuple)) else 0
 
 
 def scan(files: DataFrame, table: str, options: ScanOptions | None = None) -> DataFrame:
@@ -331,9 +371,23 @@ def scan(files: DataFrame, table: str, options: ScanOptions | None = None) -> Da
         weight = 0
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) or [()] * len(arrow)
+            try:
+                return packed(held)
+            except (pa.ArrowException, OverflowError, ValueError, TypeError):
+                return packed([r for row in held for r in checked(row)])
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+        def checked(row: tuple) -> list[tuple]:
+            """The row itself, or that it holds a value which its columns cannot."""
+            try:
+                packed([row])
+                return [row]
+            except (pa.ArrowException, OverflowError, ValueError, TypeError) as e:
+                return [(row[0], *r) for r in error_row(table, f"{type(e).__name__}: {e}"[:500])]
+
         for got in batches:
             for doc_id, content in zip(got.column(0), got.column(1), strict=True):
                 for row in rows_of(table, content.as_py(), options):

@@ -187,10 +187,7 @@ def parse_value(tokens: Tokens):
         elif kind == "int":
             value = _number(kind, raw)
             if m := REFERENCE.match(tokens.buf, tokens.pos):
-                try:
-                    value = Ref(value, int(m[1]))
-                except ValueError:
-                    raise PdfError(f"bad generation {m[1]!r}") from None
+                value = Ref(value, _number(kind, m[1]))
                 tokens.pos = m.end()
         elif kind == "real":
             value = _number(kind, raw)
