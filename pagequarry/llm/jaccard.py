@@ -6,7 +6,7 @@ equal sets are one class; the join works on classes.
 1.  Regions.  Classes that may be similar are brought together without losing a
     pair.  ``D`` being the number of shingles in which a set can differ from a
     similar one, the hash range is cut into more than ``D`` parts; a set with more
-    than ``D`` parts that are not empty agrees with every similar set on one of
+    than ``D`` parts that hold two tokens or more agrees with every similar set on one of
     its first ``D + 1``.  A class sends a signature for each of those.  Shingles that
     very many classes share are left out at first, so that a common passage brings
     nobody together; classes with too few filled parts send further signatures, from
@@ -44,6 +44,7 @@ result; other columns are never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ COMMON_LEAST = 20
 COMMON_IN_BATCH = 3
 COUNTED_TOKENS = 1_000_000
 #: What a chunk of a region may weigh: a token is 1, a document ``DOCUMENT_WEIGHT`` more.
-CHUNK_WEIGHT = 150_000
+CHUNK_WEIGHT = 250_000
 DOCUMENT_WEIGHT = 400
 #: Texts in regions are looked up by a broadcast of so many hashes at most (16 bytes each), else by shuffle.
 BROADCAST_IDS = 500_000
@@ -142,11 +143,15 @@ class Rule:
         """Levels at which a set signs: that of its own size, and those up to its largest partner's."""
         return list(range(self.level(size), self.level(self.den * size // self.num) + 1))
 
-    def schemes(self, level: int) -> list[tuple[bool, int]]:
-        """Ways to cut, in the order they are tried: whether common shingles count, and into how many parts."""
+    def schemes(self, level: int) -> list[tuple[bool, int, int]]:
+        """Ways to cut, in the order they are tried: whether common shingles count, into how many parts, least tokens of a part.
+
+        Parts of several tokens bring sets together that share all of these, so one
+        shingle by chance, or a passage in two long texts, does hardly ever.
+        """
         most = self.most_differing(level)
-        few, many = most + 3 + most // 16, 2 * most + 3
-        return [(False, few), (False, many), (True, few), (True, many)]
+        few, many, least = most + 3 + 3 * most // 10, 2 * most + 3, max(1, int(0.45 * self.den / max(1, self.den - self.num)))
+        return [(False, few, least), (False, many, 1), (True, few, least), (True, many, 1)]
 
     def most_differing(self, level: int) -> int:
         """In how many tokens similar sets can differ if the larger one is of this level."""
@@ -157,8 +162,10 @@ class Rule:
         """Hashes of filled parts of a sorted set, for each of its levels.
 
         ``most`` is the number of tokens in which this set can differ from a similar
-        one of the level.  A set stops at the first scheme in which more than ``most``
-        parts are filled, and of any scheme sends the first ``most + 1`` filled parts.
+        one of the level.  A part is filled if it holds as many tokens as the scheme asks
+        for; parts that agree are filled in both sets or in none.  A set stops at the
+        first scheme in which more than ``most`` parts are filled, and of any scheme sends
+        the first ``most + 1`` filled parts.
         Take two similar sets and the scheme at which the first of them stops.  It has
         a filled part on which they agree; before the first such part each has only
         parts on which they differ, ``most`` at the utmost, so both send it.  If neither
@@ -174,14 +181,14 @@ class Rule:
         size = len(tokens)
         for level in self.levels(size):
             most = self.differing(size, min(self.bounds[level + 1] - 1, self.den * size // self.num))
-            for number, (whole, n) in enumerate(self.schemes(level)):
+            for number, (whole, n, least) in enumerate(self.schemes(level)):
                 own = tokens if whole else rare
                 if whole not in sums:
                     sums[whole] = self._sums(own)
                 edges = np.arange(1, n, dtype=np.uint64) * np.uint64((1 << 64) // n)
                 cuts = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
                 parts = sums[whole][cuts[1:]] - sums[whole][cuts[:-1]]
-                filled = np.flatnonzero(cuts[1:] > cuts[:-1])
+                filled = np.flatnonzero(cuts[1:] - cuts[:-1] >= least)
                 sent = filled[: most + 1] if len(filled) > most or number < 3 else np.arange(n)
                 out.append(mix(mix(parts[sent]) + sent.astype(np.uint64) * _STEP + np.uint64(8 * level + number + 1)))
                 if len(filled) > most:
@@ -415,13 +422,21 @@ def chunk_number(weight: Column) -> Column:
 def region_links(members: DataFrame, texts: DataFrame, rule: Rule, n: int) -> DataFrame:
     """Links (a, b) between classes of a region that connect all that similar pairs connect.
 
-    Small regions are one task.  Of a larger one every chunk is compared in itself
-    and with the first chunk.  Mostly that connects a region but for a few
-    classes; what is outside its largest part then meets all other chunks.  So a
-    text is sent about three times, however many copies a region holds.
+    Small regions are one task.  Larger ones are taken apart by size: similar sets lie
+    in one of two neighbouring bands, so a class goes to the region of its own band
+    and the next and to that of its own and the one before.  Of what is still larger
+    every chunk is compared in itself and with the first chunk.  That connects a
+    group of copies but for a few classes, and what is outside the largest part then
+    meets all other chunks.  So a text is sent some five times however many copies a
+    region holds; only a region of different texts costs the square of its chunks.
     """
-    total = members.groupBy("region").agg(chunk_number(F.sum(F.col("size") + DOCUMENT_WEIGHT)).alias("chunks"))
-    chunked = members.join(total, "region").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
+    total = lambda rows: rows.groupBy("region").agg(chunk_number(F.sum(F.col("size") + DOCUMENT_WEIGHT)).alias("chunks"))
+    band = F.floor(F.log(F.col("size")) / (log(rule.den / rule.num) * (1 + 1e-9))).cast("int")
+    bands = F.when(F.col("chunks") > 1, F.array(band - 1, band)).otherwise(F.array(F.lit(-9)))
+    if rule.num < rule.den:
+        apart = members.join(total(members), "region").select("k1", "k2", "t1", "t2", "size", "region", F.explode(bands).alias("band"))
+        members = apart.withColumn("region", F.struct("region", "band")).drop("band")
+    chunked = members.join(total(members), "region").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
     chunked = stage(chunked, "jaccard-chunks")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
@@ -458,7 +473,7 @@ def region_links(members: DataFrame, texts: DataFrame, rule: Rule, n: int) -> Da
     )
     outside = left.where("rest is not null").select(*keys, "part", F.col("rest").alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"), F.lit(0).alias("side"))
     inside = left.select(*keys, "part", "rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("c"), F.col("chunk").alias("d"))
-    inside = inside.where("rest is null or rest <> c").select(*keys, "part", "c", "d", F.lit(1).alias("side"))
+    inside = inside.where("rest is null or rest > c").select(*keys, "part", "c", "d", F.lit(1).alias("side"))
     across = outside.unionByName(inside).select(*keys, F.col("part.k1").alias("s1"), F.col("part.k2").alias("s2"), "c", "d", "side", (F.col("d") == 0).alias("inner"))
     return found.unionByName(solved(across))
 
