@@ -49,8 +49,9 @@ TOKENIZER = "byte_bpe_50k.json"
 LEAF_CHARS = 16_384
 WINDOW = 64
 BLOCK_CHARS = 4_000_000
-#: Characters of distinct pre-tokens that a task holds before it passes them on.
-PIECE_CHARS = 8_000_000
+#: A task passes its distinct pre-tokens on when it holds so many, or has read so many characters.
+PIECES_HELD = 400_000
+PIECE_CHARS = 64_000_000
 #: Pre-tokens that are broadcast: at most so many, the commonest ones, of at most so many bytes each.
 COMMON_MOST = 200_000
 COMMON_BYTES = 48
@@ -190,9 +191,9 @@ def distinct_pre_tokens(docs: DataFrame, text_col: str, tokenizer: str) -> DataF
         for frame in frames:
             for text in frame["text"]:
                 own, _ = pre_tokens(bpe, text)
-                chars += sum(len(t) for t in own if t not in held)
+                chars += len(text)
                 held.update(own)
-                if chars > PIECE_CHARS:
+                if len(held) > PIECES_HELD or chars > PIECE_CHARS:
                     yield table()
                     held, chars = Counter(), 0
         if held:
