@@ -169,10 +169,10 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[slice]:
 # --- counting ---------------------------------------------------------------
 
 
-def pre_tokens(bpe: Bpe, text: str) -> tuple[Counter, int]:
-    """How often each pre-token occurs in a text, and the number of special tokens."""
+def pre_tokens(bpe: Bpe, text: str, onto: Counter | None = None) -> tuple[Counter, int]:
+    """How often each pre-token occurs in a text (on top of ``onto``), and the number of special tokens."""
     parts, specials = bpe.parts(text)
-    own: Counter = Counter()
+    own = Counter() if onto is None else onto
     for part in parts:
         if UNSETTLED.search(part):
             own.update(part[a:b] for _, (a, b) in bpe.slow.pre_tokenizer.pre_tokenize_str(part))
@@ -190,9 +190,8 @@ def distinct_pre_tokens(docs: DataFrame, text_col: str, tokenizer: str) -> DataF
         table = lambda: pd.DataFrame({"piece": list(held), "n": list(held.values())})
         for frame in frames:
             for text in frame["text"]:
-                own, _ = pre_tokens(bpe, text)
+                pre_tokens(bpe, text, held)
                 chars += len(text)
-                held.update(own)
                 if len(held) > PIECES_HELD or chars > PIECE_CHARS:
                     yield table()
                     held, chars = Counter(), 0
