@@ -33,6 +33,33 @@ SELECT doc_id, item_id, CAST(s - 1 AS BIGINT) AS first_word, similarity FROM bes
 """
 
 
+SEARCH = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (
+  SELECT DISTINCT item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT count(*) AS total, CAST(sum(len(ts)) AS BIGINT) AS lengths FROM d WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t, total),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total) // lengths)))) AS BIGINT) AS score
+  FROM i JOIN f USING (t) JOIN w USING (t), c GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+EXACT_GROUPS = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+g AS (
+  SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
 def repetition_sql(limits: repetition.Limits | None = None) -> str:
     """Counts, shares and verdicts, from n-grams written out as text."""
     limits = limits or repetition.Limits()

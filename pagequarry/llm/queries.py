@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, decontaminate, jaccard, langid, licenses, oracles, repetition, sharding, toxicity
+from pagequarry.llm import bpe, chat, decontaminate, dedup, jaccard, langid, licenses, oracles, repetition, search, sharding, toxicity, whitening
 from pagequarry.workspace import ship
 
 
@@ -125,6 +125,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM safe GROUP BY conv_id
 """
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.top_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of texts that are equal but for white space."""
+    return dedup.exact_groups(_documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first eight components, each of unit variance."""
+    ship(spark)
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
@@ -136,6 +153,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_chat": op10_chat,
+    "op11_search": op11_search,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
 ORACLE = {
     "op3_decontamination": oracles.CONTAMINATION,
@@ -143,4 +163,6 @@ ORACLE = {
     "op7_licenses": oracles.license_sql(),
     "op9_jaccard": oracles.COMPONENTS,
     "op10_chat": OP10_SQL,
+    "op11_search": oracles.SEARCH,
+    "op12_exact_dedup": oracles.EXACT_GROUPS,
 }
