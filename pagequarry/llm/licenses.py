@@ -130,14 +130,47 @@ class Templates:
 
     def match(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
         """Best share and its first word for each label; of labels that overlap the larger share stays."""
-        found = sorted(self.blocks(words), key=lambda x: (-x[1], x[2], x[3]))
+        by_label: dict[str, list[tuple[float, int, int]]] = {}
+        for label, share, a, b in self.blocks(words):
+            by_label.setdefault(label, []).append((share, a, b))
+        if len(by_label) < 2:
+            return {label: (share, a) for label, own in by_label.items() for share, a, _ in [min(own, key=lambda x: (-x[0], x[1], x[2]))]}
+        columns = {label: tuple(map(np.array, zip(*own, strict=True))) for label, own in by_label.items()}
+        tops = {label: painted(*own, len(words)) for label, own in columns.items()}
         best: dict[str, tuple[float, int]] = {}
-        for label, share, a, b in found:
-            if label not in best and not any(x != label and s > share and a <= d and c <= b for x, s, c, d in found):
-                best[label] = (share, a)
+        for label, (share, a, b) in columns.items():
+            others = np.maximum.reduce([t for x, t in tops.items() if x != label])
+            seen = np.flatnonzero(range_max(others, a, b) <= share)
+            if len(seen):
+                k = seen[np.lexsort((b[seen], a[seen], -share[seen]))[0]]
+                best[label] = (float(share[k]), int(a[k]))
         return best
 
 
+def painted(share: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` words the largest share of a block over it, from first words, last words and shares."""
+    out = np.zeros(n)
+    for s in np.unique(share):
+        # larger shares are painted over smaller ones
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, a[share == s], 1)
+        np.add.at(edge, b[share == s] + 1, -1)
+        out[np.cumsum(edge[:-1]) > 0] = s
+    return out
+
+
+def range_max(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest value from each a up to its b, by maxima over powers of two."""
+    out, width = np.empty(len(a)), b - a + 1
+    level, size = values, 1
+    while True:
+        own = (width >= size) & (width < 2 * size)
+        out[own] = np.maximum(level[a[own]], level[b[own] - size + 1])
+        if 2 * size > width.max():
+            return out
+        level, size = np.maximum(level[:-size], level[size:]), 2 * size
+
+
 def surroundings(places: list[tuple[int, bytes]], prefix: frozenset[bytes], length: int) -> list[tuple[int, int]]:
     """Runs of places around prefix words that hold every block of at most ``length`` words with such a word."""
     out: list[tuple[int, int]] = []
