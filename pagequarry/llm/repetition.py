@@ -98,15 +98,17 @@ def confirmed(flags: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 def top_share(hashes: np.ndarray, n: int, sizes: np.ndarray) -> float:
     """Share of characters in the n-gram with most of them, words of overlapping copies counted once."""
-    _, first, back, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    weight = np.where(counts > 1, counts * (edges[first + n] - edges[first]), 0)
-    best, order = 0, np.argsort(-weight, kind="stable")
-    for g in order:
-        if weight[g] <= best:
-            break  # without overlaps it holds no more than this
-        best = max(best, int(sizes[covered(back == g, n, len(sizes))].sum()))
-    return best / edges[-1]
+    # places of one n-gram after each other, in order
+    at = np.argsort(hashes, kind="stable")
+    same = hashes[at][1:] == hashes[at][:-1]
+    ends = at + n
+    # a copy counts up to where the next one starts
+    ends[:-1] = np.where(same, np.minimum(ends[:-1], at[1:]), ends[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    chars = np.add.reduceat(edges[ends] - edges[at], starts)
+    often = np.diff(starts, append=len(at)) > 1
+    return float(chars[often].max(initial=0)) / edges[-1]
 
 
 def code_points(raw: bytes) -> int:
