@@ -7,11 +7,13 @@ the words they match in toxic documents are the labelled tokens.  The field is
 trained on stretches around those and on stretches of clean text.
 
 Fitting uses a bounded sample of labelled rows: about ``MAX_TOXIC`` and ``MAX_CLEAN``
-of them at any size of the tables, picked by a hash of the id, equal texts once,
-and of these, in order of a hash, as many whole texts as ``MAX_CHARS`` hold.  Scoring
-takes every whole text: forward and backward passes give each word's marginal, the
-largest is the document's score, and words of at least one half are the offending
-spans, given by their places in the text itself.
+of them at any size of the tables, picked by a hash of the id, equal texts once.
+All of these take part: should they have more than ``MAX_CHARS`` characters, the
+longest are cut down to one length, as pieces from all over each.  Of an id with
+many texts some are taken, by hash.  Scoring takes every whole text: forward and
+backward passes give each word's marginal, the largest is the document's score, and
+words of at least one half are the offending spans, given by their places in the
+text itself.
 
 Defined results: a null text or one without letters scores 0; without labels of
 both kinds every text scores 0; conflicting labels of a document count as toxic;
@@ -28,7 +30,7 @@ from math import exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
@@ -39,6 +41,8 @@ MAX_TOXIC = 1_000
 MAX_CLEAN = 2_000
 #: Characters of sampled texts that reach the driver, at most.
 MAX_CHARS = 30_000_000
+#: A text that is longer than its share of these is cut into pieces of about so many characters.
+PIECE_CHARS = 2_000
 STRETCH = 24
 EPOCHS = 60
 THRESHOLD = 0.7
@@ -316,6 +320,25 @@ def _fit_stretches(stretches: list[tuple[list[str], list[int]]]) -> Crf:
     return Crf(names, float(params[size]), np.exp(params[size + 2 :].reshape(2, 2)), float(params[size + 1]))
 
 
+def longest_share(lengths: list[int], most: int = MAX_CHARS) -> int:
+    """Characters that each text may give so that all together give at most ``most``; shorter texts leave theirs to longer ones."""
+    left, own = most, sorted(lengths)
+    for k, n in enumerate(own):
+        if n * (len(own) - k) > left:
+            return left // (len(own) - k)
+        left -= n
+    return own[-1] if own else 0
+
+
+def stretches_of(text: Column, most: int) -> Column:
+    """The text, or if it is longer than ``most`` characters about as many from places evenly over all of it."""
+    pieces = max(1, most // PIECE_CHARS)
+    size = max(1, most // pieces)
+    step = (F.length(text) - size) / F.lit(max(1, pieces - 1))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substr(text, (k * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(cut, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf:
     """Train on a bounded sample of labelled documents for which ``usable`` holds."""
     tags = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg((F.max(label_col) > 0).alias("toxic"))
@@ -327,11 +350,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     drawn = quota_sample(tags, counts, {True: MAX_TOXIC, False: MAX_CLEAN}, "toxic", "h").select("labelled", "toxic")
     rows = docs.where(usable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text"))
     got = stage(rows.join(F.broadcast(drawn), "labelled").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("text")), "toxicity-sample")
-    order = got.select("h", F.length("text").alias("n")).orderBy("h").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
-    chars = np.cumsum([r["n"] for r in order])
-    last = int(np.searchsorted(chars, MAX_CHARS, "right"))
-    held = got.where(F.col("h") < order[last]["h"]) if last < len(order) else got
-    texts = held.orderBy("h", "text").select("text", "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
+    # an id may have many texts; twice the quota is the bound then
+    held = got.orderBy("h", "text").limit(2 * (MAX_TOXIC + MAX_CLEAN))
+    most = longest_share([r["n"] for r in held.select(F.length("text").alias("n")).collect()])
+    texts = held.select(stretches_of(F.col("text"), most).alias("text"), "toxic").collect()
     drop_stage(got)
     return train([r["text"] for r in texts if r["toxic"]], [r["text"] for r in texts if not r["toxic"]])
 
