@@ -7,6 +7,7 @@ Sections are read newest first and a definition that is already there stays.
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from dataclasses import dataclass
 
 from pagequarry.sources import codecs
@@ -22,6 +23,8 @@ _INDIRECT = re.compile(rb"(?<!\d)(\d{1,19})[" + SPACE + rb"]++(\d{1,19})[" + SPA
 #: Bytes of decoded streams that a file keeps while it is read.
 CACHE_BYTES = 32 << 20
 _MAX_INT = (1 << 63) - 1
+#: Bytes of packed objects that are read, against those of the file and of a stream at most.
+PARSE_RATIO = 16
 
 
 @dataclass
@@ -54,14 +57,19 @@ def _integer(raw: bytes) -> int:
     return int(text) if re.fullmatch(rb"[+-]?\d{1,19}", text) else 0
 
 
-def _remember(cache: dict, key, value, size) -> None:
-    """Keep a value, and of all kept ones the latest of ``CACHE_BYTES`` together."""
-    cache[key] = value
-    total = sum(map(size, cache.values()))
-    for old in list(cache)[:-1]:
-        if total <= CACHE_BYTES:
-            break
-        total -= size(cache.pop(old))
+class Kept(OrderedDict):
+    """Values by key, the latest ones of ``CACHE_BYTES`` together."""
+
+    def __init__(self):
+        super().__init__()
+        self.total, self.sizes = 0, {}
+
+    def keep(self, key, value, size: int) -> None:
+        self[key], self.sizes[key] = value, size
+        self.total += size
+        while self.total > CACHE_BYTES and len(self) > 1:
+            old, _ = self.popitem(last=False)
+            self.total -= self.sizes.pop(old)
 
 
 class Document:
@@ -76,8 +84,10 @@ class Document:
         self.handler: Handler | None = None
         self._objects: dict[Ref, object] = {}
         self._active: set[Ref] = set()
-        self._decoded: dict[tuple[int, int], bytes] = {}
-        self._containers: dict[int, tuple[bytes, int, list[tuple[int, int]]]] = {}
+        self._decoded, self._containers = Kept(), Kept()
+        #: Section and dictionary of every trailer, newest first.
+        self.trailers: list[tuple[int, dict]] = []
+        self._parsed = 0
         at = buf[:HEADER_WINDOW].find(b"%PDF-")
         if at < 0:
             raise PdfError("not a PDF (missing %PDF- header)")
@@ -115,7 +125,8 @@ class Document:
         if entry.kind:
             self.live.setdefault(Ref(entry.num, entry.gen), entry)
 
-    def _merge_trailer(self, own: dict) -> None:
+    def _merge_trailer(self, own: dict, section: int) -> None:
+        self.trailers.append((section, dict(own)))
         if self.trailer is None:
             self.trailer = own
         else:
@@ -162,7 +173,7 @@ class Document:
         if kind != "open" or raw != b"<<":
             raise PdfError("trailer dictionary missing")
         trailer = parse_value(Tokens(self.buf, tokens.start))
-        self._merge_trailer(trailer)
+        self._merge_trailer(trailer, number)
         if isinstance(extra := trailer.get("XRefStm"), int) and not isinstance(extra, bool):
             self._stream_section(extra, number, order)
         before = trailer.get("Prev")
@@ -176,7 +187,7 @@ class Document:
             raise PdfError("cross-reference stream expected")
         stream = self._stream(body, tokens, num, gen)
         rows = self._decode(stream, encrypted=False)
-        self._merge_trailer(body)
+        self._merge_trailer(body, number)
         widths = self.get(body, "W")
         if not isinstance(widths, list) or len(widths) < 3:
             raise PdfError("/W missing or too short")
@@ -222,7 +233,7 @@ class Document:
             try:
                 tokens = Tokens(self.buf, at + len(b"trailer"))
                 if tokens.next() == ("open", b"<<"):
-                    self.trailer = parse_value(Tokens(self.buf, tokens.start))
+                    self._merge_trailer(parse_value(Tokens(self.buf, tokens.start)), number)
             except PdfError:
                 pass
         if self.trailer is None:
@@ -230,7 +241,7 @@ class Document:
                 try:
                     own = self.resolve(ref)
                     if isinstance(own, dict) and self.get(own, "Type") == "Catalog" and isinstance(self.get(own, "Type"), Name):
-                        self.trailer = {"Root": ref}
+                        self._merge_trailer({"Root": ref}, number)
                         break
                 except PdfError:
                     continue
@@ -328,18 +339,24 @@ class Document:
                 if (k1, k2) != ("int", "int"):
                     raise PdfError("bad object stream header")
                 pairs.append((_integer(a), _integer(b)))
-            _remember(self._containers, container, (content, first, pairs), lambda v: len(v[0]) + 64 * len(v[2]))
+            self._containers.keep(container, (content, first, pairs), len(content) + 64 * len(pairs))
         content, first, pairs = self._containers[container]
         if not 0 <= index < len(pairs) or pairs[index][0] != ref.num:
             raise PdfError(f"object stream {container} does not hold {ref.num} at {index}")
         at = first + pairs[index][1]
         if not 0 <= at < len(content):
             raise PdfError("object offset out of range")
-        return parse_value(Tokens(content, at))
-
-    def objects(self):
-        """All live references with their value or error, by number and generation."""
-        for ref in sorted(self.live):
+        # objects may overlap, all of them even, so what is read is counted
+        if self._parsed > PARSE_RATIO * (len(self.buf) + max(self.max_stream, 0)):
+            raise PdfError("packed objects overlap too much")
+        tokens = Tokens(content, at)
+        value = parse_value(tokens)
+        self._parsed += tokens.pos - at
+        return value
+
+    def objects(self, wanted=None):
+        """All live references, or those that are wanted, with their value or error, by number and generation."""
+        for ref in sorted(self.live if wanted is None else filter(wanted, self.live)):
             try:
                 yield ref, self.resolve(ref), None
             except PdfError as e:
@@ -377,7 +394,8 @@ class Document:
         """A stream's decoded bytes."""
         key = (stream.start, stream.num)
         if key not in self._decoded:
-            _remember(self._decoded, key, self._decode(stream, encrypted=True), len)
+            data = self._decode(stream, encrypted=True)
+            self._decoded.keep(key, data, len(data))
         return self._decoded[key]
 
     # --- security ---

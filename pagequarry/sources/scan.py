@@ -9,54 +9,92 @@ elsewhere; an object or stream that cannot be read gives a row with its error.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+import sys
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagequarry.operators.dump import DumpOptions, Literal, dump, tagged, to_json
 from pagequarry.sources.content import Operand, operations
 from pagequarry.sources.document import DEFAULT_MAX_STREAM, Document, Stream
 from pagequarry.sources.syntax import Name, PdfError, Ref
+from pagequarry.workspace import ship
 
 _MAX = (1 << 63) - 1
 _MAX_SMALL = (1 << 31) - 1
 #: Rows are handed on after this many, or this many bytes of binary values.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+#: Rows after which the first batch is handed on; each later one may have twice as many, so a limit ends early.
+FIRST_ROWS = 16
+#: Bytes of a page's content, which is one value.
+MAX_PAGE = 256 << 20
+
+
+@dataclass(frozen=True)
+class Only:
+    """A condition on a column that the scan tests before it makes a row: op is one of = in < <= > >=."""
+
+    column: str
+    op: str
+    value: object
+
+    def holds(self, own) -> bool:
+        if own is None:
+            return False
+        if self.op == "in":
+            return own in self.value
+        return {"=": own == self.value, "<": own < self.value, "<=": own <= self.value, ">": own > self.value, ">=": own >= self.value}[self.op]
 
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """Cap of decoded streams (0 or less: none), password, and how dumps look."""
+    """Cap of decoded streams (0 or less: none), password, how dumps look, and what is wanted."""
 
     max_stream: int = DEFAULT_MAX_STREAM
     password: bytes = b""
     dump: DumpOptions = DumpOptions()
     #: Whether ``page_spine`` decodes the pages' content streams.
     contents: bool = True
+    #: Columns that are wanted (None: all); what no wanted column needs is neither parsed nor decoded.
+    columns: tuple[str, ...] | None = None
+    #: Conditions on PUSHED columns that all hold for wanted rows.
+    only: tuple[Only, ...] = ()
+
+    def needs(self, *columns: str) -> bool:
+        return self.columns is None or any(c in self.columns for c in columns)
+
+    def holds(self, column: str, value) -> bool:
+        return all(c.holds(value) for c in self.only if c.column == column)
 
 
 _ATTRIBUTE = "struct<depth:int,key:string,kind:string,numbers:array<double>,int_val:bigint,keys:array<string>>"
 _OPERAND = "struct<kind:string,number:double,literal:string,name:string,bytes:binary,bool_val:boolean,json:string>"
+_NODE = "node_id int, parent_id int, depth int, pos int, key string, kind string, bool_val boolean, int_val bigint, real_val double, name_val string, bytes_val binary, ref_num bigint, ref_gen bigint"
 _PARAMS = "struct<predictor:int,columns:int,colors:int,bpc:int,no_early_change:boolean>"
 #: Columns of each table after doc_id.
 SCHEMAS = {
     "documents": "header_version string, catalog_version string, xref_format string, encrypted boolean, recovered boolean, n_objects int, page_count int, trailer_json string, error string",
-    "xref_entries": "section_ord int, entry_ord int, num bigint, gen bigint, kind int, offset bigint, stm_num bigint, stm_idx bigint",
-    "trailers": "key string, pos int, kind string, json string",
+    "xref_entries": "section_ord int, entry_ord int, num bigint, gen bigint, kind int, offset bigint, stm_num bigint, stm_idx bigint, error string",
+    "trailers": "key string, pos int, kind string, json string, error string",
+    "trailer_nodes": f"section_ord int, trailer_ord int, {_NODE}, error string",
     "objects": "num bigint, gen bigint, kind string, tagged_json string, error string",
-    "nodes": "num bigint, gen bigint, node_id int, parent_id int, depth int, pos int, key string, kind string, bool_val boolean, int_val bigint, real_val double, name_val string, bytes_val binary, ref_num bigint, ref_gen bigint",
+    "nodes": f"num bigint, gen bigint, {_NODE}, error string",
     "streams": f"num bigint, gen bigint, raw_offset bigint, raw_length bigint, raw binary, filters array<string>, params array<{_PARAMS}>, decoded binary, error string",
     "page_spine": f"page_index int, num bigint, gen bigint, parents array<struct<num:bigint,gen:bigint>>, attributes array<{_ATTRIBUTE}>, contents array<binary>, content_error string",
     "content_ops": f"page_index int, op_index int, operator string, offset bigint, operands array<{_OPERAND}>, image binary, error string",
-    "info_entries": "key string, bytes_val binary",
-    "info": "title binary, author binary, subject binary, keywords binary, creator binary, producer binary, creation_date binary, mod_date binary, custom array<struct<key:string,value:binary>>",
+    "info_entries": "key string, bytes_val binary, error string",
+    "info": "title binary, author binary, subject binary, keywords binary, creator binary, producer binary, creation_date binary, mod_date binary, custom array<struct<key:string,value:binary>>, error string",
     "attachments": "ord int, name_bytes binary, spec_num bigint, spec_gen bigint, file_bytes binary, error string",
-    "struct_elems": "ord int, depth int, role string, mapped_role string",
-    "dumps": "json string",
+    "struct_elems": "ord int, depth int, role string, mapped_role string, error string",
+    "dumps": "json string, error string",
 }
+#: Columns of each table whose conditions the scan tests itself.
+PUSHED = {"objects": ("num", "gen", "kind"), "nodes": ("num", "gen"), "streams": ("num", "gen"), "page_spine": ("page_index",), "content_ops": ("page_index",)}
 
 
 def kind_of(value) -> str:
@@ -73,70 +111,96 @@ def _shown(text: str) -> str:
 
 
 def _documents(doc: Document, o: ScanOptions) -> Iterator[tuple]:
-    version = None
-    try:
-        found = doc.get(doc.catalog(), "Version")
-        version = _shown(found) if isinstance(found, Name) else None
-    except PdfError:
-        pass
-    try:
-        pages = sum(1 for _ in doc.pages())
-    except PdfError:
-        pages = None
-    trailer = to_json(tagged(doc, doc.trailer, o.dump)["dict"])
-    yield _shown(doc.version), version, doc.xref_format(), doc.handler is not None, doc.recovered, sum(e is None for _, _, e in doc.objects()), pages, trailer, None
+    version = pages = trailer = count = None
+    if o.needs("catalog_version"):
+        try:
+            found = doc.get(doc.catalog(), "Version")
+            version = _shown(found) if isinstance(found, Name) else None
+        except PdfError:
+            pass
+    if o.needs("page_count"):
+        try:
+            pages = sum(1 for _ in doc.pages())
+        except PdfError:
+            pass
+    if o.needs("trailer_json"):
+        trailer = to_json(tagged(doc, doc.trailer, o.dump)["dict"])
+    if o.needs("n_objects"):
+        count = sum(e is None for _, _, e in doc.objects())
+    yield _shown(doc.version), version, doc.xref_format() if o.needs("xref_format") else None, doc.handler is not None, doc.recovered, count, pages, trailer, None
+
+
+def _wanted(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+    """Objects whose number and generation are wanted."""
+    return doc.objects(lambda ref: o.holds("num", ref.num) and o.holds("gen", ref.gen)) if o.only else doc.objects()
 
 
 def _xref_entries(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for e in doc.entries:
-        yield e.section, e.order, e.num, min(e.gen, _MAX), e.kind, min(e.offset, _MAX), min(e.container, _MAX), min(e.index, _MAX)
+        yield e.section, e.order, e.num, min(e.gen, _MAX), e.kind, min(e.offset, _MAX), min(e.container, _MAX), min(e.index, _MAX), None
 
 
 def _trailers(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for pos, (key, value) in enumerate(doc.trailer.items()):
-        yield _shown(key), pos, kind_of(value), to_json(tagged(doc, value, o.dump))
+        yield _shown(key), pos, kind_of(value), to_json(tagged(doc, value, o.dump)) if o.needs("json") else None, None
 
 
 def _objects(doc: Document, o: ScanOptions) -> Iterator[tuple]:
-    for ref, value, error in doc.objects():
-        yield ref.num, ref.gen, None if error else kind_of(value), None if error else to_json(tagged(doc, value, o.dump)), error
+    for ref, value, error in _wanted(doc, o):
+        kind = None if error else kind_of(value)
+        if o.holds("kind", kind):
+            yield ref.num, ref.gen, kind, to_json(tagged(doc, value, o.dump)) if o.needs("tagged_json") and not error else None, error
+
+
+def node_rows(value) -> Iterator[tuple]:
+    """A value and all that is in it, parents first: number, number of the parent, depth, place, key, kind and value."""
+    number, stack = 0, [(value, None, 0, 0, None)]
+    while stack:
+        own, parent, depth, pos, key = stack.pop()
+        kind = kind_of(own)
+        yield (
+            number, parent, depth, pos, key, kind, own if kind == "bool" else None, own if kind == "int" else None,
+            own if kind == "real" else None, _shown(own) if kind == "name" else None, own if kind == "string" else None,
+            own.num if kind == "ref" else None, own.gen if kind == "ref" else None,
+        )
+        if kind in ("array", "dict", "stream"):
+            items = list(enumerate(own)) if kind == "array" else list((own.dict if kind == "stream" else own).items())
+            for k in range(len(items) - 1, -1, -1):
+                stack.append((items[k][1], number, depth + 1, k, None if kind == "array" else _shown(items[k][0])))
+        number += 1
 
 
 def _nodes(doc: Document, o: ScanOptions) -> Iterator[tuple]:
-    for ref, value, error in doc.objects():
+    for ref, value, error in _wanted(doc, o):
         if error:
+            yield ref.num, ref.gen, *[None] * 13, error
             continue
-        number, stack = 0, [(value, None, 0, 0, None)]
-        while stack:
-            own, parent, depth, pos, key = stack.pop()
-            kind = kind_of(own)
-            yield (
-                ref.num, ref.gen, number, parent, depth, pos, key, kind, own if kind == "bool" else None, own if kind == "int" else None,
-                own if kind == "real" else None, _shown(own) if kind == "name" else None, own if kind == "string" else None,
-                own.num if kind == "ref" else None, own.gen if kind == "ref" else None,
-            )
-            if kind in ("array", "dict", "stream"):
-                items = list(enumerate(own)) if kind == "array" else list((own.dict if kind == "stream" else own).items())
-                for k in range(len(items) - 1, -1, -1):
-                    stack.append((items[k][1], number, depth + 1, k, None if kind == "array" else _shown(items[k][0])))
-            number += 1
+        for row in node_rows(value):
+            yield ref.num, ref.gen, *row, None
+
+
+def _trailer_nodes(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+    for order, (section, own) in enumerate(doc.trailers):
+        for row in node_rows(own):
+            yield section, order, *row, None
 
 
 def _streams(doc: Document, o: ScanOptions) -> Iterator[tuple]:
-    for ref, value, _ in doc.objects():
+    for ref, value, _ in _wanted(doc, o):
         if not isinstance(value, Stream):
             continue
         names = params = data = error = None
         try:
-            names, given = doc.filters(value.dict)
+            names, given = doc.filters(value.dict) if o.needs("filters", "params", "decoded", "error") else ([], [])
             names = [_shown(n) for n in names]
             # what is beyond 32 bits is no size of anything and shows as the bound
             small = lambda n: max(-_MAX_SMALL, min(_MAX_SMALL, n))
             params = [{"predictor": small(p.predictor), "columns": small(p.columns), "colors": small(p.colors), "bpc": small(p.bits), "no_early_change": not p.early_change} for p in given]
-            data = doc.content(value)
+            data = doc.content(value) if o.needs("decoded", "error") else None
         except PdfError as e:
             error = str(e)
-        yield ref.num, ref.gen, value.start, value.length, doc.buf[value.start : value.start + value.length], names, params, data, error
+        raw = doc.buf[value.start : value.start + value.length] if o.needs("raw") else None
+        yield ref.num, ref.gen, value.start, value.length, raw, names, params, data, error
 
 
 #: Attributes of pages that views resolve, and whether ancestors lend them (fixed values).
@@ -175,7 +239,14 @@ def _contents(doc: Document, page: dict) -> list[bytes]:
     parts = [found] if isinstance(found, Stream) else [doc.resolve(v) for v in found] if isinstance(found, list) else []
     if not all(isinstance(p, Stream) for p in parts):
         raise PdfError("/Contents entry is no stream")
-    return [doc.content(p) for p in parts]
+    out, size = [], 0
+    for p in parts:
+        out.append(doc.content(p))
+        # a page is one value, and its streams may be one stream many times
+        size += len(out[-1])
+        if size > MAX_PAGE:
+            raise PdfError(f"a page's content exceeds {MAX_PAGE} bytes")
+    return out
 
 
 def _pages(doc: Document) -> Iterator[tuple]:
@@ -187,6 +258,8 @@ def _pages(doc: Document) -> Iterator[tuple]:
 
 def _page_spine(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for index, (ref, own) in enumerate(_pages(doc)):
+        if not o.holds("page_index", index):
+            continue
         attributes, parents = [], []
         for depth, node in enumerate(doc.chain(own)):
             attributes += _attributes(doc, node, depth)
@@ -194,7 +267,7 @@ def _page_spine(doc: Document, o: ScanOptions) -> Iterator[tuple]:
                 parents.append({"num": node["Parent"].num, "gen": node["Parent"].gen})
         contents = error = None
         try:
-            contents = _contents(doc, own) if o.contents else None
+            contents = _contents(doc, own) if o.contents and o.needs("contents", "content_error") else None
         except PdfError as e:
             error = str(e)
         yield index, ref.num if ref else None, ref.gen if ref else None, parents, attributes, contents, error
@@ -235,6 +308,8 @@ def operation_rows(content: bytes) -> Iterator[tuple]:
 
 def _content_ops(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for index, (_, own) in enumerate(_pages(doc)):
+        if not o.holds("page_index", index):
+            continue
         try:
             content = b"\n".join(_contents(doc, own))
         except PdfError as e:
@@ -249,7 +324,7 @@ def _info_entries(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for key in own or ():
         value = doc.get(own, key)
         if isinstance(value, bytes):
-            yield _shown(key), value
+            yield _shown(key), value, None
 
 
 #: Columns of the information entries that a document usually has (fixed values).
@@ -258,9 +333,9 @@ INFO_KEYS = {"Title": "title", "Author": "author", "Subject": "subject", "Keywor
 
 def _info(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     # names that differ only in bytes that cannot be shown are one key, and the last one stays
-    own = dict(_info_entries(doc, o))
+    own = {k: v for k, v, _ in _info_entries(doc, o)}
     known = [own.pop(k, None) for k in INFO_KEYS]
-    yield *known, [{"key": k, "value": v} for k, v in own.items()]
+    yield *known, [{"key": k, "value": v} for k, v in own.items()], None
 
 
 def _attachments(doc: Document, o: ScanOptions) -> Iterator[tuple]:
@@ -268,7 +343,7 @@ def _attachments(doc: Document, o: ScanOptions) -> Iterator[tuple]:
         files = doc.get(own, "EF")
         data = error = None
         stream = doc.get(files, "F") if isinstance(files, dict) else None
-        if isinstance(stream, Stream):
+        if isinstance(stream, Stream) and o.needs("file_bytes", "error"):
             try:
                 data = doc.content(stream)
             except PdfError as e:
@@ -302,46 +377,49 @@ def _struct_elems(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     for order, (_, own, depth) in enumerate(doc._walk(root, seen, kids)):
         names = [v for v in (doc.get(own, "S"), doc.get(own, "Type")) if isinstance(v, Name) and v]
         role = names[0] if names else ""
-        yield order, depth, _shown(role), _shown(mapped[role]) if role in mapped else None
+        yield order, depth, _shown(role), _shown(mapped[role]) if role in mapped else None, None
 
 
 def _dumps(doc: Document, o: ScanOptions) -> Iterator[tuple]:
-    yield (dump(doc, o.dump),)
+    yield dump(doc, o.dump), None
 
 
 MAKERS = {
-    "documents": _documents, "xref_entries": _xref_entries, "trailers": _trailers, "objects": _objects, "nodes": _nodes,
+    "documents": _documents, "xref_entries": _xref_entries, "trailers": _trailers, "trailer_nodes": _trailer_nodes, "objects": _objects, "nodes": _nodes,
     "streams": _streams, "page_spine": _page_spine, "content_ops": _content_ops, "info_entries": _info_entries, "info": _info,
     "attachments": _attachments, "struct_elems": _struct_elems, "dumps": _dumps,
 }
 
 
-def error_row(table: str, error: str) -> list[tuple]:
-    """The row that tells of an error, for tables with a column for it."""
-    columns = [c.split()[0] for c in re.split(r", (?=\w+ )", SCHEMAS[table])]
-    return [(*[None] * (len(columns) - 1), error)] if columns[-1].endswith("error") else []
+def column_names(table: str) -> list[str]:
+    """Columns of a table after doc_id."""
+    return [c.split()[0] for c in re.split(r", (?=\w+ )", SCHEMAS[table])]
+
+
+def error_row(table: str, error: str) -> tuple:
+    """The row that tells of an error."""
+    return (*[None] * (len(column_names(table)) - 1), error)
 
 
 def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator[tuple]:
     """The rows of one file; never raises on malformed input.
 
     A file that cannot be opened gives a row of ``documents`` alone.  Whatever else
-    goes wrong ends the file's rows with one that holds the error, if the table has
-    a column for it.
+    goes wrong ends the file's rows with one that holds the error in its last column.
     """
     try:
         doc = Document(content or b"", options.max_stream, options.password)
     except PdfError as e:
         if table == "documents":
-            yield from error_row(table, str(e))
+            yield error_row(table, str(e))
         return
     except Exception as e:  # noqa: BLE001
-        yield from error_row(table, f"{type(e).__name__}: {e}"[:500])
+        yield error_row(table, f"{type(e).__name__}: {e}"[:500])
         return
     try:
         yield from MAKERS[table](doc, options)
     except Exception as e:  # noqa: BLE001
-        yield from error_row(table, f"{type(e).__name__}: {e}"[:500])
+        yield error_row(table, f"{type(e).__name__}: {e}"[:500])
 
 
 def _weight(value) -> int:
@@ -353,51 +431,70 @@ def _weight(value) -> int:
     return sum(map(_weight, value)) if isinstance(value, (list, tuple)) else 0
 
 
-def scan(files: DataFrame, table: str, options: ScanOptions | None = None) -> DataFrame:
-    """One table of a corpus given as rows (doc_id, content)."""
-    import sys
+def schema_of(table: str, columns: tuple[str, ...] | None = None) -> StructType:
+    """doc_id and the wanted columns of a table."""
+    whole = StructType.fromDDL(f"doc_id string, {SCHEMAS[table]}")
+    return whole if columns is None else StructType([whole["doc_id"], *[whole[c] for c in columns if c != "doc_id"]])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    options = options or ScanOptions()
-    schema = StructType.fromDDL(f"doc_id string, {SCHEMAS[table]}")
+def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: str, options: ScanOptions, schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Rows of a table for files (doc_id, how to read it) as Arrow batches of bounded bytes; a file is read when its rows are due."""
+    # nesting is bounded by the parser; Python's own frames must not end sooner
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     arrow = to_arrow_schema(schema)
+    names = column_names(table)
+    pick = None if schema.names[1:] == names else [names.index(c) for c in schema.names[1:]]
+    last = schema.names[-1] if schema.names[-1].endswith("error") else None
+    held: list[tuple] = []
+    weight, most = 0, FIRST_ROWS
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def checked(row: tuple) -> list[tuple]:
+        """The row itself, or that it holds a value which its columns cannot."""
+        try:
+            packed([row])
+            return [row]
+        except _UNFIT as e:
+            return [(row[0], *[None] * (len(row) - 2), f"{type(e).__name__}: {e}"[:500])] if last else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # nesting is bounded by the parser; Python's own frames must not end sooner
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        held: list[tuple] = []
-        weight = 0
+    def batch() -> pa.RecordBatch:
+        try:
+            return packed(held)
+        except _UNFIT:
+            return packed([r for row in held for r in checked(row)])
 
-        def batch() -> pa.RecordBatch:
-            try:
-                return packed(held)
-            except (pa.ArrowException, OverflowError, ValueError, TypeError):
-                return packed([r for row in held for r in checked(row)])
+    for doc_id, read in files:
+        try:
+            rows = rows_of(table, read(), options)
+        except OSError as e:
+            rows = iter([error_row(table, f"{type(e).__name__}: {e}"[:500])] if table == "documents" else [])
+        for row in rows:
+            held.append((doc_id, *(row if pick is None else (row[k] for k in pick))))
+            weight += _weight(held[-1])
+            if len(held) >= most or weight >= BATCH_BYTES:
+                yield batch()
+                held, weight, most = [], 0, min(BATCH_ROWS, 2 * most)
+    if held:
+        yield batch()
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        def checked(row: tuple) -> list[tuple]:
-            """The row itself, or that it holds a value which its columns cannot."""
-            try:
-                packed([row])
-                return [row]
-            except (pa.ArrowException, OverflowError, ValueError, TypeError) as e:
-                return [(row[0], *r) for r in error_row(table, f"{type(e).__name__}: {e}"[:500])]
-
-        for got in batches:
-            for doc_id, content in zip(got.column(0), got.column(1), strict=True):
-                for row in rows_of(table, content.as_py(), options):
-                    held.append((doc_id.as_py(), *row))
-                    weight += _weight(row)
-                    if len(held) >= BATCH_ROWS or weight >= BATCH_BYTES:
-                        yield batch()
-                        held, weight = [], 0
-        if held:
-            yield batch()
+_UNFIT = (pa.ArrowException, OverflowError, ValueError, TypeError)
+
+
+def scan(files: DataFrame, table: str, options: ScanOptions | None = None, columns: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """One table of a corpus given as rows (doc_id, content); of ``columns`` only these, and only what they need is done."""
+    ship(files.sparkSession)
+    options = options or ScanOptions()
+    if columns is not None:
+        options = replace(options, columns=tuple(columns))
+    schema = schema_of(table, options.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((doc_id.as_py(), content.as_py) for got in batches for doc_id, content in zip(got.column(0), got.column(1), strict=True))
+        return batches_of(found, table, options, schema)
 
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, schema)
 

@@ -1,13 +1,14 @@
 """Malformed files: every table gives rows or an error, and the scan goes on to the next file."""
 
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.operators import views
-from pagequarry.sources.document import Document, _remember
+from pagequarry.sources.document import Document, Kept
 from pagequarry.sources.scan import MAKERS, ScanOptions, _weight, rows_of, scan
 from pagequarry.testing import pdfwriter as P
 
@@ -68,10 +69,41 @@ def test_recovery_is_linear():
 
 def test_weights_and_cache():
     assert _weight((1, "ab", [b"abc", {"k": b"de", "n": None}], None)) == 7
-    cache: dict = {}
+    cache = Kept()
     for k in range(10):
-        _remember(cache, k, bytes(10 << 20), len)
-    assert list(cache) == [7, 8, 9]
+        cache.keep(k, bytes(10 << 20), 10 << 20)
+    assert list(cache) == [7, 8, 9] and cache.total == 30 << 20
+
+
+def test_many_small_streams_take_linear_time():
+    content = bytes(P.Writer().classic({**BASE, **{k: P.stream(b"x") for k in range(3, 8_000)}}).out)
+    began = time.perf_counter()
+    assert sum(1 for _ in rows_of("streams", content, ScanOptions())) == 7_997
+    assert time.perf_counter() - began < 8
+
+
+def test_a_page_that_names_one_stream_many_times_is_an_error():
+    big = P.stream(zlib.compress(bytes(16 << 20)), b"/Filter /FlateDecode")
+    page = b"<</Type /Page /Contents [" + b"4 0 R " * 2_000 + b"]>>"
+    content = bytes(P.Writer().classic({1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [3 0 R] /Count 1>>", 3: page, 4: big}).out)
+    (row,) = rows_of("page_spine", content, ScanOptions())
+    assert row[-2] is None and "exceeds" in row[-1]
+    (row,) = rows_of("content_ops", content, ScanOptions())
+    assert "exceeds" in row[-1]
+
+
+def test_packed_objects_that_overlap_are_bounded():
+    body = b"[" + b"1 " * 20_000 + b"]"
+    header = b" ".join(b"%d 0" % k for k in range(10, 10_010)) + b" "
+    packed = P.stream(header + body, b"/Type /ObjStm /N 10000 /First %d" % len(header))
+    head = b"%PDF-1.7\n1 0 obj <</Type /Catalog>> endobj\n"
+    at = len(head)
+    head += b"5 0 obj " + packed + b" endobj\n"
+    rows = b"".join(bytes([2]) + (5).to_bytes(4, "big") + k.to_bytes(4, "big") for k in range(10_000)) + bytes([1]) + at.to_bytes(4, "big") + bytes(4)
+    xref = P.stream(rows, b"/Type /XRef /W [1 4 4] /Size 20000 /Root 1 0 R /Index [10 10000 5 1]")
+    content = head + b"7 0 obj " + xref + b" endobj\nstartxref\n%d\n%%%%EOF" % len(head)
+    errors = [row[-1] for row in rows_of("objects", content, ScanOptions(max_stream=1 << 16, columns=("kind", "error")))]
+    assert any(e and "overlap" in e for e in errors) and errors[1] is None
 
 
 def test_utf16_with_and_without_surrogates(spark):
