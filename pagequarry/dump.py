@@ -1,7 +1,8 @@
 """Command line: ``python -m pagequarry.dump [--stream-content] [--no-preview] PATH`` prints each file's snapshot as JSON.
 
-``PATH`` is a file or a folder that Spark can read; with ``--out`` the snapshots are
-written there as text, one file per task, instead of being printed one by one.
+``PATH`` is a file or a folder that Spark can read; with ``--out`` each snapshot becomes a
+file there, named after its document, instead of being printed.  Files that cannot
+be read are named on the error stream, and the command returns 1.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from pagequarry.operators.dump import DumpOptions
+from pagequarry.sources.datasource import register
 from pagequarry.sources.scan import ScanOptions, read_files, scan
-from pagequarry.workspace import ship
+from pagequarry.workspace import stage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,20 +32,22 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     given = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pagequarry.dump").getOrCreate()
-    ship(spark)
     look = DumpOptions(preview=-1 if given.no_preview else DumpOptions().preview, inline=given.stream_content)
     options = ScanOptions(password=given.password.encode(), dump=look)
     files = read_files(spark, given.path, given.glob)
     snapshots = scan(files, "dumps", options)
     if given.out:
-        snapshots.select(snapshots.columns[1]).write.text(given.out)
-        return 0
-    for row in snapshots.toLocalIterator():
-        print(row[1])
+        snapshots = stage(snapshots, "dumps")
+        register(spark)
+        snapshots.where("error is null").select("doc_id", "json").write.format("pagequarry").option("suffix", ".json").mode("append").save(given.out)
+        snapshots = snapshots.where("error is not null")
     failed = 0
-    for row in scan(files, "documents", options).where("error is not null").select("doc_id", "error").toLocalIterator():
-        print(f"{row['doc_id']}: {row['error']}", file=sys.stderr)
-        failed = 1
+    for row in snapshots.toLocalIterator():
+        if row["error"] is None:
+            print(row["json"], end="")
+        else:
+            print(f"{row['doc_id']}: {row['error']}", file=sys.stderr)
+            failed = 1
     return failed
 
 

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.functions import codecs, tables
 from pagequarry.functions import text as T
-from pagequarry.operators import views
+from pagequarry.operators import packed, trees, values, views
+from pagequarry.sources.datasource import register
 from pagequarry.sources.scan import ScanOptions, scan
 from pagequarry.streaming.ingest import ingest, stream_rows
 from pagequarry.testing import pdfwriter as P
-from pagequarry.workspace import shared_folder, ship, stage
+from pagequarry.workspace import shared_folder, ship, stage, temporary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -224,7 +226,7 @@ def q15_page_tree(spark, sf_dir):
         objects[2] = b"<</Type /Pages /Count %d /Kids [%s]>>" % (n, b" ".join(b"%d 0 R" % (10 + k) for k in range(len(groups))))
         return P.Writer().classic(objects).out
 
-    return scan(files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", write), "documents").select(_doc(), "page_count")
+    return scan(files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", write), "documents", columns=["page_count"]).select(_doc(), "page_count")
 
 
 @query(
@@ -356,7 +358,7 @@ def q25_recovery(spark, sf_dir):
         return b"%PDF-1.4\n" + body + b"trailer\n<</Root 1 0 R>>\nstartxref\n9999999\n%%EOF"
 
     files = stage(files_of(_events_by_user(spark, sf_dir), "user_id", write), "files")
-    state = scan(files, "documents").select("doc_id", "recovered")
+    state = scan(files, "documents", columns=["recovered"])
     return scan(files, "nodes").where("num = 5 and node_id = 0").join(state, "doc_id").select(_doc(), F.col("int_val").alias("value"), "recovered")
 
 
@@ -460,7 +462,7 @@ def q32_dump(spark, sf_dir):
 def q33_object_counts(spark, sf_dir):
     """Live objects and streams of each file."""
     files = files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", lambda r: P.page_file([(b"", [b"q Q"]) for _ in r["lines"]]))
-    counts = scan(files, "objects").where("error is null").groupBy("doc_id")
+    counts = scan(files, "objects", columns=["kind", "error"]).where("error is null").groupBy("doc_id")
     return counts.agg(F.count("*").alias("n_objects"), F.count_if(F.col("kind") == "stream").alias("n_streams")).select(_doc(), "n_objects", "n_streams")
 
 
@@ -557,7 +559,7 @@ def q42_xref_formats(spark, sf_dir):
         return w.classic({5: b"null", **_BASE}, b"/Root 1 0 R /XRefStm %d" % at).out
 
     files = files_of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", write)
-    return scan(files, "documents").select(_doc(), "xref_format")
+    return scan(files, "documents", columns=["xref_format"]).select(_doc(), "xref_format")
 
 
 @query("SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN '1.7' ELSE '2.0' END AS effective_version FROM part")
@@ -565,7 +567,7 @@ def q43_versions(spark, sf_dir):
     """The later of header's and catalog's version."""
     write = lambda r: P.Writer("1.7").classic({1: b"<</Type /Catalog /Pages 2 0 R /Version /%s>>" % (b"2.0" if r["p_size"] % 2 else b"1.3"), 2: _BASE[2]}).out
     files = files_of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", write)
-    return views.effective_version(scan(files, "documents")).select(_doc(), "effective_version")
+    return views.effective_version(scan(files, "documents", columns=["header_version", "catalog_version"])).select(_doc(), "effective_version")
 
 
 @query("SELECT c_custkey AS doc_id, c_acctbal AS amount, c_name AS label FROM customer")
@@ -591,7 +593,7 @@ def q45_hostile_files(spark, sf_dir):
         return whole if r["c_custkey"] % 3 else [b"", b"%PDF-1.7", whole[:40], b"<<" * 3000][r["c_custkey"] // 3 % 4]
 
     files = files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write)
-    return scan(files, "documents").select(_doc(), F.col("error").isNull().alias("opened"))
+    return scan(files, "documents", columns=["error"]).select(_doc(), F.col("error").isNull().alias("opened"))
 
 
 @query("SELECT c_custkey AS doc_id, c_custkey % 5 <> 0 AS failed FROM customer")
@@ -600,7 +602,7 @@ def q46_hostile_objects(spark, sf_dir):
     bad = [b"(well)", b"[5 99999999999999999999 R]", b"{", b"99999999999999999999", b"<</A 1 2>>"]
     write = lambda r: P.Writer().classic({**_BASE, 3: bad[r["c_custkey"] % 5]}).out
     files = files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write)
-    return scan(files, "objects").where("num = 3").select(_doc(), F.col("error").isNotNull().alias("failed"))
+    return scan(files, "objects", columns=["num", "error"]).where("num = 3").select(_doc(), F.col("error").isNotNull().alias("failed"))
 
 
 @query("SELECT c_custkey AS doc_id, c_name AS keywords, c_mktsegment AS segment, make_timestamp(2020 + c_custkey % 5, 3, 4, 5, 6, 7.0) AS modified FROM customer")
@@ -634,5 +636,272 @@ def q48_page_boxes(spark, sf_dir):
 @query("SELECT doc_id, sha256(encode(coalesce(text, ''))) AS sha FROM documents")
 def q49_raw_bytes(spark, sf_dir):
     """Raw bytes of streams, before any filter."""
-    rows = scan(_text_files(spark, sf_dir, lambda t: P.stream(t)), "streams")
+    rows = scan(_text_files(spark, sf_dir, lambda t: P.stream(t)), "streams", columns=["num", "raw"])
     return rows.where("num = 3").select(_doc(), F.sha2("raw", 256).alias("sha"))
+
+
+def _library(files: DataFrame, name: str) -> str:
+    """A folder of the shared one with a file for each row (doc_id, content); gone when the session ends."""
+    spark = files.sparkSession
+    register(spark)
+    path = temporary_path(spark, name)
+    files.withColumn("doc_id", F.concat("doc_id", F.lit(".pdf"))).write.format("pagequarry").mode("append").save(path)
+    return path
+
+
+def _number_of_file(column: str = "doc_id"):
+    return F.regexp_extract(column, r"(\d+)\.pdf", 1).cast("long").alias("doc_id")
+
+
+@query("SELECT c_custkey AS doc_id, c_name AS title, c_custkey % 4 = 0 AS has_stream FROM customer WHERE c_custkey % 10 <> 7")
+def q50_file_source(spark, sf_dir):
+    """Files in a folder through the data source, with declared columns and pushed conditions on files and objects."""
+
+    def write(r):
+        more = {4: P.stream(zlib.compress(bytes(2_000)), b"/Filter /FlateDecode")} if r["c_custkey"] % 4 == 0 else {}
+        return P.Writer().classic({**_BASE, 3: b"<</Title %s>>" % P.literal(r["c_name"].encode()), **more}).out
+
+    folder = _library(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", write), "customers")
+    source = lambda name, schema: spark.read.format("pagequarry").option("table", name).schema("doc_id string, " + schema).load(folder).where("not endswith(doc_id, '7.pdf')")
+    titles = source("nodes", "num bigint, key string, bytes_val binary").where("num = 3 and key = 'Title'")
+    streams = source("objects", "kind string").where("kind = 'stream'").withColumn("has", F.lit(True))
+    return titles.join(streams, "doc_id", "left").select(_number_of_file(), T.decode_text(F.col("bytes_val")).alias("title"), F.coalesce("has", F.lit(False)).alias("has_stream"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS title FROM part")
+def q51_dump_files(spark, sf_dir):
+    """Snapshots written as one file per document under its name, and read again."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    dumps = scan(files_of(parts, "p_partkey", lambda r: _info_file(P.literal(r["p_name"].encode()))), "dumps")
+    register(spark)
+    target = temporary_path(spark, "snapshots")
+    dumps.where("error is null").select(F.concat("doc_id", F.lit(".pdf")).alias("doc_id"), "json").write.format("pagequarry").option("suffix", ".json").mode("append").save(target)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf.json").load(target).select("path", F.decode("content", "UTF-8").alias("json"))
+    return found.select(_number_of_file("path"), F.get_json_object("json", "$.objects['3 0'].dict.Title.text").alias("title"))
+
+
+# --- trees, merges and values as joins ---
+
+
+def _graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` and ``trailer_nodes`` of files, stored, so that joins read them and parse nothing."""
+    files = stage(files, "files")
+    return stage(scan(files, "nodes"), "nodes"), stage(scan(files, "trailer_nodes"), "trailer-nodes")
+
+
+@query(_LINES + "SELECT l_orderkey AS doc_id, page_index, CAST(l_linenumber AS BIGINT) AS line FROM l")
+def q52_page_graph(spark, sf_dir):
+    """Pages in order from the object graph: kids in nested nodes and arrays of their own, one kid named twice."""
+
+    def write(r):
+        objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 3: b"[]"}
+        leaves = {100 + k: b"<</Type /Page /Line %d>>" % x["l_linenumber"] for k, x in enumerate(r["lines"])}
+        names = [b"%d 0 R" % k for k in leaves]
+        groups = [names[k : k + 2] for k in range(0, len(names), 2)]
+        objects |= {10 + k: b"<</Type /Pages /Kids [%s %s]>>" % (b" ".join(own), own[0]) for k, own in enumerate(groups)}
+        objects[3] = b"[%s 2 0 R]" % b" ".join(b"%d 0 R" % (10 + k) for k in range(len(groups)))
+        return P.Writer().classic({**objects, 2: b"<</Type /Pages /Kids 3 0 R>>", **leaves}).out
+
+    nodes, trailers = _graph(files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", write))
+    lines = nodes.where("key = 'Line'").select("doc_id", "num", "gen", F.col("int_val").alias("line"))
+    return trees.page_tree(nodes, trailers).join(lines, ["doc_id", "num", "gen"]).select(_doc(), "page_index", "line")
+
+
+@query(
+    "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, s_suppkey) - 1 AS INTEGER) AS ord, "
+    "s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+)
+def q53_name_graph(spark, sf_dir):
+    """Names in tree order from the object graph: a tree of suppliers by nation."""
+    own = F.struct("n_nationkey", "s_suppkey", "s_name")
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.sort_array(F.collect_list(own)).alias("own"))
+
+    def write(r):
+        nations = {}
+        for x in r["own"]:
+            nations.setdefault(x["n_nationkey"], []).append(x["s_name"].encode())
+        kids = {10 + k: b"<</Names [%s]>>" % b" ".join(P.literal(n) + b" 5 0 R" for n in names) for k, names in enumerate(nations.values())}
+        root = b"<</Kids [%s]>>" % b" ".join(b"%d 0 R %d 0 R" % (k, k) for k in kids)
+        return P.Writer().classic({1: b"<</Type /Catalog /Pages 2 0 R /Names <</EmbeddedFiles 3 0 R>>>>", 2: _BASE[2], 3: root, 5: b"<</Type /Filespec>>", **kids}).out
+
+    nodes, trailers = _graph(files_of(rows, "n_regionkey", write))
+    return trees.name_tree(nodes, trailers).select(_doc(), "ord", T.decode_text(F.col("name_bytes")).alias("name"))
+
+
+@query(
+    "WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), "
+    "e AS (SELECT o_custkey AS doc_id, k, 0 AS line, 1 AS depth, 'Order' AS role FROM o "
+    "UNION ALL SELECT o_custkey, k, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber), 2, CASE WHEN l_linenumber % 2 = 0 THEN 'Line' ELSE 'Odd' END FROM o JOIN lineitem ON l_orderkey = o_orderkey "
+    "UNION ALL SELECT DISTINCT o_custkey, 0, 0, 0, 'StructTreeRoot' FROM o) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, line) - 1 AS INTEGER) AS ord, depth, role, CASE role WHEN 'Order' THEN 'Sect' WHEN 'Line' THEN 'P' END AS mapped_role FROM e"
+)
+def q54_structure_graph(spark, sf_dir):
+    """Structure elements in reading order from the object graph: customers, orders, lines, with a role map."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.coalesce("lines", F.array().cast("array<int>")).alias("lines")))).alias("orders"))
+
+    def write(r):
+        objects = {1: b"<</Type /Catalog /Pages 2 0 R /StructTreeRoot 3 0 R>>", 2: _BASE[2], 4: b"<</Order /Sect /Line /P>>"}
+        for k, x in enumerate(r["orders"]):
+            objects[10 + k] = b"<</S /Order /K [7 %s]>>" % b" ".join(b"<</S /%s /K 3>>" % (b"Odd" if n % 2 else b"Line") for n in x["lines"])
+        kids = b" ".join(b"%d 0 R" % n for n in range(10, 10 + len(r["orders"])))
+        return P.Writer().classic({**objects, 3: b"<</Type /StructTreeRoot /RoleMap 4 0 R /K 5 0 R>>", 5: b"[%s %s]" % (kids, kids)}).out
+
+    nodes, trailers = _graph(files_of(rows, "o_custkey", write))
+    return trees.structure_tree(nodes, trailers).select(_doc(), "ord", "depth", "role", "mapped_role")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), "
+    "r AS (SELECT user_id, k, event_id FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1 WHERE r.event_id % 7 <> 0) "
+    "SELECT user_id AS doc_id, event_id AS value FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = e.user_id AND r.k = e.k)"
+)
+def q55_unreachable(spark, sf_dir):
+    """Objects that the trailer does not lead to: a user's events name the next one up to a break, those behind it also the one before."""
+
+    def write(r):
+        events = [int(x) for x in r["ids"]]
+        objects = {1: b"<</Type /Catalog /First 10 0 R>>"}
+        for k, x in enumerate(events):
+            after = b" /Next %d 0 R" % (11 + k) if k + 1 < len(events) and x % 7 else b""
+            objects[10 + k] = b"<</Value %d%s%s>>" % (x, after, b" /Last %d 0 R" % (9 + k) if k else b"")
+        return P.Writer().classic(objects).out
+
+    nodes, trailers = _graph(files_of(_events_by_user(spark, sf_dir), "user_id", write))
+    values = nodes.where("key = 'Value'").select("doc_id", "num", "gen", F.col("int_val").alias("value"))
+    return trees.unreachable(nodes, trailers).join(values, ["doc_id", "num", "gen"]).select(_doc(), "value")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, 'K' || (event_id % 5) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS section FROM events) "
+    "SELECT user_id AS doc_id, key, max(event_id) AS value, CAST(arg_max(section, event_id) AS INTEGER) AS section_ord FROM e GROUP BY user_id, key"
+)
+def q56_merged_trailers(spark, sf_dir):
+    """Trailers merged as tables: of each key the newest section's entry, and which section that is."""
+
+    def write(r):
+        w = P.Writer()
+        for k, x in enumerate(r["ids"]):
+            w.classic(_BASE if k == 0 else {}, b"/Root 1 0 R /K%d %d" % (x % 5, x), size=3)
+        return w.out
+
+    merged = trees.merged_trailer(scan(files_of(_events_by_user(spark, sf_dir), "user_id", write), "trailer_nodes"))
+    return merged.where("key rlike '^K[0-9]'").select(_doc(), "key", F.col("int_val").alias("value"), "section_ord")
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 3 WHEN 0 THEN 'classical' ELSE 'stream' END AS xref_format FROM part")
+def q57_formats_from_trailers(spark, sf_dir):
+    """The form of a file's index from the keys of its merged trailers."""
+
+    def write(r):
+        if r["p_size"] % 3 == 1:
+            return P.Writer().packed(_BASE, {}).out
+        w = P.Writer()
+        if r["p_size"] % 3 == 0:
+            return w.classic(_BASE).out
+        w.packed(_BASE, {7: b"(packed)"})
+        at, w.last = w.last, None
+        return w.classic({5: b"null", **_BASE}, b"/Root 1 0 R /XRefStm %d" % at).out
+
+    files = files_of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", write)
+    return trees.xref_format(scan(files, "trailer_nodes")).select(_doc(), "xref_format")
+
+
+@query(
+    "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(9 + row_number() OVER w AS BIGINT) AS num, CAST(row_number() OVER w - 1 AS BIGINT) AS stm_idx, c_name AS title, c_acctbal AS amount "
+    "FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)"
+)
+def q58_packed_objects(spark, sf_dir):
+    """Objects of object streams by a join of index entries with cut-up containers: a nation's customers in one stream."""
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("own"))
+
+    def write(r):
+        inside = {10 + k: b"<</Title %s /Amount %s>>" % (P.literal(x["c_name"].encode()), repr(x["c_acctbal"]).encode()) for k, x in enumerate(r["own"])}
+        return P.Writer("1.5").packed(_BASE, inside).out
+
+    files = stage(files_of(rows, "c_nationkey", write), "files")
+    plain = stage(scan(files, "nodes", ScanOptions(packed=False)), "nodes")
+    found = stage(packed.packed_objects(scan(files, "xref_entries"), plain, scan(files, "streams", ScanOptions(packed=False))), "packed")
+    values = packed.parse_bodies(found.withColumn("gen", F.lit(0))).where("depth = 1")
+    pick = lambda key, column: F.max(F.when(F.col("key") == key, column))
+    number = F.coalesce(F.col("real_val"), F.col("int_val").cast("double"))
+    shown = values.groupBy("doc_id", "num").agg(pick("Title", T.decode_text(F.col("bytes_val"))).alias("title"), pick("Amount", number).alias("amount"))
+    return found.where("error is null").join(shown, ["doc_id", "num"]).select(_doc(), "num", "stm_idx", "title", "amount")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'AHx' WHEN 1 THEN 'RL' WHEN 2 THEN 'AHx,RL' ELSE 'AHx,Fl' END AS chain, octet_length(encode(text)) AS n_bytes, sha256(text) AS sha FROM documents")
+def q59_native_codecs(spark, sf_dir):
+    """Document texts through chains of expressions; only where a chain holds Flate it goes on in a worker."""
+
+    def body(r):
+        text, kind = r["text"].encode(), r["doc_id"] % 4
+        coded = [lambda: text.hex().encode() + b">", lambda: P.run_length(text), lambda: P.run_length(text).hex().encode() + b">", lambda: zlib.compress(text).hex().encode() + b">"][kind]()
+        return P.one_stream(P.stream(coded, b"/Filter [%s]" % [b"/AHx", b"/RL", b"/AHx /RL", b"/AHx /Fl"][kind]))
+
+    files = files_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", body)
+    streams = stage(scan(files, "streams", columns=["num", "raw", "filters", "params"]).where("num = 3"), "streams")
+    done = codecs.decode_streams(streams)
+    return done.select(_doc(), F.array_join("filters", ",").alias("chain"), F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("decoded", 256).alias("sha"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 3 WHEN 0 THEN 'aes128' WHEN 1 THEN 'aes256' ELSE 'rc4' END AS cipher, octet_length(encode(p_name)) AS n_bytes, sha256(p_name) AS sha FROM part")
+def q60_decryption(spark, sf_dir):
+    """Streams decrypted by expressions from raw bytes and file keys, RC4 alone in workers."""
+    write = lambda r: P.encrypted(r["p_name"].encode(), ["AESV2", "AESV3", "V2"][r["p_size"] % 3], b"%d" % r["p_partkey"])
+    files = stage(files_of(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", write), "files")
+    keys = stage(scan(files, "security"), "keys")
+    plain = codecs.decrypt_streams(scan(files, "streams", columns=["num", "gen", "raw"]).where("num = 3"), keys)
+    return plain.join(keys.select("doc_id", "cipher"), "doc_id").select(_doc(), "cipher", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha"))
+
+
+@query("SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Tc' ELSE 'Tw' END AS operator, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY ALL")
+def q61_lateral_operations(spark, sf_dir):
+    """Content operations of bytes that SQL makes, by a table function in SQL."""
+    tables.register(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("pagequarry_lines")
+    return spark.sql("""
+        WITH c AS (SELECT l_orderkey, encode(concat_ws(' ', collect_list(concat(cast(l_quantity AS string), if(l_linenumber % 2 = 0, ' Tc', ' Tw')))), 'UTF-8') AS content FROM pagequarry_lines GROUP BY l_orderkey)
+        SELECT l_orderkey AS doc_id, o.operator, count(*) AS n, max(o.operands[0].number) AS most FROM c, LATERAL content_operations(c.content) o GROUP BY l_orderkey, o.operator
+    """)
+
+
+@query(
+    "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) END AS nation, "
+    "CASE WHEN c_custkey % 3 = 0 THEN 'int expected, found text' END AS nation_error, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS label, "
+    "CASE WHEN c_custkey % 2 = 1 THEN 'no such entry' END AS label_error, CAST(c_nationkey + 1 AS BIGINT) AS inner_value FROM customer"
+)
+def q62_strict_values(spark, sf_dir):
+    """Values as VARIANT: strict readings with what is wrong, lenient ones that miss, through references."""
+
+    def write(r):
+        nation = P.literal(b"none") if r["c_custkey"] % 3 == 0 else b"%d" % r["c_nationkey"]
+        label = b" /Label 7 0 R" if r["c_custkey"] % 2 == 0 else b""
+        more = {6: nation, 7: P.literal(r["c_name"].encode()), 8: P.stream(b"x", b"/Inner %d" % (r["c_nationkey"] + 1))}
+        return P.Writer().classic({**_BASE, 5: b"<</Nation 6 0 R /Deep 8 0 R%s>>" % label, **more}).out
+
+    files = files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), "c_custkey", write)
+    held = stage(values.as_variant(scan(files, "objects", columns=["num", "gen", "tagged_json", "error"])), "variants")
+    strict = lambda key, kind: values.resolved(held, key).where("num = 5").select("doc_id", values.strict(F.col("found"), kind).alias(key))
+    inner = values.resolved(held, "Deep").where("num = 5").select("doc_id", F.try_variant_get(values.lenient(F.col("found"), "dict"), "$.Inner.int", "bigint").alias("inner_value"))
+    rows = strict("Nation", "int").join(strict("Label", "text"), "doc_id").join(inner, "doc_id")
+    return rows.select(_doc(), F.col("Nation.value").cast("double").alias("nation"), F.col("Nation.error").alias("nation_error"), F.col("Label.value").alias("label"), F.col("Label.error").alias("label_error"), "inner_value")
+
+
+@query("SELECT p_partkey AS doc_id, CAST(CASE WHEN p_size % 5 = 0 THEN 5 ELSE 0 END AS BIGINT) AS changed, (SELECT count(*) FROM part q WHERE q.p_name = part.p_name) AS same_titles FROM part")
+def q63_content_digests(spark, sf_dir):
+    """Versions that differ in object numbers alone are equal; a changed leaf changes what leads to it; equal subtrees are found across files."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+
+    def version(r, shift, name):
+        at = lambda k: b"%d 0 R" % (k + shift)
+        bodies = {1: b"<</Type /Catalog /Pages %s /Info %s /Own %d>>" % (at(2), at(3), r["p_partkey"]), 2: b"<</Kids [%s] /Up %s>>" % (at(3), at(1)), 3: b"<</Title %s /Back %s>>" % (at(4), at(5)), 4: P.literal(name), 5: b"[%s]" % at(4)}
+        return P.Writer().classic({k + shift: v for k, v in bodies.items()}, b"/Root " + at(1)).out
+
+    old = stage(scan(files_of(parts, "p_partkey", lambda r: version(r, 0, r["p_name"].encode())), "nodes"), "old")
+    new = stage(scan(files_of(parts, "p_partkey", lambda r: version(r, 7 + r["p_partkey"] % 3, r["p_name"].encode() + b"!" * (r["p_size"] % 5 == 0))), "nodes"), "new")
+    before, after = values.settled_digests(old), values.settled_digests(new)
+    changed = values.diff_by_content(before, after).where("change = 'added'").groupBy("doc_id").agg(F.count("*").alias("changed"))
+    classes = values.copies(before)
+    titles = before.where("num = 3").join(classes.select("digest", "n"), "digest", "left").select("doc_id", F.coalesce("n", F.lit(1)).alias("same_titles"))
+    return titles.join(changed, "doc_id", "left").select(_doc(), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), "same_titles")

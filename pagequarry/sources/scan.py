@@ -1,9 +1,10 @@
 """The scan: one task reads whole files and emits the rows of one table.
 
 ``scan(files, table)`` takes rows (doc_id, content) in batch or streaming and
-returns that table only, so what a query does not ask for is not decoded.  A file
-that cannot be opened gives one row of ``documents`` with its error, and none
-elsewhere; an object or stream that cannot be read gives a row with its error.
+returns that table only, or wanted columns of it, so what a query does not ask for is
+not decoded.  A file that cannot be opened gives one row of ``documents`` and of
+``dumps`` with its error, and none elsewhere; an object or stream that cannot be read,
+or a file that ends early, gives a row with its error.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ class ScanOptions:
     dump: DumpOptions = DumpOptions()
     #: Whether ``page_spine`` decodes the pages' content streams.
     contents: bool = True
+    #: Whether objects in object streams are read (``operators.packed`` reads them by a join).
+    packed: bool = True
     #: Columns that are wanted (None: all); what no wanted column needs is neither parsed nor decoded.
     columns: tuple[str, ...] | None = None
     #: Conditions on PUSHED columns that all hold for wanted rows.
@@ -92,6 +95,7 @@ SCHEMAS = {
     "attachments": "ord int, name_bytes binary, spec_num bigint, spec_gen bigint, file_bytes binary, error string",
     "struct_elems": "ord int, depth int, role string, mapped_role string, error string",
     "dumps": "json string, error string",
+    "security": "cipher string, file_key binary, error string",
 }
 #: Columns of each table whose conditions the scan tests itself.
 PUSHED = {"objects": ("num", "gen", "kind"), "nodes": ("num", "gen"), "streams": ("num", "gen"), "page_spine": ("page_index",), "content_ops": ("page_index",)}
@@ -132,7 +136,9 @@ def _documents(doc: Document, o: ScanOptions) -> Iterator[tuple]:
 
 def _wanted(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     """Objects whose number and generation are wanted."""
-    return doc.objects(lambda ref: o.holds("num", ref.num) and o.holds("gen", ref.gen)) if o.only else doc.objects()
+    if not o.only and o.packed:
+        return doc.objects()
+    return doc.objects(lambda ref: o.holds("num", ref.num) and o.holds("gen", ref.gen) and (o.packed or doc.live[ref].kind == 1))
 
 
 def _xref_entries(doc: Document, o: ScanOptions) -> Iterator[tuple]:
@@ -380,6 +386,11 @@ def _struct_elems(doc: Document, o: ScanOptions) -> Iterator[tuple]:
         yield order, depth, _shown(role), _shown(mapped[role]) if role in mapped else None, None
 
 
+def _security(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+    if doc.handler is not None:
+        yield doc.handler.cipher, doc.handler.key, None
+
+
 def _dumps(doc: Document, o: ScanOptions) -> Iterator[tuple]:
     yield dump(doc, o.dump), None
 
@@ -387,7 +398,7 @@ def _dumps(doc: Document, o: ScanOptions) -> Iterator[tuple]:
 MAKERS = {
     "documents": _documents, "xref_entries": _xref_entries, "trailers": _trailers, "trailer_nodes": _trailer_nodes, "objects": _objects, "nodes": _nodes,
     "streams": _streams, "page_spine": _page_spine, "content_ops": _content_ops, "info_entries": _info_entries, "info": _info,
-    "attachments": _attachments, "struct_elems": _struct_elems, "dumps": _dumps,
+    "attachments": _attachments, "struct_elems": _struct_elems, "dumps": _dumps, "security": _security,
 }
 
 
@@ -404,13 +415,13 @@ def error_row(table: str, error: str) -> tuple:
 def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator[tuple]:
     """The rows of one file; never raises on malformed input.
 
-    A file that cannot be opened gives a row of ``documents`` alone.  Whatever else
+    A file that cannot be opened gives a row of ``documents`` and ``dumps`` alone.  Whatever else
     goes wrong ends the file's rows with one that holds the error in its last column.
     """
     try:
         doc = Document(content or b"", options.max_stream, options.password)
     except PdfError as e:
-        if table == "documents":
+        if table in ("documents", "dumps"):
             yield error_row(table, str(e))
         return
     except Exception as e:  # noqa: BLE001
