@@ -41,6 +41,8 @@ MAX_ROWS = 20_000
 MAX_LABELS = 256
 SMOOTHING = 0.1
 BLOCK_CHARS = 1_000_000
+#: Numbers of n-grams times languages that are gathered at a time, 8 bytes each.
+GRAMS = 1 << 21
 #: A text this far on the way from its language's usual mean to that of the language backwards is foreign.
 MAX_DISTANCE = 2 / 3
 #: Lead over the second language, as a share of the usual one, below which a text is mixed: 5/8 of it in one language.
@@ -125,17 +127,48 @@ def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS
     return labels, log_table(counts), log_prior(labels, sizes)
 
 
-def letter_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of a text's letters alone, and their counts."""
-    counts = np.bincount(hashed_ngrams(_OTHERS.sub(" ", text)), minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    return at, counts[at]
+def log_sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the n-grams' log-probabilities (texts x languages), and numbers of n-grams.
 
-
-def mean_logs(text: str, table: np.ndarray) -> np.ndarray:
-    """Mean log-probability per n-gram of a text's letters in each language."""
-    at, n = letter_counts(text)
-    return table[:, at].astype(np.float64) @ n / n.sum()
+    A block of texts is one sparse matrix, its rows the texts' n-grams, times the table;
+    ``GRAMS`` n-grams are multiplied at a time.
+    """
+    by_bucket = np.ascontiguousarray(table.T)
+    out, sizes = np.zeros((len(texts), len(table))), np.zeros(len(texts), np.int64)
+    most = max(1, GRAMS // max(1, len(table)))
+    held: list[np.ndarray] = []
+    owners: list[int] = []
+    waiting = 0
+
+    def add() -> None:
+        own = np.array(owners)
+        starts = np.concatenate([[0], np.cumsum([len(h) for h in held])[:-1]])
+        np.add.at(out, own, np.add.reduceat(by_bucket[np.concatenate(held)], starts, axis=0, dtype=np.float64))
+
+    for k, text in enumerate(texts):
+        grams = hashed_ngrams(text)
+        sizes[k] = len(grams)
+        for at in range(0, len(grams), most):
+            held.append(grams[at : at + most])
+            owners.append(k)
+            waiting += len(held[-1])
+            if waiting >= most:
+                add()
+                held, owners, waiting = [], [], 0
+    if held:
+        add()
+    return out, sizes
+
+
+def letters_of(text: str) -> str:
+    """A text's letters alone, in runs."""
+    return _OTHERS.sub(" ", text)
+
+
+def mean_logs(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """Mean log-probability per n-gram of each text's letters in each language."""
+    sums, sizes = log_sums([letters_of(t) for t in texts], table)
+    return sums / np.maximum(sizes, 1)[:, None]
 
 
 def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS, key: Column | None = None) -> tuple[Model, np.ndarray]:
@@ -154,11 +187,12 @@ def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MA
                     continue
                 k = labels.index(label)
                 whole = np.bincount(hashed_ngrams(text), minlength=BUCKETS)
-                at, n = letter_counts(text)
+                grams = hashed_ngrams(letters_of(text))
                 # its own language without the text's own counts
-                rest = np.log((np.maximum(counts[k, at] - whole[at], 0) + SMOOTHING) / (sums[k] - whole.sum())) @ n / n.sum()
-                others = np.delete(table[:, at].astype(np.float64) @ n / n.sum(), k)
-                out.append((label, rest, mean_logs(text[::-1], table)[k], rest - others.max() if len(others) else np.nan))
+                rest = float(np.log((np.maximum(counts[k, grams] - whole[grams], 0) + SMOOTHING) / (sums[k] - whole.sum())).mean())
+                ahead, back = mean_logs([text, text[::-1]], table)
+                others = np.delete(ahead, k)
+                out.append((label, rest, back[k], rest - others.max() if len(others) else np.nan))
             yield pd.DataFrame(out, columns=["label", "mean", "back", "lead"])
 
     # at most ``max_rows`` rows of three numbers, about, reach the driver
@@ -174,12 +208,11 @@ def judge_block(texts: list[str], names: list[str], model: Model, usual: np.ndar
     """
     labels, table, _ = model
     out = []
-    for text, name in zip(texts, names, strict=True):
+    for name, logs in zip(names, mean_logs(texts, table) if labels else [None] * len(texts), strict=True):
         if name == _UND:
             out.append(False)
             continue
         k = labels.index(name)
-        logs = mean_logs(text, table)
         mean, back, lead = usual[k]
         foreign = mean > back and mean - logs[k] > MAX_DISTANCE * (mean - back)
         mixed = lead > 0 and logs[k] - np.delete(logs, k).max() < MIN_LEAD * lead
@@ -190,20 +223,13 @@ def judge_block(texts: list[str], names: list[str], model: Model, usual: np.ndar
 def score_block(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """Best language and its posterior for each text."""
     labels, table, prior = model
-    names, scores = [], []
-    for text in texts:
-        if not labels or not text or not has_letter(text):
-            names.append(_UND)
-            scores.append(0.0)
-            continue
-        # one count per bucket that occurs: the text's row of a sparse matrix
-        counts = np.bincount(hashed_ngrams(text), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        logs = table[:, at].astype(np.float64) @ counts[at] + prior
-        logs = np.exp(logs - logs.max())
-        k = int(np.argmax(logs))
-        names.append(labels[k])
-        scores.append(float(logs[k] / logs.sum()))
+    names, scores = [_UND] * len(texts), [0.0] * len(texts)
+    own = [k for k, t in enumerate(texts) if labels and t and has_letter(t)]
+    sums = log_sums([texts[k] for k in own], table)[0] + prior
+    for k, logs in zip(own, sums, strict=True):
+        odds = np.exp(logs - logs.max())
+        best = int(np.argmax(odds))
+        names[k], scores[k] = labels[best], float(odds[best] / odds.sum())
     return names, scores
 
 
