@@ -84,11 +84,18 @@ def settled_digests(nodes: DataFrame, streams: DataFrame | None = None, rounds:
     return digests.select(*key, "digest")
 
 
-def diff_by_content(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Objects whose digest the other version of the document lacks: doc_id, num, gen, change (removed or added)."""
-    gone = left.join(right.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_anti").withColumn("change", F.lit("removed"))
-    new = right.join(left.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_anti").withColumn("change", F.lit("added"))
-    return gone.unionByName(new).select("doc_id", "num", "gen", "change")
+def diff_by_content(left: DataFrame, right: DataFrame, left_streams: DataFrame | None = None, right_streams: DataFrame | None = None) -> DataFrame:
+    """Objects of two versions of documents (tables ``nodes``) that the other one lacks: doc_id, num, gen, change (removed or added).
+
+    Digests of both settle together, as only then equal ones mean equal objects.
+    """
+    side = lambda rows, mark: rows.withColumn("doc_id", F.concat(F.lit(mark), "doc_id"))
+    streams = None if left_streams is None else side(left_streams, "<").unionByName(side(right_streams, ">"))
+    both = settled_digests(side(left, "<").unionByName(side(right, ">")), streams)
+    split = both.select(F.substring("doc_id", 1, 1).alias("side"), F.expr("substring(doc_id, 2)").alias("doc_id"), "num", "gen", "digest")
+    once = split.groupBy("doc_id", "digest").agg(F.count_distinct("side").alias("n")).where("n = 1")
+    change = F.when(F.col("side") == "<", "removed").otherwise("added")
+    return split.join(once, ["doc_id", "digest"], "left_semi").select("doc_id", "num", "gen", change.alias("change"))
 
 
 def copies(digests: DataFrame) -> DataFrame:

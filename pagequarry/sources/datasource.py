@@ -75,7 +75,7 @@ class Files(D.InputPartition):
 
 class PdfReader(D.DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
-        self.given, self.schema = dict(options), schema
+        self.given, self.schema = options, schema  # keys are compared without case
         self.table = options.get("table", "documents")
         self.only: list[Only] = []
         self.names: list[D.Filter] = []

@@ -72,7 +72,7 @@ def entangled(n: int) -> bytes:
 @pytest.fixture(scope="module")
 def corpus(spark):
     draw = random.Random(11)
-    rows = [(f"r{k}", random_file(draw)) for k in range(80)] + [("deep", chain(600)), ("entangled", entangled(12)), ("none", b""), ("flat", chain(1))]
+    rows = [(f"r{k}", random_file(draw)) for k in range(60)] + [("deep", chain(300)), ("entangled", entangled(12)), ("none", b""), ("flat", chain(1))]
     files = spark.createDataFrame(rows, "doc_id string, content binary").repartition(4)
     return files, stage(scan(files, "nodes"), "t-nodes"), stage(scan(files, "trailer_nodes"), "t-trailers")
 
@@ -88,7 +88,7 @@ def test_pages_equal_the_walk(corpus):
     files, nodes, trailers = corpus
     want = by_doc(scan(files, "page_spine", columns=["page_index", "num", "gen"]).orderBy("doc_id", "page_index").collect(), "page_index", "num", "gen")
     got = by_doc(trees.page_tree(nodes, trailers).orderBy("doc_id", "page_index").collect(), "page_index", "num", "gen")
-    assert got["deep"][0] == (0, 2 + 2 * 600, 0) and len(got["deep"]) == 601
+    assert got["deep"][0] == (0, 2 + 2 * 300, 0) and len(got["deep"]) == 301
     different = {d for d in set(want) | set(got) if want.get(d) != got.get(d)}
     assert not different, [(d, want.get(d), got.get(d)) for d in sorted(different)[:2]]
 
