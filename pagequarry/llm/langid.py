@@ -41,7 +41,7 @@ MAX_ROWS = 20_000
 MAX_LABELS = 256
 SMOOTHING = 0.1
 BLOCK_CHARS = 1_000_000
-#: Numbers of n-grams times languages that are gathered at a time, 8 bytes each.
+#: Products of counts and log-probabilities that are held at a time, 8 bytes each.
 GRAMS = 1 << 21
 #: A text this far on the way from its language's usual mean to that of the language backwards is foreign.
 MAX_DISTANCE = 2 / 3
@@ -130,33 +130,25 @@ def fit(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_ROWS
 def log_sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the n-grams' log-probabilities (texts x languages), and numbers of n-grams.
 
-    A block of texts is one sparse matrix, its rows the texts' n-grams, times the table;
-    ``GRAMS`` n-grams are multiplied at a time.
+    A block of texts is one sparse matrix, of each text the buckets that occur and
+    their counts, times the table; ``GRAMS`` products are held at a time.
     """
     by_bucket = np.ascontiguousarray(table.T)
     out, sizes = np.zeros((len(texts), len(table))), np.zeros(len(texts), np.int64)
     most = max(1, GRAMS // max(1, len(table)))
-    held: list[np.ndarray] = []
-    owners: list[int] = []
-    waiting = 0
-
-    def add() -> None:
-        own = np.array(owners)
-        starts = np.concatenate([[0], np.cumsum([len(h) for h in held])[:-1]])
-        np.add.at(out, own, np.add.reduceat(by_bucket[np.concatenate(held)], starts, axis=0, dtype=np.float64))
-
+    first, waiting = 0, 0
+    buckets: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     for k, text in enumerate(texts):
-        grams = hashed_ngrams(text)
-        sizes[k] = len(grams)
-        for at in range(0, len(grams), most):
-            held.append(grams[at : at + most])
-            owners.append(k)
-            waiting += len(held[-1])
-            if waiting >= most:
-                add()
-                held, owners, waiting = [], [], 0
-    if held:
-        add()
+        own = np.bincount(hashed_ngrams(text), minlength=BUCKETS)
+        buckets.append(np.flatnonzero(own))
+        counts.append(own[buckets[-1]])
+        sizes[k] = counts[-1].sum()
+        waiting += len(buckets[-1])
+        if waiting >= most or k + 1 == len(texts):
+            starts = np.concatenate([[0], np.cumsum([len(b) for b in buckets])[:-1]])
+            out[first : k + 1] = np.add.reduceat(by_bucket[np.concatenate(buckets)] * np.concatenate(counts)[:, None], starts, axis=0, dtype=np.float64)
+            first, waiting, buckets, counts = k + 1, 0, [], []
     return out, sizes
 
 

@@ -45,3 +45,18 @@ def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, step in pipeline.STAGES:
         assert step(spark, docs, SF).count() == 0
+
+
+def test_rows_without_an_id_take_part(spark):
+    """A near copy without an id goes, one that is alone stays, and one that holds an item goes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    own = docs.where("length(text) > 600").limit(3).select("doc_id", "text").collect()
+    item = items.where("length(text) > 150").first()["text"]
+    rows = [(r["doc_id"], r["text"]) for r in own[:2]] + [(None, own[0]["text"]), (None, own[2]["text"]), (None, f"{own[1]['text'][::-1]} {item}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = pipeline.near_copy_stage(spark, table, SF)
+    left = [(r["doc_id"], r["text"]) for r in alone.collect()]
+    assert sorted(left, key=str) == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
+    clean = [(r["doc_id"], r["text"]) for r in pipeline.decontamination_stage(spark, table, SF).collect()]
+    assert rows[4] not in clean and rows[3] in clean
