@@ -4,13 +4,14 @@ Every stage takes what its predecessor kept and works on all of it.  Documents
 keep all their columns until the last stage, which returns what was encoded.
 
 Defined results: null texts are empty texts and fall to the first stage; rows
-that repeat a document share its fate; extra columns pass through; an empty
-table gives empty results.
+that repeat a document share its fate; rows without an id are told apart by their
+text, come after all ids where one of a group stays, and keep their null; extra
+columns pass through; an empty table gives empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import bpe, decontaminate, jaccard, langid, repetition
@@ -25,11 +26,21 @@ MIN_LANGUAGE_SCORE = 0.6
 BROADCAST_IDS = 500_000
 
 
+def keys_of(docs: DataFrame) -> Column:
+    """A document's id; for a row without one a number from its text, larger than ids are."""
+    own = F.shiftrightunsigned(F.xxhash64(F.coalesce(docs["text"], F.lit(""))), 2) + F.lit(1 << 62)
+    return F.coalesce(docs["doc_id"].cast("long"), own)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(keys_of(docs).alias("doc_id"), "text")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids``, all columns as they were."""
-    gone = stage(ids.distinct(), "pipeline-gone")
+    """Documents whose key is not among ``ids``, all columns as they were."""
+    gone = stage(ids.select(F.col("doc_id").cast("long").alias("gone")).distinct(), "pipeline-gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, keys_of(docs) == gone["gone"], "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +76,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five-word shingles at 0.8: one document of each group stays."""
     ship(spark)
-    found = jaccard.link_components(docs.select("doc_id", "text"), n=5, num=80, den=100)
+    found = jaccard.link_components(texts_of(docs), n=5, num=80, den=100)
     return without(docs, found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
 
 
@@ -73,7 +84,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Benchmark decontamination: documents that hold a benchmark item go."""
     ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.contaminated(docs.select("doc_id", "text"), items).select("doc_id"))
+    return without(docs, decontaminate.contaminated(texts_of(docs), items).select("doc_id"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
