@@ -1,7 +1,7 @@
 """Headline queries on local[$BENCH_CPUS] over $BENCH_SF_DIR; prints one JSON line.
 
-Decoding is timed on files that are built and stored beforehand, next to a
-single process that runs the same kernel without Spark.
+Decoding and three scans of page files are timed on files that are built and stored
+beforehand, each next to a single process that runs the same kernel without Spark.
 """
 
 from __future__ import annotations
@@ -57,8 +57,17 @@ def main() -> None:
             decoded += sum(len(row[7]) for row in rows_of("streams", content, ScanOptions()))
 
     alone = timed(single)
+    pages = stage(Q._page_files(spark, SF_DIR, lambda x: b"/MediaBox [%s 0 -1.5 7]" % repr(x["l_quantity"]).encode()), "bench-pages").repartition(int(CPUS)).persist()
+    n_pages = pages.count()
+    kept = [bytes(r[0]) for r in pages.select("content").limit(2_000).collect()]
+    scans = {}
+    for name, table, columns in (("page_count", "documents", ("page_count",)), ("boxes", "page_spine", ("page_index", "attributes")), ("objects", "nodes", None)):
+        wall = times[f"scan_{name}"] = timed(lambda: done(scan(pages, table, columns=columns)))  # noqa: B023
+        one = timed(lambda: [list(rows_of(table, content, ScanOptions(columns=columns))) for content in kept])  # noqa: B023
+        scans[name] = {"files": n_pages, "spark_files_s": round(n_pages / wall, 1), "single_files_s": round(len(kept) / one, 1)}
+
     rate = {"files": n, "spark_files_s": round(n / times["decode_stored"], 1), "single_files_s": round(len(held) / alone, 1), "single_mb_s": round(decoded / 1e6 / alone, 2)}
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")), "decode": rate}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")), "decode": rate, "scans": scans}))
 
 
 if __name__ == "__main__":

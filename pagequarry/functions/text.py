@@ -33,8 +33,8 @@ def decode_utf16(raw: Column, little: bool = False) -> Column:
         return F.transform(us, one)
 
     joined = F.array_join(F.transform(F.array(units), mended)[0], "")
-    # without anything that might be a surrogate there is nothing to mend
-    plain = (F.octet_length(raw) % 2 == 0) & ~F.hex(raw).rlike("D[89A-F]")
+    # without a surrogate there is nothing to mend; looked for where units begin, so that it is not two halves of other units
+    plain = (F.octet_length(raw) % 2 == 0) & ~F.hex(raw).rlike("^(?:.{4})*.{2}D[89A-F]" if little else "^(?:.{4})*D[89A-F]")
     return F.when(plain, F.decode(raw, "UTF-16LE" if little else "UTF-16BE")).otherwise(F.decode(F.unhex(joined), "UTF-16BE"))
 
 

@@ -1,4 +1,7 @@
-"""Relational views over scanned tables: precedence, resolution, inheritance, assembly."""
+"""Relational views over scanned tables: precedence, resolution, inheritance, assembly.
+
+What joins ``nodes`` with itself reads it twice: hand a stored table, so that files are parsed once.
+"""
 
 from __future__ import annotations
 
@@ -77,6 +80,7 @@ def pages(files: DataFrame, options: ScanOptions | None = None, contents: bool =
     rotate = inherited("Rotate")
     return spine.select(
         "doc_id", "page_index", "num", "gen", "parents", *[box(k).alias(v) for k, v in BOXES.items()],
+        F.map_filter(F.create_map(*[c for k in BOXES for c in (F.lit(k), box(k))]), lambda _, rect: rect.isNotNull()).alias("boxes"),
         F.coalesce(T.normal_rotation(rotate["kind"], rotate["int_val"]), F.lit(0)).alias("rotation"),
         F.array_sort(inherited("Resources")["keys"]).alias("resource_keys"), joined_content(F.col("contents")).alias("content"), "content_error",
     )

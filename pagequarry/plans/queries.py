@@ -50,7 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes]) -> DataFrame:
     """One file per row, as (doc_id, content)."""
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    # by the key: rows that go round by turns are sorted first, whatever they hold
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -524,7 +525,7 @@ def q39_streaming(spark, sf_dir):
 def q40_dangling(spark, sf_dir):
     """References to objects that are not there."""
     write = lambda r: P.Writer().classic({**_BASE, 5: b"<</Next %d 0 R>>" % (99 if r["c_custkey"] % 7 == 0 else 2)}).out
-    nodes = scan(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "nodes")
+    nodes = stage(scan(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "nodes"), "nodes")
     return views.references(nodes).where("key = 'Next'").select(_doc(), "dangling")
 
 
@@ -537,7 +538,7 @@ def q41_unreferenced(spark, sf_dir):
         return P.Writer().classic({**_BASE, **more}).out
 
     files = stage(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "files")
-    return views.unreferenced(scan(files, "nodes"), scan(files, "trailers")).select(_doc(), "num")
+    return views.unreferenced(stage(scan(files, "nodes"), "nodes"), scan(files, "trailers")).select(_doc(), "num")
 
 
 @query("SELECT p_partkey AS doc_id, CASE p_size % 3 WHEN 0 THEN 'classical' ELSE 'stream' END AS xref_format FROM part")
@@ -577,7 +578,7 @@ def q44_typed_values(spark, sf_dir):
     def write(r):
         return P.Writer().classic({**_BASE, 5: b"<</Amount %s /Label 6 0 R>>" % repr(r["c_acctbal"]).encode(), 6: P.literal(r["c_name"].encode())}).out
 
-    nodes = scan(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name"), "c_custkey", write), "nodes")
+    nodes = stage(scan(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name"), "c_custkey", write), "nodes"), "nodes")
     values = views.dict_values(nodes).where("num = 5")
     number = F.coalesce(F.col("real_val"), F.col("int_val").cast("double"))
     pick = lambda key, v: F.max(F.when(F.col("key") == key, v))

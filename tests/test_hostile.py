@@ -107,7 +107,7 @@ def test_packed_objects_that_overlap_are_bounded():
 
 
 def test_utf16_with_and_without_surrogates(spark):
-    texts = ["plain", "Ø and ü", "🙂", "中文", ""]
+    texts = ["plain", "Ø and ü", "🙂", "中文", "", "ßØÜ" * 30_000, "ab🙂" * 500]
     rows = [(k, mark + t.encode(code)) for k, t in enumerate(texts) for mark, code in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"))]
     got = spark.createDataFrame(rows, "k int, raw binary").select("k", T.decode_text(F.col("raw")).alias("t")).collect()
     assert all(r["t"] == texts[r["k"]] for r in got)

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from pagequarry import dump
 from pagequarry.functions import codecs, tables
-from pagequarry.operators import packed, values
+from pagequarry.operators import packed, values, views
 from pagequarry.sources import codecs as kernel
 from pagequarry.sources import datasource, scan
 from pagequarry.sources.document import Document
@@ -332,6 +332,12 @@ def test_renumbered_copies_have_no_difference(spark):
     assert {r["n"] for r in values.copies(values.settled_digests(nodes, streams)).collect()} == {2}
 
 
+def test_boxes_as_one_value(spark):
+    file = P.page_file([(b"/BleedBox [9 8 1 2] /TrimBox 5", []), (b"", [])], b"/MediaBox [0 0 10 20]")
+    rows = views.pages(spark.createDataFrame([("d", bytearray(file))], "doc_id string, content binary"), contents=False).orderBy("page_index").select("boxes").collect()
+    assert [{k: tuple(v) for k, v in r["boxes"].items()} for r in rows] == [{"MediaBox": (0, 0, 10, 20), "BleedBox": (1, 2, 9, 8)}, {"MediaBox": (0, 0, 10, 20)}]
+
+
 def test_operations_in_sql(spark):
     tables.register(spark)
     spark.createDataFrame([(1, bytearray(b"1 2 m (a) Tj")), (2, None), (3, bytearray(b"1 l ]"))], "id int, content binary").createOrReplaceTempView("t_bytes")
