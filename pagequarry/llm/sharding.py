@@ -28,6 +28,8 @@ from pagequarry.workspace import stage
 
 FIRST_BITS = 12
 MORE_BITS = 8
+#: Bytes of one part of a shard that is written.
+PART_BYTES = 256 << 20
 ROW_OVERHEAD = 8
 #: Rows of one shard are numbered in this many independent parts.
 CELLS = 1024
@@ -196,7 +198,7 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "
     """Write whole documents as one folder per shard; returns the cuts.
 
     The shard is a function of the text alone once the cuts are known, so the
-    texts move once, straight to their folder.
+    texts move once, straight to their folder, in parts of about ``PART_BYTES``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     groups = stage(
@@ -206,11 +208,13 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "
         "shard-groups",
     )
     _, cuts = minimax_cuts(groups, n_shards)
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (n_shards * PART_BYTES)))
     (
         docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h"))
         .select("row", "h", _shard_of(cuts).alias("shard"))
         .select("row.*", F.col("shard").alias("shard_no"))
-        .repartition("shard_no", F.pmod(F.xxhash64(id_col), F.lit(64)))
+        .repartition(n_shards * parts, "shard_no", F.pmod(F.xxhash64(id_col), F.lit(parts)))
         .write.partitionBy("shard_no")
         .parquet(path)
     )
