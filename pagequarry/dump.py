@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     given = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pagequarry.dump").getOrCreate()
     look = DumpOptions(preview=-1 if given.no_preview else DumpOptions().preview, inline=given.stream_content)
-    options = ScanOptions(password=given.password.encode(), dump=look)
+    options = ScanOptions(password=given.password.encode(), dump=look, open_errors=True)
     files = read_files(spark, given.path, given.glob)
     snapshots = scan(files, "dumps", options)
     if given.out:

@@ -2,9 +2,9 @@
 
 ``scan(files, table)`` takes rows (doc_id, content) in batch or streaming and
 returns that table only, or wanted columns of it, so what a query does not ask for is
-not decoded.  A file that cannot be opened gives one row of ``documents`` and of
-``dumps`` with its error, and none elsewhere; an object or stream that cannot be read,
-or a file that ends early, gives a row with its error.
+not decoded.  A file that cannot be opened gives one row of ``documents`` with its
+error, and none elsewhere unless ``open_errors`` asks for it; an object or stream that
+cannot be read, or a file that ends early, gives a row with its error.
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ class ScanOptions:
     dump: DumpOptions = DumpOptions()
     #: Whether ``page_spine`` decodes the pages' content streams.
     contents: bool = True
+    #: Whether every table, and not ``documents`` alone, has a row for a file that cannot be opened.
+    open_errors: bool = False
     #: Whether objects in object streams are read (``operators.packed`` reads them by a join).
     packed: bool = True
     #: Columns that are wanted (None: all); what no wanted column needs is neither parsed nor decoded.
@@ -415,13 +417,13 @@ def error_row(table: str, error: str) -> tuple:
 def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator[tuple]:
     """The rows of one file; never raises on malformed input.
 
-    A file that cannot be opened gives a row of ``documents`` and ``dumps`` alone.  Whatever else
+    A file that cannot be opened gives a row of ``documents`` alone, unless asked otherwise.  Whatever else
     goes wrong ends the file's rows with one that holds the error in its last column.
     """
     try:
         doc = Document(content or b"", options.max_stream, options.password)
     except PdfError as e:
-        if table in ("documents", "dumps"):
+        if table == "documents" or options.open_errors:
             yield error_row(table, str(e))
         return
     except Exception as e:  # noqa: BLE001
@@ -481,7 +483,7 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
         try:
             rows = rows_of(table, read(), options)
         except OSError as e:
-            rows = iter([error_row(table, f"{type(e).__name__}: {e}"[:500])] if table == "documents" else [])
+            rows = iter([error_row(table, f"{type(e).__name__}: {e}"[:500])] if table == "documents" or options.open_errors else [])
         for row in rows:
             held.append((doc_id, *(row if pick is None else (row[k] for k in pick))))
             weight += _weight(held[-1])
