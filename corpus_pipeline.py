@@ -26,6 +26,19 @@ MIN_LANGUAGE_SCORE = 0.6
 BROADCAST_IDS = 500_000
 
 
+#: Bytes of one Arrow batch: one worker serves all stages and keeps what the largest one took.
+BATCH_BYTES = 4 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """The package in the workers, and small batches."""
+    ship(spark)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = str(spark.conf.get(setting)).rstrip("b")
+    if given.isdigit() and int(given) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def keys_of(docs: DataFrame) -> Column:
     """A document's id; for a row without one a number from its text, larger than ids are."""
     own = F.shiftrightunsigned(F.xxhash64(F.coalesce(docs["text"], F.lit(""))), 2) + F.lit(1 << 62)
@@ -45,7 +58,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters, in no learned language, or in a mix of them, go."""
-    ship(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(langid.fit_judge(docs, "text", "lang", key=F.col("doc_id")))
 
     def verdicts():
@@ -63,7 +76,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that are too short or repeat themselves, go."""
-    ship(spark)
+    ready(spark)
     limits = repetition.Limits()
 
     def kept(text: str) -> bool:
@@ -75,21 +88,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five-word shingles at 0.8: one document of each group stays."""
-    ship(spark)
+    ready(spark)
     found = jaccard.link_components(texts_of(docs), n=5, num=80, den=100)
     return without(docs, found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    ship(spark)
+    ready(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, decontaminate.contaminated(texts_of(docs), items).select("doc_id"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document that stayed: token ids and the text decoded from them."""
-    ship(spark)
+    ready(spark)
     return bpe.encode_documents(docs.select("doc_id", "text"))
 
 
