@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagequarry.sources import codecs, security
 from pagequarry.sources.document import DEFAULT_MAX_STREAM
 from pagequarry.sources.syntax import PdfError
-from pagequarry.workspace import ship, stage
+from pagequarry.workspace import ship, stage_rows
 
 #: Filters that are expressions, with their abbreviations (fixed values).
 HEX, RUN_LENGTH = ("ASCIIHexDecode", "AHx"), ("RunLengthDecode", "RL")
@@ -120,7 +120,7 @@ def decrypt_streams(streams: DataFrame, keys: DataFrame) -> DataFrame:
     key = F.when(F.col("cipher") == "aes256", F.col("file_key")).otherwise(object_key(F.col("file_key"), F.col("num"), F.col("gen"), aes))
     joined = joined.withColumn("key", key).withColumn("plain", F.when(aes & (F.octet_length("raw") >= 32), F.try_aes_decrypt("raw", "key", F.lit("CBC"), F.lit("PKCS"))))
     as_is = F.col("cipher").isNull() | (F.col("cipher") == "identity")
-    held = stage(joined.withColumn("plain", F.when(as_is, F.col("raw")).otherwise(F.col("plain"))), "decrypted")
+    held = stage_rows(joined.withColumn("plain", F.when(as_is, F.col("raw")).otherwise(F.col("plain"))), "decrypted")
     names = streams.columns
     out = [F.col("plain").alias("raw") if c == "raw" else F.col(c) for c in names]
     done = held.where("plain is not null or raw is null").select(*out, F.lit(None).cast("string").alias("error"))

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.sources.syntax import MAX_DEPTH
-from pagequarry.workspace import stage
+from pagequarry.workspace import sorted_join, stage_rows
 
 ROUNDS = 4
 #: Steps of pointer doubling that reach beyond the deepest tree that is walked.
@@ -55,7 +55,7 @@ def merged_trailer(trailer_nodes: DataFrame) -> DataFrame:
     entry = F.struct("trailer_ord", "pos", "section_ord", "node_id", *VALUES)
     first = trailer_nodes.where("depth = 1").groupBy("doc_id", "key").agg(F.min_by(entry, "trailer_ord").alias("e"))
     order = W.partitionBy("doc_id").orderBy("trailer_ord", "pos")
-    return first.select("doc_id", "key", "e.*").withColumn("pos", F.row_number().over(order) - 1)
+    return sorted_join(first.select("doc_id", "key", "e.*").withColumn("pos", F.row_number().over(order) - 1))
 
 
 def xref_format(trailer_nodes: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def xref_format(trailer_nodes: DataFrame) -> DataFrame:
 def entry_of(nodes: DataFrame, holders: DataFrame, key: str) -> DataFrame:
     """What the dictionaries ``holders`` (doc_id, v) have under a key: v, the node's place and its values."""
     own = nodes.where(F.col("key") == key).select("doc_id", vertex("num", "gen", "parent_id").alias("v"), vertex("num", "gen", "node_id").alias("at"), *VALUES)
-    return own.join(holders.select("doc_id", "v"), ["doc_id", "v"])
+    return sorted_join(own.join(holders.select("doc_id", "v"), ["doc_id", "v"]))
 
 
 def led_to(nodes: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = ("dict",)) -> DataFrame:
@@ -76,7 +76,7 @@ def led_to(nodes: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = ("dict
     direct = entries.where(F.col("kind").isin(*kinds)).withColumn("to", F.col("at"))
     tops = nodes.where((F.col("node_id") == 0) & F.col("kind").isin(*kinds)).select("doc_id", F.col("num").alias("ref_num"), F.col("gen").alias("ref_gen"))
     through = entries.where("kind = 'ref'").join(tops, ["doc_id", "ref_num", "ref_gen"]).withColumn("to", vertex("ref_num", "ref_gen", F.lit(0)))
-    return direct.unionByName(through.select(direct.columns))
+    return sorted_join(direct.unionByName(through.select(direct.columns)))
 
 
 def catalogs(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def structure_edges(nodes: DataFrame) -> DataFrame:
     inside = arrays.where("kind = 'array'").select("doc_id", "p", F.col("to").alias("array"))
     apart = arrays.where("kind = 'ref'")
     held = apart.select("doc_id", F.col("to").alias("p"), F.col("to").alias("array")).distinct()
-    return kids(led_to(nodes, own, ("dict",)), 1).unionByName(kids(apart, 0)).unionByName(_elements(nodes, inside.unionByName(held)))
+    return kids(led_to(nodes, own, ("dict",)), 1).unionByName(kids(apart, 0)).unionByName(_elements(nodes, sorted_join(inside.unionByName(held))))
 
 
 def walk(edges: DataFrame, roots: DataFrame, root_is_seen: bool) -> DataFrame:
@@ -131,9 +131,9 @@ def walk(edges: DataFrame, roots: DataFrame, root_is_seen: bool) -> DataFrame:
         own = lambda v: F.when(F.col(v) == F.col("root"), _root()).otherwise(F.struct(F.lit(-1).cast("bigint").alias("num"), F.lit(-1).cast("bigint").alias("gen"), F.col(f"{v}.node").alias("node")))
         copied = kept.where(inside("p")).withColumn("v", F.when(~F.col("by_ref") & inside("v"), own("v")).otherwise(F.col("v"))).withColumn("p", own("p"))
         kept = kept.unionByName(copied)
-    kept = stage(kept.drop("root", "by_ref"), "tree-edges")
+    kept = stage_rows(kept.drop("root", "by_ref"), "tree-edges")
     rivals = kept.groupBy("doc_id", "v").agg(F.min(F.struct("p", "pos", "step")).alias("e"), F.count("*").alias("n"))
-    chosen = stage(rivals.select("doc_id", "v", "e.*", "n"), "tree-choice")
+    chosen = stage_rows(rivals.select("doc_id", "v", "e.*", "n"), "tree-choice")
     settled: list[DataFrame] = []
     for _ in range(ROUNDS):
         paths = _doubled(chosen)
@@ -148,7 +148,7 @@ def walk(edges: DataFrame, roots: DataFrame, root_is_seen: bool) -> DataFrame:
         settled.append(rest.groupBy("doc_id").applyInPandas(_walk_document, f"doc_id string, v {_VERTEX}, path array<int>, depth int"))
     found = reduce(DataFrame.unionByName, settled).where(F.col("depth") <= MAX_DEPTH)
     top = roots.select("doc_id", _root().alias("v"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"))
-    return top.unionByName(found)
+    return sorted_join(top.unionByName(found))
 
 
 def _real(entered: DataFrame, roots: DataFrame) -> DataFrame:
@@ -176,10 +176,10 @@ def _with_copies(entered: DataFrame, edges: DataFrame) -> DataFrame:
     for _ in range(_LEVELS):
         above = level.select("doc_id", F.col("v").alias("p"), "path", "depth")
         level = inner.join(above, ["doc_id", "p"]).select("doc_id", "v", F.concat("path", F.array("pos")).alias("path"), (F.col("depth") + 1).alias("depth"))
-        level = stage(level.where(F.col("depth") <= MAX_DEPTH), "tree-copies")
+        level = stage_rows(level.where(F.col("depth") <= MAX_DEPTH), "tree-copies")
         if level.isEmpty():
             break
-        out = out.unionByName(level)
+        out = sorted_join(out.unionByName(level))
     return out
 
 
@@ -189,7 +189,7 @@ def _doubled(chosen: DataFrame) -> DataFrame:
     for _ in range(DOUBLINGS):
         above = ways.select("doc_id", F.col("v").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("depth").alias("more"))
         joined = ways.join(above, ["doc_id", "up"], "left")
-        ways = stage(
+        ways = stage_rows(
             joined.select(
                 "doc_id", "v", F.coalesce("next", "up").alias("up"), F.concat(F.coalesce("before", F.array().cast("array<int>")), "path").alias("path"),
                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"),
@@ -209,15 +209,15 @@ def _improved(kept: DataFrame, chosen: DataFrame, paths: DataFrame) -> tuple[Dat
         return None, None
     top = several.select("doc_id").distinct().select("doc_id", _root().alias("p"), F.array().cast("array<int>").alias("before"))
     before = paths.select("doc_id", F.col("v").alias("p"), F.col("path").alias("before")).unionByName(top)
-    offers = kept.join(several, ["doc_id", "v"], "left_semi").join(before, ["doc_id", "p"])
+    offers = kept.join(several, ["doc_id", "v"], "left_semi").join(sorted_join(before), ["doc_id", "p"])
     best = offers.groupBy("doc_id", "v").agg(F.min_by(F.struct("p", "pos", "step"), F.concat("before", F.array("pos"))).alias("best"))
-    moved = stage(chosen.join(best, ["doc_id", "v"]).where(F.struct("p", "pos") != F.struct("best.p", "best.pos")).select("doc_id", "v", "best"), "tree-moved")
+    moved = stage_rows(chosen.join(best, ["doc_id", "v"]).where(F.struct("p", "pos") != F.struct("best.p", "best.pos")).select("doc_id", "v", "best"), "tree-moved")
     if moved.isEmpty():
         return None, None
     changed = moved.select("doc_id").distinct()
     again = chosen.join(changed, "doc_id", "left_semi").join(moved, ["doc_id", "v"], "left")
     pick = lambda c: F.coalesce(F.col(f"best.{c}"), F.col(c)).alias(c)
-    return changed, stage(again.select("doc_id", "v", pick("p"), pick("pos"), pick("step"), "n"), "tree-choice")
+    return changed, stage_rows(again.select("doc_id", "v", pick("p"), pick("pos"), pick("step"), "n"), "tree-choice")
 
 
 def _walk_document(edges: pd.DataFrame) -> pd.DataFrame:
@@ -253,16 +253,16 @@ def page_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     ``nodes`` is read several times: hand a stored table, or one of ``stage``.
     """
     roots = led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "Pages"), ("dict", "stream")).select("doc_id", F.col("to").alias("v"), F.col("kind").alias("how"))
-    roots = stage(roots, "page-roots")
-    edges = stage(kid_edges(nodes), "page-edges")
+    roots = stage_rows(roots, "page-roots")
+    edges = stage_rows(kid_edges(nodes), "page-edges")
     # the root's own edges start at the vertex -1 that stands for it
-    seen = stage(_real(walk(edges, roots, root_is_seen=True), roots), "page-nodes")
+    seen = stage_rows(_real(walk(edges, roots, root_is_seen=True), roots), "page-nodes")
     seen = _with_copies(seen, edges.join(roots.select("doc_id", "v"), ["doc_id", "v"], "left_anti"))
     inner = nodes.where("key in ('Kids', 'Count')").select("doc_id", vertex("num", "gen", "parent_id").alias("v"))
     types = nodes.where("key = 'Type'").select("doc_id", vertex("num", "gen", "parent_id").alias("v"), *VALUES)
     names = nodes.where("node_id = 0 and kind = 'name' and name_val = 'Pages'").select("doc_id", F.col("num").alias("ref_num"), F.col("gen").alias("ref_gen"))
     typed = types.where("kind = 'name' and name_val = 'Pages'").select("doc_id", "v").unionByName(types.where("kind = 'ref'").join(names, ["doc_id", "ref_num", "ref_gen"]).select("doc_id", "v"))
-    leaves = seen.join(inner.unionByName(typed), ["doc_id", "v"], "left_anti")
+    leaves = seen.join(sorted_join(inner.unionByName(typed)), ["doc_id", "v"], "left_anti")
     own = F.col("v.node") == 0
     return _ranked(leaves, "page_index", "path").select(
         "doc_id", "page_index", F.when(own, F.col("v.num")).alias("num"), F.when(own, F.col("v.gen")).alias("gen"), F.col("v.node").alias("node"), "depth"
@@ -272,9 +272,9 @@ def page_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
 def name_tree(nodes: DataFrame, trailer_nodes: DataFrame, key: str = "EmbeddedFiles") -> DataFrame:
     """Entries of one of the catalog's name trees in order: doc_id, ord, name_bytes, spec (the vertex of its dictionary)."""
     names = led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "Names")).select("doc_id", F.col("to").alias("v"))
-    roots = stage(led_to(nodes, entry_of(nodes, names, key)).select("doc_id", F.col("to").alias("v")), "name-roots")
-    edges = stage(kid_edges(nodes), "name-edges")
-    holders = _with_copies(stage(_real(walk(edges, roots, root_is_seen=False), roots), "name-nodes"), edges)
+    roots = stage_rows(led_to(nodes, entry_of(nodes, names, key)).select("doc_id", F.col("to").alias("v")), "name-roots")
+    edges = stage_rows(kid_edges(nodes), "name-edges")
+    holders = _with_copies(stage_rows(_real(walk(edges, roots, root_is_seen=False), roots), "name-nodes"), edges)
     arrays = led_to(nodes, entry_of(nodes, holders.select("doc_id", "v").distinct(), "Names"), ("array",)).select("doc_id", "v", F.col("to").alias("array"))
     own = nodes.where("key is null and node_id > 0").select("doc_id", vertex("num", "gen", "parent_id").alias("array"), "pos", vertex("num", "gen", "node_id").alias("at"), *VALUES)
     items = own.join(arrays, ["doc_id", "array"])
@@ -287,13 +287,13 @@ def name_tree(nodes: DataFrame, trailer_nodes: DataFrame, key: str = "EmbeddedFi
 
 def attachments(nodes: DataFrame, trailer_nodes: DataFrame, streams: DataFrame) -> DataFrame:
     """Attached files in tree order: names and the decoded streams that their specifications lead to."""
-    specs = stage(name_tree(nodes, trailer_nodes).withColumnRenamed("spec", "v"), "attachment-specs")
+    specs = stage_rows(name_tree(nodes, trailer_nodes).withColumnRenamed("spec", "v"), "attachment-specs")
     holders = specs.select("doc_id", "v").distinct()
     files = led_to(nodes, entry_of(nodes, holders, "EF")).select("doc_id", F.col("v").alias("outer"), F.col("to").alias("v"))
     held = entry_of(nodes, files.select("doc_id", "v").distinct(), "F").where("kind = 'ref'").select("doc_id", "v", F.col("ref_num").alias("num"), F.col("ref_gen").alias("gen"))
     data = files.join(held, ["doc_id", "v"]).join(streams.select("doc_id", "num", "gen", "decoded", "error"), ["doc_id", "num", "gen"]).select("doc_id", F.col("outer").alias("v"), F.col("decoded").alias("file_bytes"), "error")
     own = F.col("v.node") == 0
-    return specs.join(data, ["doc_id", "v"], "left").select("doc_id", "ord", "name_bytes", F.when(own, F.col("v.num")).alias("spec_num"), F.when(own, F.col("v.gen")).alias("spec_gen"), "file_bytes", "error")
+    return specs.join(sorted_join(data), ["doc_id", "v"], "left").select("doc_id", "ord", "name_bytes", F.when(own, F.col("v.num")).alias("spec_num"), F.when(own, F.col("v.gen")).alias("spec_gen"), "file_bytes", "error")
 
 
 def structure_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
@@ -302,21 +302,21 @@ def structure_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     A kids array that is an object is entered by the first /K that names it; that it
     may also stand, without effect, among the kids of an element does not count.
     """
-    roots = stage(led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "StructTreeRoot")).select("doc_id", F.col("to").alias("v")), "structure-roots")
+    roots = stage_rows(led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "StructTreeRoot")).select("doc_id", F.col("to").alias("v")), "structure-roots")
     seen = _real(walk(structure_edges(nodes), roots, root_is_seen=False), roots)
     # kids arrays are vertices, but no elements
     arrays = nodes.where("node_id = 0 and kind = 'array'").select("doc_id", vertex("num", "gen", F.lit(0)).alias("v"))
-    seen = stage(seen.join(arrays, ["doc_id", "v"], "left_anti"), "structure-elements")
+    seen = stage_rows(seen.join(arrays, ["doc_id", "v"], "left_anti"), "structure-elements")
     names = nodes.where("node_id = 0 and kind = 'name'").select("doc_id", F.col("num").alias("ref_num"), F.col("gen").alias("ref_gen"), F.col("name_val").alias("far"))
 
     def role_by(key: str) -> DataFrame:
         own = nodes.where((F.col("key") == key) & F.col("kind").isin("name", "ref")).select("doc_id", vertex("num", "gen", "parent_id").alias("v"), "name_val", "ref_num", "ref_gen")
-        return own.join(names, ["doc_id", "ref_num", "ref_gen"], "left").select("doc_id", "v", F.coalesce("name_val", "far").alias(key)).where(F.col(key) != "")
+        return sorted_join(own.join(names, ["doc_id", "ref_num", "ref_gen"], "left").select("doc_id", "v", F.coalesce("name_val", "far").alias(key)).where(F.col(key) != ""))
 
     named = seen.join(role_by("S"), ["doc_id", "v"], "left").join(role_by("Type"), ["doc_id", "v"], "left").withColumn("role", F.coalesce("S", "Type", F.lit("")))
     maps = led_to(nodes, entry_of(nodes, roots, "RoleMap")).select("doc_id", F.col("to").alias("v"))
     own = nodes.where("kind = 'name' and key is not null").select("doc_id", vertex("num", "gen", "parent_id").alias("v"), F.col("key").alias("role"), F.col("name_val").alias("mapped_role"))
-    mapped = own.join(maps, ["doc_id", "v"]).select("doc_id", "role", "mapped_role")
+    mapped = sorted_join(own.join(maps, ["doc_id", "v"]).select("doc_id", "role", "mapped_role"))
     return _ranked(named.join(mapped, ["doc_id", "role"], "left"), "ord", "path").select("doc_id", "ord", "depth", "role", "mapped_role")
 
 
@@ -339,23 +339,23 @@ def reachable(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     """
     merged = merged_trailer(trailer_nodes).select("doc_id", "trailer_ord", F.col("node_id").alias("top"))
     under = _under(trailer_nodes).join(merged, ["doc_id", "trailer_ord", "top"], "left_semi")
-    edges = stage(reference_edges(nodes), "reference-edges")
+    edges = stage_rows(reference_edges(nodes), "reference-edges")
     tops = nodes.where("node_id = 0").select("doc_id", F.struct("num", "gen").alias("v"))
     start = under.select("doc_id", F.struct(F.col("ref_num").alias("num"), F.col("ref_gen").alias("gen")).alias("v")).distinct()
-    delta = seen = stage(start.join(tops, ["doc_id", "v"], "left_semi"), "reached")
+    delta = seen = stage_rows(start.join(tops, ["doc_id", "v"], "left_semi"), "reached")
     for _ in range(REACH_ROUNDS):
         found = delta.select("doc_id", F.col("v").alias("p")).join(edges, ["doc_id", "p"]).select("doc_id", "v").distinct()
-        delta = stage(found.join(seen, ["doc_id", "v"], "left_anti").join(tops, ["doc_id", "v"], "left_semi"), "reached")
+        delta = stage_rows(found.join(seen, ["doc_id", "v"], "left_anti").join(tops, ["doc_id", "v"], "left_semi"), "reached")
         if delta.isEmpty():
             break
-        seen = seen.unionByName(delta)
+        seen = sorted_join(seen.unionByName(delta))
     else:
         open_docs = delta.select("doc_id").distinct()
         mine = seen.join(open_docs, "doc_id", "left_semi").select("doc_id", F.lit(None).cast("struct<num:bigint,gen:bigint>").alias("p"), "v")
         rest = edges.join(open_docs, "doc_id", "left_semi").join(tops, ["doc_id", "v"], "left_semi").select("doc_id", "p", "v").unionByName(mine)
         done = rest.groupBy("doc_id").applyInPandas(_reach_document, "doc_id string, v struct<num:bigint,gen:bigint>")
         seen = seen.join(open_docs, "doc_id", "left_anti").unionByName(done)
-    return seen.select("doc_id", "v.*")
+    return sorted_join(seen.select("doc_id", "v.*"))
 
 
 def _under(trailer_nodes: DataFrame) -> DataFrame:

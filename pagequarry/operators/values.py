@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.workspace import stage
+from pagequarry.workspace import stage_rows
 
 #: Kinds of values, how the tagged form names them, and their type here.
 KINDS = {"bool": ("bool", "boolean"), "int": ("int", "bigint"), "real": ("real", "double"), "name": ("name", "string"), "text": ("text", "string"), "array": ("array", "variant"), "dict": ("dict", "variant")}
@@ -69,14 +69,14 @@ def settled_digests(nodes: DataFrame, streams: DataFrame | None = None, rounds:
         own = own.join(streams.select("doc_id", "num", "gen", F.sha2("raw", 256).alias("raw_sha")), ["doc_id", "num", "gen"], "left")
         body = F.coalesce("raw_sha", F.lit(""))
     key = ["doc_id", "num", "gen"]
-    digests = stage(own.select(*key, F.unhex(F.sha2(F.concat_ws("\x1d", "text", body), 256)).alias("base")).withColumn("digest", F.col("base")), "digests")
-    refs = stage(nodes.where("kind = 'ref'").select(*key, "node_id", "ref_num", "ref_gen"), "digest-references")
+    digests = stage_rows(own.select(*key, F.unhex(F.sha2(F.concat_ws("\x1d", "text", body), 256)).alias("base")).withColumn("digest", F.col("base")), "digests")
+    refs = stage_rows(nodes.where("kind = 'ref'").select(*key, "node_id", "ref_num", "ref_gen"), "digest-references")
     kinds = digests.select("digest").distinct().count()
     for _ in range(rounds):
         far = digests.select("doc_id", F.col("num").alias("ref_num"), F.col("gen").alias("ref_gen"), F.col("digest").alias("far"))
         led = refs.join(far, ["doc_id", "ref_num", "ref_gen"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("node_id", F.coalesce(F.hex("far"), F.lit("null")).alias("far")))).alias("led"))
         mixed = F.concat_ws("\x1d", F.hex("base"), F.array_join(F.transform("led", lambda x: x["far"]), "\x1e"))
-        digests = stage(digests.join(led, key, "left").select(*key, "base", F.when(F.col("led").isNotNull(), F.unhex(F.sha2(mixed, 256))).otherwise(F.col("base")).alias("digest")), "digests")
+        digests = stage_rows(digests.join(led, key, "left").select(*key, "base", F.when(F.col("led").isNotNull(), F.unhex(F.sha2(mixed, 256))).otherwise(F.col("base")).alias("digest")), "digests")
         now = digests.select("digest").distinct().count()
         if now == kinds:
             break

@@ -21,7 +21,7 @@ from pagequarry.sources.datasource import register
 from pagequarry.sources.scan import ScanOptions, scan
 from pagequarry.streaming.ingest import ingest, stream_rows
 from pagequarry.testing import pdfwriter as P
-from pagequarry.workspace import shared_folder, ship, stage, temporary_path
+from pagequarry.workspace import shared_folder, ship, stage_rows, temporary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -330,7 +330,7 @@ def q23_updates(spark, sf_dir):
             w.classic({**(_BASE if k == 0 else {}), 5: b"%d" % x}, size=6)
         return w.out
 
-    files = stage(files_of(_events_by_user(spark, sf_dir), "user_id", write), "files")
+    files = stage_rows(files_of(_events_by_user(spark, sf_dir), "user_id", write), "files")
     entries = scan(files, "xref_entries").where("num = 5")
     versions = entries.groupBy("doc_id").agg(F.count("*").alias("versions"))
     newest = views.live_entries(entries).select("doc_id", "num", "gen")
@@ -358,7 +358,7 @@ def q25_recovery(spark, sf_dir):
         body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, b) for n, b in [*_BASE.items(), *((5, b"%d" % x) for x in r["ids"])])
         return b"%PDF-1.4\n" + body + b"trailer\n<</Root 1 0 R>>\nstartxref\n9999999\n%%EOF"
 
-    files = stage(files_of(_events_by_user(spark, sf_dir), "user_id", write), "files")
+    files = stage_rows(files_of(_events_by_user(spark, sf_dir), "user_id", write), "files")
     state = scan(files, "documents", columns=["recovered"])
     return scan(files, "nodes").where("num = 5 and node_id = 0").join(state, "doc_id").select(_doc(), F.col("int_val").alias("value"), "recovered")
 
@@ -513,7 +513,7 @@ def q38_aes256(spark, sf_dir):
 def q39_streaming(spark, sf_dir):
     """Files that arrive as a stream give the same rows."""
     files = _text_files(spark, sf_dir, lambda t: P.stream(zlib.compress(t), b"/Filter /FlateDecode"))
-    landed = stage(files, "landing")
+    landed = stage_rows(files, "landing")
     source = landed.inputFiles()[0].rsplit("/", 1)[0]
     target = f"{shared_folder(spark)}/streamed-{spark.sparkContext.applicationId}-{abs(hash(source))}"
     ingest_rows = stream_rows(spark, source)
@@ -525,7 +525,7 @@ def q39_streaming(spark, sf_dir):
 def q40_dangling(spark, sf_dir):
     """References to objects that are not there."""
     write = lambda r: P.Writer().classic({**_BASE, 5: b"<</Next %d 0 R>>" % (99 if r["c_custkey"] % 7 == 0 else 2)}).out
-    nodes = stage(scan(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "nodes"), "nodes")
+    nodes = stage_rows(scan(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "nodes"), "nodes")
     return views.references(nodes).where("key = 'Next'").select(_doc(), "dangling")
 
 
@@ -537,8 +537,8 @@ def q41_unreferenced(spark, sf_dir):
         more = {6: b"(lost)"} if r["c_custkey"] % 5 == 0 else {}
         return P.Writer().classic({**_BASE, **more}).out
 
-    files = stage(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "files")
-    return views.unreferenced(stage(scan(files, "nodes"), "nodes"), scan(files, "trailers")).select(_doc(), "num")
+    files = stage_rows(files_of(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", write), "files")
+    return views.unreferenced(stage_rows(scan(files, "nodes"), "nodes"), scan(files, "trailers")).select(_doc(), "num")
 
 
 @query("SELECT p_partkey AS doc_id, CASE p_size % 3 WHEN 0 THEN 'classical' ELSE 'stream' END AS xref_format FROM part")
@@ -578,7 +578,7 @@ def q44_typed_values(spark, sf_dir):
     def write(r):
         return P.Writer().classic({**_BASE, 5: b"<</Amount %s /Label 6 0 R>>" % repr(r["c_acctbal"]).encode(), 6: P.literal(r["c_name"].encode())}).out
 
-    nodes = stage(scan(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name"), "c_custkey", write), "nodes"), "nodes")
+    nodes = stage_rows(scan(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name"), "c_custkey", write), "nodes"), "nodes")
     values = views.dict_values(nodes).where("num = 5")
     number = F.coalesce(F.col("real_val"), F.col("int_val").cast("double"))
     pick = lambda key, v: F.max(F.when(F.col("key") == key, v))
@@ -686,8 +686,8 @@ def q51_dump_files(spark, sf_dir):
 
 def _graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and ``trailer_nodes`` of files, stored, so that joins read them and parse nothing."""
-    files = stage(files, "files")
-    return stage(scan(files, "nodes"), "nodes"), stage(scan(files, "trailer_nodes"), "trailer-nodes")
+    files = stage_rows(files, "files")
+    return stage_rows(scan(files, "nodes"), "nodes"), stage_rows(scan(files, "trailer_nodes"), "trailer-nodes")
 
 
 @query(_LINES + "SELECT l_orderkey AS doc_id, page_index, CAST(l_linenumber AS BIGINT) AS line FROM l")
@@ -821,9 +821,9 @@ def q58_packed_objects(spark, sf_dir):
         inside = {10 + k: b"<</Title %s /Amount %s>>" % (P.literal(x["c_name"].encode()), repr(x["c_acctbal"]).encode()) for k, x in enumerate(r["own"])}
         return P.Writer("1.5").packed(_BASE, inside).out
 
-    files = stage(files_of(rows, "c_nationkey", write), "files")
-    plain = stage(scan(files, "nodes", ScanOptions(packed=False)), "nodes")
-    found = stage(packed.packed_objects(scan(files, "xref_entries"), plain, scan(files, "streams", ScanOptions(packed=False))), "packed")
+    files = stage_rows(files_of(rows, "c_nationkey", write), "files")
+    plain = stage_rows(scan(files, "nodes", ScanOptions(packed=False)), "nodes")
+    found = stage_rows(packed.packed_objects(scan(files, "xref_entries"), plain, scan(files, "streams", ScanOptions(packed=False))), "packed")
     values = packed.parse_bodies(found.withColumn("gen", F.lit(0))).where("depth = 1")
     pick = lambda key, column: F.max(F.when(F.col("key") == key, column))
     number = F.coalesce(F.col("real_val"), F.col("int_val").cast("double"))
@@ -841,7 +841,7 @@ def q59_native_codecs(spark, sf_dir):
         return P.one_stream(P.stream(coded, b"/Filter [%s]" % [b"/AHx", b"/RL", b"/AHx /RL", b"/AHx /Fl"][kind]))
 
     files = files_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", body)
-    streams = stage(scan(files, "streams", columns=["num", "raw", "filters", "params"]).where("num = 3"), "streams")
+    streams = stage_rows(scan(files, "streams", columns=["num", "raw", "filters", "params"]).where("num = 3"), "streams")
     done = codecs.decode_streams(streams)
     return done.select(_doc(), F.array_join("filters", ",").alias("chain"), F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("decoded", 256).alias("sha"))
 
@@ -850,8 +850,8 @@ def q59_native_codecs(spark, sf_dir):
 def q60_decryption(spark, sf_dir):
     """Streams decrypted by expressions from raw bytes and file keys, RC4 alone in workers."""
     write = lambda r: P.encrypted(r["p_name"].encode(), ["AESV2", "AESV3", "V2"][r["p_size"] % 3], b"%d" % r["p_partkey"])
-    files = stage(files_of(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", write), "files")
-    keys = stage(scan(files, "security"), "keys")
+    files = stage_rows(files_of(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", write), "files")
+    keys = stage_rows(scan(files, "security"), "keys")
     plain = codecs.decrypt_streams(scan(files, "streams", columns=["num", "gen", "raw"]).where("num = 3"), keys)
     return plain.join(keys.select("doc_id", "cipher"), "doc_id").select(_doc(), "cipher", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha"))
 
@@ -882,7 +882,7 @@ def q62_strict_values(spark, sf_dir):
         return P.Writer().classic({**_BASE, 5: b"<</Nation 6 0 R /Deep 8 0 R%s>>" % label, **more}).out
 
     files = files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), "c_custkey", write)
-    held = stage(values.as_variant(scan(files, "objects", columns=["num", "gen", "tagged_json", "error"])), "variants")
+    held = stage_rows(values.as_variant(scan(files, "objects", columns=["num", "gen", "tagged_json", "error"])), "variants")
     strict = lambda key, kind: values.resolved(held, key).where("num = 5").select("doc_id", values.strict(F.col("found"), kind).alias(key))
     inner = values.resolved(held, "Deep").where("num = 5").select("doc_id", F.try_variant_get(values.lenient(F.col("found"), "dict"), "$.Inner.int", "bigint").alias("inner_value"))
     rows = strict("Nation", "int").join(strict("Label", "text"), "doc_id").join(inner, "doc_id")
@@ -899,8 +899,8 @@ def q63_content_digests(spark, sf_dir):
         bodies = {1: b"<</Type /Catalog /Pages %s /Info %s /Own %d>>" % (at(2), at(3), r["p_partkey"]), 2: b"<</Kids [%s] /Up %s>>" % (at(3), at(1)), 3: b"<</Title %s /Back %s>>" % (at(4), at(5)), 4: P.literal(name), 5: b"[%s]" % at(4)}
         return P.Writer().classic({k + shift: v for k, v in bodies.items()}, b"/Root " + at(1)).out
 
-    old = stage(scan(files_of(parts, "p_partkey", lambda r: version(r, 0, r["p_name"].encode())), "nodes"), "old")
-    new = stage(scan(files_of(parts, "p_partkey", lambda r: version(r, 7 + r["p_partkey"] % 3, r["p_name"].encode() + b"!" * (r["p_size"] % 5 == 0))), "nodes"), "new")
+    old = stage_rows(scan(files_of(parts, "p_partkey", lambda r: version(r, 0, r["p_name"].encode())), "nodes"), "old")
+    new = stage_rows(scan(files_of(parts, "p_partkey", lambda r: version(r, 7 + r["p_partkey"] % 3, r["p_name"].encode() + b"!" * (r["p_size"] % 5 == 0))), "nodes"), "new")
     before = values.settled_digests(old)
     changed = values.diff_by_content(old, new).where("change = 'added'").groupBy("doc_id").agg(F.count("*").alias("changed"))
     classes = values.copies(before)

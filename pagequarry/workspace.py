@@ -74,6 +74,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that are sorted, never broadcast.
+
+    Rows of scanned tables take a few bytes each in Parquet and many times that in
+    memory, so a table whose files are below the bound for broadcasts may not fit the
+    driver.  The hint holds for whatever is selected, filtered or grouped from ``df``.
+    """
+    return df.hint("merge")
+
+
+def stage_rows(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stage` for a table that grows with the corpus: joins sort it, whatever the size of its files."""
+    return sorted_join(stage(df, name))
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stage`."""
     spark = df.sparkSession
