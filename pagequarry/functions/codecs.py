@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,11 +18,16 @@ HEX, RUN_LENGTH = ("ASCIIHexDecode", "AHx"), ("RunLengthDecode", "RL")
 _PARAMS = "struct<predictor:int,columns:int,colors:int,bpc:int,no_early_change:boolean>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (a bound variable is not written out again)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ascii_hex(raw: Column) -> Column:
     """Hexadecimal digits up to ``>``, white space between them ignored; null on anything else."""
+    even = lambda digits: F.concat(digits, F.when(F.length(digits) % 2 == 1, F.lit("0")).otherwise(F.lit("")))
     digits = F.translate(F.substring_index(F.decode(raw, "ISO-8859-1"), ">", 1), " \t\r\n\f", "")
-    even = F.concat(digits, F.when(F.length(digits) % 2 == 1, F.lit("0")).otherwise(F.lit("")))
-    return F.when(~digits.rlike("[^0-9A-Fa-f]"), F.unhex(even))
+    return let(digits, lambda found: F.when(~found.rlike("[^0-9A-Fa-f]"), F.unhex(even(found))))
 
 
 def _run_pattern() -> str:
@@ -33,12 +38,12 @@ def _run_pattern() -> str:
 
 def run_length(raw: Column) -> Column:
     """Runs of single bytes and of literal ones up to the end mark; null if a run is cut off."""
-    text = F.decode(raw, "ISO-8859-1")
-    runs = F.regexp_extract_all(text, F.lit(_run_pattern()), F.lit(0))
     size = F.ascii  # of the first character, which is the length byte
-    one = lambda r: F.when(size(r) < 128, F.substr(r, F.lit(2))).when(size(r) > 128, F.repeat(F.substr(r, F.lit(2)), F.lit(257) - size(r))).otherwise(F.lit(""))
-    whole = F.aggregate(runs, F.lit(0), lambda n, r: n + F.length(r)) == F.length(text)
-    return F.when(whole, F.encode(F.array_join(F.transform(runs, one), ""), "ISO-8859-1"))
+    one = lambda r: let(size(r), lambda n: F.when(n < 128, F.substr(r, F.lit(2))).when(n > 128, F.repeat(F.substr(r, F.lit(2)), F.lit(257) - n)).otherwise(F.lit("")))
+    whole = lambda text, runs: F.aggregate(runs, F.lit(0), lambda n, r: n + F.length(r)) == F.length(text)
+    joined = lambda text, runs: F.when(whole(text, runs), F.encode(F.array_join(F.transform(runs, one), ""), "ISO-8859-1"))
+    found = lambda text: let(F.regexp_extract_all(text, F.lit(_run_pattern()), F.lit(0)), lambda runs: joined(text, runs))
+    return let(F.decode(raw, "ISO-8859-1"), found)
 
 
 def native_chain(raw: Column, filters: Column, most: int = DEFAULT_MAX_STREAM) -> Column:
@@ -47,11 +52,14 @@ def native_chain(raw: Column, filters: Column, most: int = DEFAULT_MAX_STREAM) -
 
     def step(acc: Column, name: Column) -> Column:
         native = name.isin(*HEX, *RUN_LENGTH) & acc["error"].isNull()
+
+        def after(data: Column) -> Column:
+            over = name.isin(*RUN_LENGTH) & F.lit(most > 0) & (F.octet_length(data) > most)
+            error = F.when(data.isNull(), F.concat(name, F.lit(": bad data"))).when(over, F.lit(f"decoded output exceeds limit of {most} bytes"))
+            return F.struct(F.when(error.isNull(), data).alias("data"), (acc["done"] + 1).alias("done"), error.alias("error"))
+
         data = F.when(name.isin(*HEX), ascii_hex(acc["data"])).otherwise(run_length(acc["data"]))
-        over = name.isin(*RUN_LENGTH) & F.lit(most > 0) & (F.octet_length(data) > most)
-        error = F.when(data.isNull(), F.concat(name, F.lit(": bad data"))).when(over, F.lit(f"decoded output exceeds limit of {most} bytes"))
-        after = F.struct(F.when(error.isNull(), data).alias("data"), (acc["done"] + 1).alias("done"), error.alias("error"))
-        return F.when(native, after).otherwise(acc)
+        return F.when(native, let(data, after)).otherwise(acc)
 
     # filters after the first one that is no expression are left to it
     ahead = F.coalesce(F.array_min(F.transform(filters, lambda f, k: F.when(~f.isin(*HEX, *RUN_LENGTH), k))), F.size(filters))
@@ -64,6 +72,8 @@ def decode_streams(streams: DataFrame, most: int = DEFAULT_MAX_STREAM) -> DataFr
     Streams whose filters are all expressions never reach a Python worker.
     """
     own = streams.drop("decoded", "error").withColumn("chain", native_chain(F.col("raw"), F.coalesce("filters", F.array().cast("array<string>")), most))
+    # stored: what comes after names the chain many times, and each would decode again
+    own = stage_rows(own, "chains")
     left = F.slice("filters", F.col("chain.done") + 1, F.size("filters") - F.col("chain.done"))
     own = own.withColumn("rest", F.when(F.col("chain.error").isNull(), left).otherwise(F.array().cast("array<string>")))
     names = [c for c in streams.columns if c not in ("decoded", "error")]
