@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from pagequarry.functions import codecs
 from pagequarry.operators import views
 from pagequarry.sources.scan import SCHEMAS, node_rows
 from pagequarry.sources.syntax import PdfError, Tokens, parse_value
-from pagequarry.workspace import ship
-
-
-def _member(at: Column, number: Column, body: Column, error: Column) -> Column:
-    return F.struct(at.alias("stm_idx"), number.alias("num"), body.alias("body"), error.alias("error"))
+from pagequarry.workspace import ship, sorted_join, stage_rows
 
 
 def containers(nodes: DataFrame, streams: DataFrame) -> DataFrame:
@@ -46,21 +43,30 @@ def packed_objects(entries: DataFrame, nodes: DataFrame, streams: DataFrame) ->
     head = F.decode(F.substr("decoded", F.lit(1), F.col("first").cast("int")), "ISO-8859-1")
     numbers = F.transform(F.regexp_extract_all(head, F.lit(r"(?<![^\x00\t\n\f\r ])[+-]?\d+(?![^\x00\t\n\f\r ])"), F.lit(0)), lambda t: t.try_cast("bigint"))
     cut = containers(nodes, streams)
-    cut = cut.withColumn("numbers", F.when(F.col("why").isNull(), numbers)).withColumn("starts", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("numbers", (2 * k + 1).cast("int"))))
+    starts = lambda ns: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get(ns, (2 * k + 1).cast("int")))
+    pairs = codecs.let(F.when(F.col("why").isNull(), numbers), lambda ns: F.struct(ns.alias("numbers"), starts(ns).alias("starts")))
+    cut = cut.withColumn("pairs", pairs).select("*", "pairs.*").drop("pairs")
     short = F.size("numbers") < 2 * F.col("n")
     cut = cut.withColumn("why", F.coalesce("why", F.when(short, "bad object stream header"))).where("n > 0")
     cut = cut.withColumn("edges", F.array_sort(F.array_distinct(F.concat("starts", F.array(F.octet_length("decoded").cast("bigint") - F.col("first"))))))
 
-    def member(at: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("edges", F.array_position("edges", at).cast("int")), at)
-        inside = (at >= 0) & (at + F.col("first") < F.octet_length("decoded"))
-        body = F.when(inside, F.substr("decoded", (F.col("first") + at + 1).cast("int"), F.greatest(end - at, F.lit(0)).cast("int")))
-        return _member(k, F.get("numbers", (2 * k).cast("int")), body, F.when(~inside, "object offset out of range"))
-
-    good = cut.where("why is null").select("doc_id", "stm_num", F.explode(F.transform("starts", member)).alias("m")).select("doc_id", "stm_num", "m.*")
+    # stored: an array that is only defined would be made again for each of its elements
+    cut = stage_rows(cut, "cut-containers")
+    held = cut.where("why is null")
+    size = F.octet_length("decoded")
+    inside = (F.col("at") >= 0) & (F.col("at") + F.col("first") < F.col("size"))
+    members = held.select("doc_id", "stm_num", "first", size.alias("size"), "numbers", F.posexplode("starts").alias("k", "at"))
+    members = members.select("doc_id", "stm_num", F.col("k").cast("bigint").alias("stm_idx"), F.get("numbers", 2 * F.col("k")).alias("held"), "at", inside.alias("inside"))
+    # each start once, with the bytes up to the next one; a member finds its own by a join, not by a search in the array
+    piece = F.substr("decoded", (F.col("first") + F.col("at") + 1).cast("int"), (F.get("edges", F.col("i") + 1) - F.col("at")).cast("int"))
+    edge = held.select("doc_id", "stm_num", "first", "decoded", "edges", F.posexplode("edges").alias("i", "at"))
+    edge = edge.where((F.col("at") >= 0) & (F.col("at") + F.col("first") < size))
+    bodies = edge.select("doc_id", "stm_num", "at", F.coalesce(piece, F.lit(b"")).alias("piece"))
+    mine = members.join(bodies, ["doc_id", "stm_num", "at"], "left").select(
+        "doc_id", "stm_num", "stm_idx", "held", F.when(F.col("inside"), F.col("piece")).alias("body"), F.when(~F.col("inside"), "object offset out of range").alias("error")
+    )
     bad = cut.where("why is not null").select("doc_id", "stm_num", "why")
-    mine = good.select("doc_id", "stm_num", F.col("stm_idx").cast("bigint").alias("stm_idx"), F.col("num").alias("held"), "body", "error")
-    joined = live.join(mine, ["doc_id", "stm_num", "stm_idx"], "left").join(bad, ["doc_id", "stm_num"], "left")
+    joined = live.join(sorted_join(mine), ["doc_id", "stm_num", "stm_idx"], "left").join(bad, ["doc_id", "stm_num"], "left")
     fits = F.coalesce(F.col("held") == F.col("num"), F.lit(False))
     missing = F.when(~fits, F.concat_ws(" ", F.lit("object stream"), "stm_num", F.lit("does not hold"), "num", F.lit("at"), "stm_idx"))
     return joined.select("doc_id", "num", "stm_num", "stm_idx", F.when(fits, F.col("body")).alias("body"), F.coalesce("why", missing, "error").alias("error"))
