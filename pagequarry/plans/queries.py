@@ -10,7 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +53,13 @@ def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes]) -> DataF
     # by the key: rows that go round by turns are sorted first, whatever they hold
     rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            records = frame.to_dict("records")
-            for k in range(0, len(records), 200):
-                part = records[k : k + 200]
-                yield pd.DataFrame({"doc_id": [str(r[key]) for r in part], "content": [write(r) for r in part]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                records = batch.slice(k, 200).to_pylist()
+                yield pa.RecordBatch.from_pydict({"doc_id": [str(r[key]) for r in records], "content": pa.array([write(r) for r in records], pa.binary())})
 
-    return rows.mapInPandas(run, "doc_id string, content binary")
+    return rows.mapInArrow(run, "doc_id string, content binary")
 
 
 def _doc(name: str = "doc_id"):

@@ -103,9 +103,13 @@ SCHEMAS = {
 PUSHED = {"objects": ("num", "gen", "kind"), "nodes": ("num", "gen"), "streams": ("num", "gen"), "page_spine": ("page_index",), "content_ops": ("page_index",)}
 
 
+#: Kinds by exact type; ``kind_of`` asks for subclasses only of what is not here.
+_KINDS = {type(None): "null", bool: "bool", int: "int", float: "real", Name: "name", bytes: "string", Ref: "ref", list: "array", dict: "dict", Stream: "stream"}
+
+
 def kind_of(value) -> str:
-    if value is None:
-        return "null"
+    if found := _KINDS.get(type(value)):
+        return found
     for kind, name in ((bool, "bool"), (int, "int"), (float, "real"), (Name, "name"), (bytes, "string"), (Ref, "ref"), (list, "array"), (dict, "dict")):
         if isinstance(value, kind):
             return name
@@ -113,7 +117,7 @@ def kind_of(value) -> str:
 
 
 def _shown(text: str) -> str:
-    return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return str(text) if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
 def _documents(doc: Document, o: ScanOptions) -> Iterator[tuple]:
@@ -437,11 +441,19 @@ def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator
 
 def _weight(value) -> int:
     """Bytes of all strings in a value, however deep."""
-    if isinstance(value, (bytes, str)):
+    kind = type(value)
+    if kind in _PLAIN:
+        return 0
+    if kind is bytes or kind is str:
         return len(value)
-    if isinstance(value, dict):
+    if kind is dict:
         return sum(map(_weight, value.values()))
-    return sum(map(_weight, value)) if isinstance(value, (list, tuple)) else 0
+    if kind is list or kind is tuple:
+        return sum(map(_weight, value))
+    return len(value) if isinstance(value, (bytes, str)) else 0
+
+
+_PLAIN = {type(None), int, float, bool}
 
 
 def schema_of(table: str, columns: tuple[str, ...] | None = None) -> StructType:
@@ -485,8 +497,11 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
         except OSError as e:
             rows = iter([error_row(table, f"{type(e).__name__}: {e}"[:500])] if table == "documents" or options.open_errors else [])
         for row in rows:
-            held.append((doc_id, *(row if pick is None else (row[k] for k in pick))))
-            weight += _weight(held[-1])
+            row = (doc_id, *row) if pick is None else (doc_id, *[row[k] for k in pick])
+            held.append(row)
+            for value in row:
+                if type(value) not in _PLAIN:
+                    weight += len(value) if type(value) in (bytes, str) else _weight(value)
             if len(held) >= most or weight >= BATCH_BYTES:
                 yield batch()
                 held, weight, most = [], 0, min(BATCH_ROWS, 2 * most)
