@@ -44,6 +44,10 @@ def query(sql: str | None):
     return add
 
 
+#: Bytes of rows that are taken as Python values at once.
+FILES_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,8 +59,10 @@ def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                records = batch.slice(k, 200).to_pylist()
+            # as many rows at once as make 1 MB of the batch, so that rows and files of large documents are few
+            step = max(1, min(200, batch.num_rows * FILES_BYTES // max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                records = batch.slice(k, step).to_pylist()
                 yield pa.RecordBatch.from_pydict({"doc_id": [str(r[key]) for r in records], "content": pa.array([write(r) for r in records], pa.binary())})
 
     return rows.mapInArrow(run, "doc_id string, content binary")

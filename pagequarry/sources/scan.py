@@ -29,7 +29,7 @@ from pagequarry.workspace import ship
 _MAX = (1 << 63) - 1
 _MAX_SMALL = (1 << 31) - 1
 #: Rows are handed on after this many, or this many bytes of binary values.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Rows after which the first batch is handed on; each later one may have twice as many, so a limit ends early.
 FIRST_ROWS = 16
 #: Bytes of a page's content, which is one value.
