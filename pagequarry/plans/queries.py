@@ -52,8 +52,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes]) -> DataFrame:
-    """One file per row, as (doc_id, content)."""
+def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes] | None = None, write_all: Callable[[list[dict]], list[bytes]] | None = None) -> DataFrame:
+    """One file per row, as (doc_id, content); ``write_all`` makes those of several rows together."""
+    write_all = write_all or (lambda records: [write(r) for r in records])
     # by the key: rows that go round by turns are sorted first, whatever they hold
     rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
@@ -63,7 +64,7 @@ def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes]) -> DataF
             step = max(1, min(200, batch.num_rows * FILES_BYTES // max(1, batch.nbytes)))
             for k in range(0, batch.num_rows, step):
                 records = batch.slice(k, step).to_pylist()
-                yield pa.RecordBatch.from_pydict({"doc_id": [str(r[key]) for r in records], "content": pa.array([write(r) for r in records], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": [str(r[key]) for r in records], "content": pa.array(write_all(records), pa.binary())})
 
     return rows.mapInArrow(run, "doc_id string, content binary")
 
@@ -486,7 +487,7 @@ _SECRET_SQL = "SELECT p_partkey AS doc_id, octet_length(encode(p_name)) AS n_byt
 
 def _secret(spark, sf_dir, method: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    files = files_of(rows, "p_partkey", lambda r: P.encrypted(r["p_name"].encode(), method, b"%d" % r["p_partkey"]))
+    files = files_of(rows, "p_partkey", write_all=lambda records: P.encrypted_files([(r["p_name"].encode(), method, b"%d" % r["p_partkey"]) for r in records]))
     return _digests(scan(files, "streams"))
 
 
@@ -854,8 +855,8 @@ def q59_native_codecs(spark, sf_dir):
 @query("SELECT p_partkey AS doc_id, CASE p_size % 3 WHEN 0 THEN 'aes128' WHEN 1 THEN 'aes256' ELSE 'rc4' END AS cipher, octet_length(encode(p_name)) AS n_bytes, sha256(p_name) AS sha FROM part")
 def q60_decryption(spark, sf_dir):
     """Streams decrypted by expressions from raw bytes and file keys, RC4 alone in workers."""
-    write = lambda r: P.encrypted(r["p_name"].encode(), ["AESV2", "AESV3", "V2"][r["p_size"] % 3], b"%d" % r["p_partkey"])
-    files = stage_rows(files_of(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", write), "files")
+    write = lambda records: P.encrypted_files([(r["p_name"].encode(), ["AESV2", "AESV3", "V2"][r["p_size"] % 3], b"%d" % r["p_partkey"]) for r in records])
+    files = stage_rows(files_of(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", write_all=write), "files")
     keys = stage_rows(scan(files, "security"), "keys")
     plain = codecs.decrypt_streams(scan(files, "streams", columns=["num", "gen", "raw"]).where("num = 3"), keys)
     return plain.join(keys.select("doc_id", "cipher"), "doc_id").select(_doc(), "cipher", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -23,6 +24,7 @@ from pyspark.sql.types import StructType
 from pagequarry.operators.dump import DumpOptions, Literal, dump, tagged, to_json
 from pagequarry.sources.content import Operand, operations
 from pagequarry.sources.document import DEFAULT_MAX_STREAM, Document, Stream
+from pagequarry.sources.security import refused
 from pagequarry.sources.syntax import Name, PdfError, Ref
 from pagequarry.workspace import ship
 
@@ -418,20 +420,22 @@ def error_row(table: str, error: str) -> tuple:
     return (*[None] * (len(column_names(table)) - 1), error)
 
 
-def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator[tuple]:
-    """The rows of one file; never raises on malformed input.
-
-    A file that cannot be opened gives a row of ``documents`` alone, unless asked otherwise.  Whatever else
-    goes wrong ends the file's rows with one that holds the error in its last column.
-    """
+def open_file(content: bytes | None, options: ScanOptions, later: bool = False) -> Document | Exception:
+    """A file's document, or why there is none."""
     try:
-        doc = Document(content or b"", options.max_stream, options.password)
-    except PdfError as e:
+        return Document(content or b"", options.max_stream, options.password, later)
+    except Exception as e:  # noqa: BLE001
+        return e
+
+
+def rows_in(table: str, doc: Document | Exception, options: ScanOptions) -> Iterator[tuple]:
+    """The rows of an opened file, see :func:`rows_of`."""
+    if isinstance(doc, PdfError):
         if table == "documents" or options.open_errors:
-            yield error_row(table, str(e))
+            yield error_row(table, str(doc))
         return
-    except Exception as e:  # noqa: BLE001
-        yield error_row(table, f"{type(e).__name__}: {e}"[:500])
+    if isinstance(doc, Exception):
+        yield error_row(table, f"{type(doc).__name__}: {doc}"[:500])
         return
     try:
         yield from MAKERS[table](doc, options)
@@ -439,6 +443,55 @@ def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator
         yield error_row(table, f"{type(e).__name__}: {e}"[:500])
 
 
+def rows_of(table: str, content: bytes | None, options: ScanOptions) -> Iterator[tuple]:
+    """The rows of one file; never raises on malformed input.
+
+    A file that cannot be opened gives a row of ``documents`` alone, unless asked otherwise.  Whatever else
+    goes wrong ends the file's rows with one that holds the error in its last column.
+    """
+    yield from rows_in(table, open_file(content, options), options)
+
+
+def unchecked(doc: Document | Exception) -> bool:
+    """Whether a document's password is still to be checked."""
+    return isinstance(doc, Document) and doc.handler is not None and doc.handler.unchecked is not None
+
+
+#: Files, and their bytes, that are opened before their passwords are checked together.
+CHECKED_FILES, CHECKED_BYTES = 256, 1 << 20
+
+
+def opened(files: Iterator[tuple[str, Callable[[], bytes | None]]], options: ScanOptions) -> Iterator[tuple[str, Document | Exception]]:
+    """Each file's document in order; encrypted files are opened some ahead, the first after ``FIRST_ROWS``, others when they are due."""
+    held: deque[tuple[str, Document | Exception]] = deque()
+    size, most = 0, FIRST_ROWS
+
+    def checked() -> Iterator[tuple[str, Document | Exception]]:
+        asked = [k for k, (_, doc) in enumerate(held) if unchecked(doc)]
+        wrong = refused([held[k][1].handler for k in asked])
+        for k in (k for k, no in zip(asked, wrong, strict=True) if no):
+            held[k] = (held[k][0], PdfError("password incorrect"))
+        # a document keeps what it decoded, so it is let go with its rows
+        while held:
+            yield held.popleft()
+
+    for doc_id, read in files:
+        try:
+            content = read()
+            doc = open_file(content, options, later=True)
+        except OSError as e:
+            content, doc = None, PdfError(f"{type(e).__name__}: {e}"[:500])
+        if not held and not unchecked(doc):
+            yield doc_id, doc
+            continue
+        held.append((doc_id, doc))
+        size += len(content or b"")
+        if len(held) >= most or size >= CHECKED_BYTES:
+            yield from checked()
+            size, most = 0, min(CHECKED_FILES, 2 * most)
+    yield from checked()
+
+
 def _weight(value) -> int:
     """Bytes of all strings in a value, however deep."""
     kind = type(value)
@@ -491,12 +544,8 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
         except _UNFIT:
             return packed([r for row in held for r in checked(row)])
 
-    for doc_id, read in files:
-        try:
-            rows = rows_of(table, read(), options)
-        except OSError as e:
-            rows = iter([error_row(table, f"{type(e).__name__}: {e}"[:500])] if table == "documents" or options.open_errors else [])
-        for row in rows:
+    for doc_id, doc in opened(files, options):
+        for row in rows_in(table, doc, options):
             row = (doc_id, *row) if pick is None else (doc_id, *[row[k] for k in pick])
             held.append(row)
             for value in row:
