@@ -23,4 +23,5 @@ class ContentOperations:
 def register(spark: SparkSession) -> None:
     """Make ``content_operations(bytes)`` known to SQL, as in ``FROM t, LATERAL content_operations(t.content)``."""
     ship(spark)
-    spark.udtf.register("content_operations", F.udtf(ContentOperations, returnType=_COLUMNS, useArrow=True))
+    # with Arrow each call's few rows are a table of their own, which takes many times what reading the content does
+    spark.udtf.register("content_operations", F.udtf(ContentOperations, returnType=_COLUMNS, useArrow=False))
