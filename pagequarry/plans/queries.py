@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import codecs, tables
 from pagequarry.functions import text as T
 from pagequarry.operators import packed, trees, values, views
-from pagequarry.sources.datasource import register
+from pagequarry.sources.datasource import folder_of, read_spread, register
 from pagequarry.sources.scan import ScanOptions, scan
 from pagequarry.streaming.ingest import ingest, stream_rows
 from pagequarry.testing import pdfwriter as P
@@ -652,10 +652,21 @@ def _library(files: DataFrame, name: str) -> str:
     spark = files.sparkSession
     register(spark)
     path = temporary_path(spark, name)
-    files.withColumn("doc_id", F.concat("doc_id", F.lit(".pdf"))).write.format("pagequarry").mode("append").save(path)
+    _write_spread(files.withColumn("doc_id", F.concat("doc_id", F.lit(".pdf"))), path)
     return path
 
 
+#: Folders that written files are spread over.
+FOLDERS = 1024
+
+
+def _write_spread(rows: DataFrame, path: str, suffix: str = "") -> None:
+    """A file for each row (doc_id, content or json), each folder written by one task."""
+    place = folder_of(F.concat("doc_id", F.lit(suffix)), FOLDERS)
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, place)
+    rows.write.format("pagequarry").option("suffix", suffix).option("folders", FOLDERS).mode("append").save(path)
+
+
 def _number_of_file(column: str = "doc_id"):
     return F.regexp_extract(column, r"(\d+)\.pdf", 1).cast("long").alias("doc_id")
 
@@ -669,7 +680,7 @@ def q50_file_source(spark, sf_dir):
         return P.Writer().classic({**_BASE, 3: b"<</Title %s>>" % P.literal(r["c_name"].encode()), **more}).out
 
     folder = _library(files_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", write), "customers")
-    source = lambda name, schema: spark.read.format("pagequarry").option("table", name).schema("doc_id string, " + schema).load(folder).where("not endswith(doc_id, '7.pdf')")
+    source = lambda name, schema: spark.read.format("pagequarry").option("table", name).option("folders", "true").schema("doc_id string, " + schema).load(folder).where("not endswith(doc_id, '7.pdf')")
     titles = source("nodes", "num bigint, key string, bytes_val binary").where("num = 3 and key = 'Title'")
     streams = source("objects", "kind string").where("kind = 'stream'").withColumn("has", F.lit(True))
     return titles.join(streams, "doc_id", "left").select(_number_of_file(), T.decode_text(F.col("bytes_val")).alias("title"), F.coalesce("has", F.lit(False)).alias("has_stream"))
@@ -682,8 +693,8 @@ def q51_dump_files(spark, sf_dir):
     dumps = scan(files_of(parts, "p_partkey", lambda r: _info_file(P.literal(r["p_name"].encode()))), "dumps")
     register(spark)
     target = temporary_path(spark, "snapshots")
-    dumps.where("error is null").select(F.concat("doc_id", F.lit(".pdf")).alias("doc_id"), "json").write.format("pagequarry").option("suffix", ".json").mode("append").save(target)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf.json").load(target).select("path", F.decode("content", "UTF-8").alias("json"))
+    _write_spread(dumps.where("error is null").select(F.concat("doc_id", F.lit(".pdf")).alias("doc_id"), "json"), target, ".json")
+    found = read_spread(spark, target, FOLDERS, "*.pdf.json").select("path", F.decode("content", "UTF-8").alias("json"))
     return found.select(_number_of_file("path"), F.get_json_object("json", "$.objects['3 0'].dict.Title.text").alias("title"))
 
 
