@@ -19,9 +19,13 @@ Order is the order of paths, so positions are ranks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +37,9 @@ ROUNDS = 4
 #: Steps of pointer doubling that reach beyond the deepest tree that is walked.
 DOUBLINGS = (2 * MAX_DEPTH).bit_length()
 VALUES = ["kind", "bool_val", "int_val", "real_val", "name_val", "bytes_val", "ref_num", "ref_gen"]
+_OBJECT = "struct<num:bigint,gen:bigint>"
+#: Rows after which what documents lead to is handed on.
+_BATCH_ROWS = 10_000
 _VERTEX = "struct<num:bigint,gen:bigint,node:int>"
 #: Place of a node's own names, after all its kids.
 _LAST = (1 << 31) - 1
@@ -322,8 +329,8 @@ def structure_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
 
 # --- reachability -----------------------------------------------------------
 
-#: Rounds of joins; documents with longer chains are finished one at a time, in tasks.
-REACH_ROUNDS = 10
+#: Rounds of joins, each of which reads all edges; documents with longer chains are finished one at a time, in tasks.
+REACH_ROUNDS = 3
 
 
 def reference_edges(nodes: DataFrame) -> DataFrame:
@@ -351,9 +358,12 @@ def reachable(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
         seen = sorted_join(seen.unionByName(delta))
     else:
         open_docs = delta.select("doc_id").distinct()
-        mine = seen.join(open_docs, "doc_id", "left_semi").select("doc_id", F.lit(None).cast("struct<num:bigint,gen:bigint>").alias("p"), "v")
+        mine = seen.join(open_docs, "doc_id", "left_semi").select("doc_id", F.lit(None).cast(_OBJECT).alias("p"), "v")
         rest = edges.join(open_docs, "doc_id", "left_semi").join(tops, ["doc_id", "v"], "left_semi").select("doc_id", "p", "v").unionByName(mine)
-        done = rest.groupBy("doc_id").applyInPandas(_reach_document, "doc_id string, v struct<num:bigint,gen:bigint>")
+        flat = rest.select("doc_id", F.col("p.num").alias("p_num"), F.col("p.gen").alias("p_gen"), F.col("v.num").alias("num"), F.col("v.gen").alias("gen"))
+        # a document's rows stand together, the next document's after them; a pandas frame for each would take most of the time
+        flat = flat.repartition("doc_id").sortWithinPartitions("doc_id")
+        done = flat.mapInArrow(_reach_documents, "doc_id string, num bigint, gen bigint").select("doc_id", F.struct("num", "gen").alias("v"))
         seen = seen.join(open_docs, "doc_id", "left_anti").unionByName(done)
     return sorted_join(seen.select("doc_id", "v.*"))
 
@@ -367,23 +377,31 @@ def _under(trailer_nodes: DataFrame) -> DataFrame:
     return trees.select("doc_id", "trailer_ord", "up", F.explode("refs").alias("r")).select("doc_id", "trailer_ord", shallow(F.col("r")).alias("top"), "r.ref_num", "r.ref_gen")
 
 
-def _reach_document(rows: pd.DataFrame) -> pd.DataFrame:
-    """What the objects without ``p`` lead to, in one document."""
-    key = lambda v: (v["num"], v["gen"])
-    kids: dict[tuple, list] = {}
-    stack = []
-    for p, v in zip(rows["p"], rows["v"], strict=True):
-        if p is None:
-            stack.append(key(v))
-        else:
-            kids.setdefault(key(p), []).append(key(v))
-    seen = set(stack)
-    while stack:
-        for v in kids.get(stack.pop(), ()):
-            if v not in seen:
-                seen.add(v)
-                stack.append(v)
-    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "v": [{"num": a, "gen": b} for a, b in seen]})
+def _reach_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the objects without ``p_num`` lead to, of one document after the other."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    held: list[tuple[str, int, int]] = []
+    packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "num", "gen"])
+    for doc_id, own in groupby(rows, key=itemgetter(0)):
+        kids: dict[tuple, list] = {}
+        stack = []
+        for _, p_num, p_gen, num, gen in own:
+            if p_num is None:
+                stack.append((num, gen))
+            else:
+                kids.setdefault((p_num, p_gen), []).append((num, gen))
+        seen = set(stack)
+        while stack:
+            for v in kids.get(stack.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    stack.append(v)
+        held += [(doc_id, *v) for v in seen]
+        if len(held) >= _BATCH_ROWS:
+            yield packed()
+            held = []
+    if held:
+        yield packed()
 
 
 def unreachable(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
