@@ -918,8 +918,9 @@ def q63_content_digests(spark, sf_dir):
 
     old = stage_rows(scan(files_of(parts, "p_partkey", lambda r: version(r, 0, r["p_name"].encode())), "nodes"), "old")
     new = stage_rows(scan(files_of(parts, "p_partkey", lambda r: version(r, 7 + r["p_partkey"] % 3, r["p_name"].encode() + b"!" * (r["p_size"] % 5 == 0))), "nodes"), "new")
-    before = values.settled_digests(old)
-    changed = values.diff_by_content(old, new).where("change = 'added'").groupBy("doc_id").agg(F.count("*").alias("changed"))
+    versions = values.settled_versions(old, new)
+    before = versions.where("side = '<'").select("doc_id", "num", "gen", "digest")
+    changed = values.diff_of(versions).where("change = 'added'").groupBy("doc_id").agg(F.count("*").alias("changed"))
     classes = values.copies(before)
     titles = before.where("num = 3").join(classes.select("digest", "n"), "digest", "left").select("doc_id", F.coalesce("n", F.lit(1)).alias("same_titles"))
     return titles.join(changed, "doc_id", "left").select(_doc(), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), "same_titles")
