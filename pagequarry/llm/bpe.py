@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.workspace import stage
+from pagequarry.workspace import stage, tidy
 
 TOKENIZER = "byte_bpe_50k.json"
 LEAF_CHARS = 16_384
@@ -205,8 +205,8 @@ def distinct_pre_tokens(docs: DataFrame, text_col: str, tokenizer: str) -> DataF
             yield pd.DataFrame({"piece": own, "n": frame["n"].to_numpy(), "pieces": [bpe.pieces(t) for t in own]})
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    found = texts.mapInPandas(find, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return found.mapInPandas(count, "piece string, n long, pieces long")
+    found = texts.mapInPandas(tidy(find), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return found.mapInPandas(tidy(count), "piece string, n long, pieces long")
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -236,7 +236,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    counted = own.mapInPandas(run, f"id {id_type}, n_bytes long, known long, piece array<string>, n array<long>")
+    counted = own.mapInPandas(tidy(run), f"id {id_type}, n_bytes long, known long, piece array<string>, n array<long>")
     if len(common) < COMMON_MOST and short.count() == table.count():
         return counted.select(F.col("id").alias(id_col), "n_bytes", F.col("known").alias("n_tokens"))
     # rows get a number that stays the same once they are written
@@ -376,4 +376,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield pd.DataFrame(out)
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(run, f"id {id_type}, n_tokens long, {columns}").withColumnRenamed("id", id_col)
+    return own.mapInPandas(tidy(run), f"id {id_type}, n_tokens long, {columns}").withColumnRenamed("id", id_col)

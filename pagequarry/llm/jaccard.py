@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
-from pagequarry.workspace import drop_stage, stage
+from pagequarry.workspace import drop_stage, stage, tidy
 
 #: Sizes from one bound to the next share one cut of the hash range.
 GROWTH = 1.7
@@ -243,7 +243,7 @@ def key_documents(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
             yield counted(seen)
 
     own = docs.select(F.col(id_col).alias("id"), *text_keys(text_col))
-    return own.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, size long, k1 long, k2 long, t1 long, t2 long, shingle long, n long")
+    return own.mapInPandas(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, size long, k1 long, k2 long, t1 long, t2 long, shingle long, n long")
 
 
 def common_shingles(keyed: DataFrame) -> np.ndarray:
@@ -271,7 +271,7 @@ def signature_rows(docs: DataFrame, rule: Rule, n: int, common: np.ndarray, text
                 if own:
                     yield pre_link([k1 for k1, _ in own], [rule.signatures(s, shared.value).view(np.int64) for s in own.values()])
 
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "sig long, k1 long")
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(tidy(run), "sig long, k1 long")
 
 
 def pre_link(classes: list[int], signatures: list[np.ndarray]) -> pd.DataFrame:
@@ -487,7 +487,7 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     classes = stage(filled.groupBy("k1", "k2", "size").agg(F.min(F.struct("t1", "t2")).alias("rep"), F.min("id").alias("first_id")), "jaccard-classes")
 
     rows = signature_rows(docs, rule, n, common_shingles(keyed), text_col)
-    near = rows.repartition("sig").sortWithinPartitions("sig", "k1").mapInPandas(_run_links, "a long, b long").distinct()
+    near = rows.repartition("sig").sortWithinPartitions("sig", "k1").mapInPandas(tidy(_run_links), "a long, b long").distinct()
     regions = components(near).withColumnRenamed("node", "k1").withColumnRenamed("label", "region")
 
     members = stage(classes.join(regions, "k1").select("k1", "k2", "rep.t1", "rep.t2", "size", "region"), "jaccard-members")

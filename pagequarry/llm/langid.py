@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
 from pagequarry.llm.rows import hash63, quota_sample
+from pagequarry.workspace import tidy
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -101,7 +102,7 @@ def count_ngrams(own: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pd.DataFrame({"label": label, "bucket": k, "n": v[k]})
 
     # at most one row per language and bucket reaches the driver
-    rows = own.mapInPandas(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = own.mapInPandas(tidy(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     labels = sorted(rows["label"].unique())
     counts = np.zeros((len(labels), BUCKETS), np.int64)
     if labels:
@@ -188,7 +189,7 @@ def fit_judge(rows: DataFrame, text_col: str, label_col: str, max_rows: int = MA
             yield pd.DataFrame(out, columns=["label", "mean", "back", "lead"])
 
     # at most ``max_rows`` rows of three numbers, about, reach the driver
-    rated = own.mapInPandas(rate, "label string, mean double, back double, lead double").toPandas()
+    rated = own.mapInPandas(tidy(rate), "label string, mean double, back double, lead double").toPandas()
     usual = rated.groupby("label")[["mean", "back", "lead"]].median().reindex(labels)
     return (labels, log_table(counts), log_prior(labels, sizes)), usual.to_numpy(np.float64)
 
@@ -238,7 +239,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pd.DataFrame({"id": frame["id"].iloc[part].to_numpy(), "lang_pred": names, "score": scores})
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(run, f"id {id_type}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return own.mapInPandas(tidy(run), f"id {id_type}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
