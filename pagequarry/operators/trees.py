@@ -1,46 +1,32 @@
 """Trees and graphs of a corpus as joins over ``nodes`` and ``trailer_nodes``.
 
 A vertex is a dictionary (or a stream's, or a kids array that is an object of its own):
-``struct<num, gen, node>``.  An edge leads from a vertex to a kid at a place.  A depth-first
-walk that enters every vertex once visits it by the smallest of its paths, as arrays of
-places are ordered: a vertex's path is the smallest ``path(parent) + [place]`` of its
-edges, and only one assignment of paths fulfils this for all vertices.  ``walk`` finds it:
-
-1.  every vertex takes one of its edges;
-2.  paths to the root come from pointer doubling, in as many joins as the depth has binary
-    digits, whatever the depth;
-3.  vertices with several edges take the one that is smallest now, and documents where a
-    choice changed go again.
-
-Files are trees almost always, and then one round settles them.  Documents that are not
-settled after ``ROUNDS`` go through the same definition one document at a time, in tasks.
-Order is the order of paths, so positions are ranks.
+``struct<num, gen, node>``.  An edge leads from a vertex to a kid at a place.  Edges come
+from joins of all documents together.  A depth-first walk that enters every vertex once
+visits it by the smallest of its paths, as arrays of places are ordered; no edge leaves a
+document, so ``walk`` deals edges by document, sorts them there and follows those of one
+document after the other.  Order is the order of paths, so positions are ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.sources.syntax import MAX_DEPTH
-from pagequarry.workspace import sorted_join, stage_rows
+from pagequarry.workspace import ship, sorted_join, stage_rows
 
-ROUNDS = 4
-#: Steps of pointer doubling that reach beyond the deepest tree that is walked.
-DOUBLINGS = (2 * MAX_DEPTH).bit_length()
 VALUES = ["kind", "bool_val", "int_val", "real_val", "name_val", "bytes_val", "ref_num", "ref_gen"]
 _OBJECT = "struct<num:bigint,gen:bigint>"
-#: Rows after which what documents lead to is handed on.
-_BATCH_ROWS = 10_000
-_VERTEX = "struct<num:bigint,gen:bigint,node:int>"
+#: Rows after which what documents lead to is handed on, and steps of paths in a batch of them.
+_BATCH_ROWS, _BATCH_STEPS = 10_000, 100_000
 #: Place of a node's own names, after all its kids.
 _LAST = (1 << 31) - 1
 
@@ -49,11 +35,6 @@ def vertex(num, gen, node) -> Column:
     return F.struct(F.col(num).cast("bigint").alias("num"), F.col(gen).cast("bigint").alias("gen"), (node if isinstance(node, Column) else F.col(node)).cast("int").alias("node"))
 
 
-def _root() -> Column:
-    """The vertex of a walk's root."""
-    return F.struct(F.lit(-1).cast("bigint").alias("num"), F.lit(-1).cast("bigint").alias("gen"), F.lit(-1).alias("node"))
-
-
 # --- trailers ---------------------------------------------------------------
 
 
@@ -86,11 +67,9 @@ def led_to(nodes: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = ("dict
     return sorted_join(direct.unionByName(through.select(direct.columns)))
 
 
-def catalogs(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
-    """The catalog (doc_id, v) of each document whose trailer refers to one."""
-    root = merged_trailer(trailer_nodes).where("key = 'Root' and kind = 'ref'").select("doc_id", "ref_num", "ref_gen")
-    tops = nodes.where("node_id = 0 and kind in ('dict', 'stream')").select("doc_id", F.col("num").alias("ref_num"), F.col("gen").alias("ref_gen"))
-    return root.join(tops, ["doc_id", "ref_num", "ref_gen"]).select("doc_id", vertex("ref_num", "ref_gen", F.lit(0)).alias("v"))
+def catalogs(trailer_nodes: DataFrame) -> DataFrame:
+    """The vertex (doc_id, v) that each document's trailer refers to as its catalog; it has entries only if there is one."""
+    return merged_trailer(trailer_nodes).where("key = 'Root' and kind = 'ref'").select("doc_id", vertex("ref_num", "ref_gen", F.lit(0)).alias("v"))
 
 
 # --- the walk ---------------------------------------------------------------
@@ -122,47 +101,68 @@ def structure_edges(nodes: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, roots: DataFrame, root_is_seen: bool) -> DataFrame:
-    """doc_id, v, path and depth of every vertex that a walk from the roots enters; the root has the vertex -1.
+    """doc_id, v, path and depth of every vertex that a walk from the roots enters, the root first.
 
     ``root_is_seen``: edges back to the root are not followed; else the root's object
-    may be entered once more, as a kid, so the root and the dictionaries inside its
-    object are vertices of their own, with the number -1 (``_real`` gives them back).
+    may be entered once more, as a kid, so what was entered as root, and as a dictionary
+    inside its object from there, does not count as entered.
     """
-    kept = edges.select("doc_id", "p", "pos", "v", "step", "by_ref")
-    at = roots.select("doc_id", F.col("v").alias("root"))
-    kept = kept.join(at, "doc_id")
-    if root_is_seen:
-        kept = kept.where(F.col("v") != F.col("root")).withColumn("p", F.when(F.col("p") == F.col("root"), _root()).otherwise(F.col("p")))
-    else:
-        inside = lambda v: (F.col(f"{v}.num") == F.col("root.num")) & (F.col(f"{v}.gen") == F.col("root.gen"))
-        own = lambda v: F.when(F.col(v) == F.col("root"), _root()).otherwise(F.struct(F.lit(-1).cast("bigint").alias("num"), F.lit(-1).cast("bigint").alias("gen"), F.col(f"{v}.node").alias("node")))
-        copied = kept.where(inside("p")).withColumn("v", F.when(~F.col("by_ref") & inside("v"), own("v")).otherwise(F.col("v"))).withColumn("p", own("p"))
-        kept = kept.unionByName(copied)
-    kept = stage_rows(kept.drop("root", "by_ref"), "tree-edges")
-    rivals = kept.groupBy("doc_id", "v").agg(F.min(F.struct("p", "pos", "step")).alias("e"), F.count("*").alias("n"))
-    chosen = stage_rows(rivals.select("doc_id", "v", "e.*", "n"), "tree-choice")
-    settled: list[DataFrame] = []
-    for _ in range(ROUNDS):
-        paths = _doubled(chosen)
-        changed, better = _improved(kept, chosen, paths)
-        if changed is None:
-            settled.append(paths)
-            break
-        settled.append(paths.join(changed, "doc_id", "left_anti"))
-        chosen = better
-    else:
-        rest = kept.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-        settled.append(rest.groupBy("doc_id").applyInPandas(_walk_document, f"doc_id string, v {_VERTEX}, path array<int>, depth int"))
-    found = reduce(DataFrame.unionByName, settled).where(F.col("depth") <= MAX_DEPTH)
-    top = roots.select("doc_id", _root().alias("v"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"))
-    return sorted_join(top.unionByName(found))
+    parts = lambda v, start="": [F.col(f"{v}.{c}").alias(start + c) for c in ("num", "gen", "node")]
+    rows = edges.select("doc_id", F.lit(False).alias("is_root"), *parts("p", "p_"), "pos", *parts("v"), "step", "by_ref")
+    # a root is its own parent here, so no number is missing
+    rows = rows.unionByName(roots.select("doc_id", F.lit(True).alias("is_root"), *parts("v", "p_"), F.lit(0).alias("pos"), *parts("v"), F.lit(0).alias("step"), F.lit(False).alias("by_ref")))
+    ship(edges.sparkSession)
+    # a document's rows stand together, the next document's after them
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id")
+    found = dealt.mapInArrow(partial(_walk_documents, root_is_seen=root_is_seen), "doc_id string, num bigint, gen bigint, node int, path array<int>, depth int")
+    return sorted_join(found.select("doc_id", vertex("num", "gen", "node").alias("v"), "path", "depth"))
+
+
+def _walk_documents(batches: Iterator[pa.RecordBatch], root_is_seen: bool) -> Iterator[pa.RecordBatch]:
+    """What the walks of one document after the other enter."""
+    rows = (row for batch in batches for row in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True))
+    types = {"doc_id": pa.string(), "num": pa.int64(), "gen": pa.int64(), "node": pa.int32(), "path": pa.list_(pa.int32()), "depth": pa.int32()}
+    packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.values(), strict=True)], names=list(types))
+    held: list[tuple] = []
+    steps = 0
+    for doc_id, own in groupby(rows, key=itemgetter(0)):
+        kids: dict[tuple, list] = {}
+        roots = []
+        for _, is_root, p_num, p_gen, p_node, pos, num, gen, node, step, by_ref in own:
+            if is_root:
+                roots.append((num, gen, node))
+            else:
+                kids.setdefault((p_num, p_gen, p_node), []).append((pos, (num, gen, node), step, by_ref))
+        for edges in kids.values():
+            if len(edges) > 1:
+                edges.sort(reverse=True)
+        for root in roots:
+            for v, path, depth in _entered(kids, root, root_is_seen):
+                held.append((doc_id, *v, path, depth))
+                steps += len(path)
+                if len(held) >= _BATCH_ROWS or steps >= _BATCH_STEPS:
+                    yield packed()
+                    held, steps = [], 0
+    if held:
+        yield packed()
 
 
-def _real(entered: DataFrame, roots: DataFrame) -> DataFrame:
-    """What ``walk`` found, with the vertices of the files in place of those with the number -1."""
-    found = entered.join(roots.select("doc_id", F.col("v").alias("root")), "doc_id")
-    inside = F.struct(F.col("root.num").alias("num"), F.col("root.gen").alias("gen"), F.col("v.node").alias("node"))
-    return found.withColumn("v", F.when(F.col("v") == _root(), F.col("root")).when(F.col("v.num") == -1, inside).otherwise(F.col("v"))).drop("root")
+def _entered(kids: dict[tuple, list], root: tuple, root_is_seen: bool) -> Iterator[tuple]:
+    """Vertex, path and depth of all that a walk from a root enters; ``kids``: edges by vertex, the last one first."""
+    seen = {root} if root_is_seen else set()
+    # whether a vertex is the root, or inside its object and entered from there without a reference
+    stack: list[tuple] = [(root, not root_is_seen, (), 0)]
+    while stack:
+        own, as_root, path, depth = stack.pop()
+        if path:
+            if (own, True) in seen if as_root else own in seen:
+                continue
+            seen.add((own, True) if as_root else own)
+            if depth > MAX_DEPTH:
+                continue
+        yield own, path, depth
+        for pos, v, step, by_ref in kids.get(own, ()):
+            stack.append((v, as_root and not by_ref and v[:2] == root[:2], (*path, pos), depth + step))
 
 
 #: Levels of dictionaries inside each other, in arrays that several nodes share.
@@ -190,63 +190,6 @@ def _with_copies(entered: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _doubled(chosen: DataFrame) -> DataFrame:
-    """Paths from the root of all vertices whose chosen edges lead there."""
-    ways = chosen.select("doc_id", "v", F.col("p").alias("up"), F.array("pos").alias("path"), F.col("step").alias("depth"))
-    for _ in range(DOUBLINGS):
-        above = ways.select("doc_id", F.col("v").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("depth").alias("more"))
-        joined = ways.join(above, ["doc_id", "up"], "left")
-        ways = stage_rows(
-            joined.select(
-                "doc_id", "v", F.coalesce("next", "up").alias("up"), F.concat(F.coalesce("before", F.array().cast("array<int>")), "path").alias("path"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"),
-            ).where(F.size("path") <= 2 * MAX_DEPTH + 2),
-            "tree-ways",
-        )
-        if ways.where("moved").isEmpty():
-            break
-        ways = ways.drop("moved")
-    return ways.where(F.col("up") == _root()).select("doc_id", "v", "path", "depth")
-
-
-def _improved(kept: DataFrame, chosen: DataFrame, paths: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Documents in which a vertex has a smaller path by another edge, and the choices of these."""
-    several = chosen.where("n > 1").select("doc_id", "v")
-    if several.isEmpty():
-        return None, None
-    top = several.select("doc_id").distinct().select("doc_id", _root().alias("p"), F.array().cast("array<int>").alias("before"))
-    before = paths.select("doc_id", F.col("v").alias("p"), F.col("path").alias("before")).unionByName(top)
-    offers = kept.join(several, ["doc_id", "v"], "left_semi").join(sorted_join(before), ["doc_id", "p"])
-    best = offers.groupBy("doc_id", "v").agg(F.min_by(F.struct("p", "pos", "step"), F.concat("before", F.array("pos"))).alias("best"))
-    moved = stage_rows(chosen.join(best, ["doc_id", "v"]).where(F.struct("p", "pos") != F.struct("best.p", "best.pos")).select("doc_id", "v", "best"), "tree-moved")
-    if moved.isEmpty():
-        return None, None
-    changed = moved.select("doc_id").distinct()
-    again = chosen.join(changed, "doc_id", "left_semi").join(moved, ["doc_id", "v"], "left")
-    pick = lambda c: F.coalesce(F.col(f"best.{c}"), F.col(c)).alias(c)
-    return changed, stage_rows(again.select("doc_id", "v", pick("p"), pick("pos"), pick("step"), "n"), "tree-choice")
-
-
-def _walk_document(edges: pd.DataFrame) -> pd.DataFrame:
-    """The walk of one document."""
-    key = lambda v: (v["num"], v["gen"], v["node"])
-    kids: dict[tuple, list] = {}
-    for p, pos, v, step in zip(edges["p"], edges["pos"], edges["v"], edges["step"], strict=True):
-        kids.setdefault(key(p), []).append((int(pos), key(v), int(step)))
-    rows, seen, stack = [], set(), [((-1, -1, -1), (), 0)]
-    while stack:
-        own, path, depth = stack.pop()
-        if path:
-            if own in seen or depth > MAX_DEPTH:
-                continue
-            seen.add(own)
-            rows.append((dict(zip(("num", "gen", "node"), own, strict=True)), list(path), depth))
-        stack.extend((v, (*path, pos), depth + step) for pos, v, step in sorted(kids.get(own, ()), reverse=True))
-    out = pd.DataFrame(rows, columns=["v", "path", "depth"])
-    out.insert(0, "doc_id", edges["doc_id"].iloc[0])
-    return out
-
-
 def _ranked(rows: DataFrame, name: str, *order: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) - 1)
 
@@ -259,11 +202,10 @@ def page_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
 
     ``nodes`` is read several times: hand a stored table, or one of ``stage``.
     """
-    roots = led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "Pages"), ("dict", "stream")).select("doc_id", F.col("to").alias("v"), F.col("kind").alias("how"))
+    roots = led_to(nodes, entry_of(nodes, catalogs(trailer_nodes), "Pages"), ("dict", "stream")).select("doc_id", F.col("to").alias("v"), F.col("kind").alias("how"))
     roots = stage_rows(roots, "page-roots")
     edges = stage_rows(kid_edges(nodes), "page-edges")
-    # the root's own edges start at the vertex -1 that stands for it
-    seen = stage_rows(_real(walk(edges, roots, root_is_seen=True), roots), "page-nodes")
+    seen = stage_rows(walk(edges, roots, root_is_seen=True), "page-nodes")
     seen = _with_copies(seen, edges.join(roots.select("doc_id", "v"), ["doc_id", "v"], "left_anti"))
     inner = nodes.where("key in ('Kids', 'Count')").select("doc_id", vertex("num", "gen", "parent_id").alias("v"))
     types = nodes.where("key = 'Type'").select("doc_id", vertex("num", "gen", "parent_id").alias("v"), *VALUES)
@@ -278,10 +220,10 @@ def page_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
 
 def name_tree(nodes: DataFrame, trailer_nodes: DataFrame, key: str = "EmbeddedFiles") -> DataFrame:
     """Entries of one of the catalog's name trees in order: doc_id, ord, name_bytes, spec (the vertex of its dictionary)."""
-    names = led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "Names")).select("doc_id", F.col("to").alias("v"))
+    names = led_to(nodes, entry_of(nodes, catalogs(trailer_nodes), "Names")).select("doc_id", F.col("to").alias("v"))
     roots = stage_rows(led_to(nodes, entry_of(nodes, names, key)).select("doc_id", F.col("to").alias("v")), "name-roots")
     edges = stage_rows(kid_edges(nodes), "name-edges")
-    holders = _with_copies(stage_rows(_real(walk(edges, roots, root_is_seen=False), roots), "name-nodes"), edges)
+    holders = _with_copies(stage_rows(walk(edges, roots, root_is_seen=False), "name-nodes"), edges)
     arrays = led_to(nodes, entry_of(nodes, holders.select("doc_id", "v").distinct(), "Names"), ("array",)).select("doc_id", "v", F.col("to").alias("array"))
     own = nodes.where("key is null and node_id > 0").select("doc_id", vertex("num", "gen", "parent_id").alias("array"), "pos", vertex("num", "gen", "node_id").alias("at"), *VALUES)
     items = own.join(arrays, ["doc_id", "array"])
@@ -309,8 +251,8 @@ def structure_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     A kids array that is an object is entered by the first /K that names it; that it
     may also stand, without effect, among the kids of an element does not count.
     """
-    roots = stage_rows(led_to(nodes, entry_of(nodes, catalogs(nodes, trailer_nodes), "StructTreeRoot")).select("doc_id", F.col("to").alias("v")), "structure-roots")
-    seen = _real(walk(structure_edges(nodes), roots, root_is_seen=False), roots)
+    roots = stage_rows(led_to(nodes, entry_of(nodes, catalogs(trailer_nodes), "StructTreeRoot")).select("doc_id", F.col("to").alias("v")), "structure-roots")
+    seen = walk(structure_edges(nodes), roots, root_is_seen=False)
     # kids arrays are vertices, but no elements
     arrays = nodes.where("node_id = 0 and kind = 'array'").select("doc_id", vertex("num", "gen", F.lit(0)).alias("v"))
     seen = stage_rows(seen.join(arrays, ["doc_id", "v"], "left_anti"), "structure-elements")

@@ -702,9 +702,9 @@ def q51_dump_files(spark, sf_dir):
 
 
 def _graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` and ``trailer_nodes`` of files, stored, so that joins read them and parse nothing."""
-    files = stage_rows(files, "files")
-    return stage_rows(scan(files, "nodes"), "nodes"), stage_rows(scan(files, "trailer_nodes"), "trailer-nodes")
+    """``nodes`` and ``trailer_nodes`` of files, made and opened once and stored, so that joins read them and parse nothing."""
+    graph = stage_rows(scan(files, "graph"), "graph")
+    return graph.where("trailer_ord is null").drop("section_ord", "trailer_ord"), graph.where("trailer_ord is not null").drop("num", "gen")
 
 
 @query(_LINES + "SELECT l_orderkey AS doc_id, page_index, CAST(l_linenumber AS BIGINT) AS line FROM l")
@@ -713,14 +713,15 @@ def q52_page_graph(spark, sf_dir):
 
     def write(r):
         objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 3: b"[]"}
-        leaves = {100 + k: b"<</Type /Page /Line %d>>" % x["l_linenumber"] for k, x in enumerate(r["lines"])}
+        leaves = {100 + k: b"<</Type /Page /Line %d>>" % x for k, x in enumerate(r["lines"])}
         names = [b"%d 0 R" % k for k in leaves]
         groups = [names[k : k + 2] for k in range(0, len(names), 2)]
         objects |= {10 + k: b"<</Type /Pages /Kids [%s %s]>>" % (b" ".join(own), own[0]) for k, own in enumerate(groups)}
         objects[3] = b"[%s 2 0 R]" % b" ".join(b"%d 0 R" % (10 + k) for k in range(len(groups)))
         return P.Writer().classic({**objects, 2: b"<</Type /Pages /Kids 3 0 R>>", **leaves}).out
 
-    nodes, trailers = _graph(files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", write))
+    rows = _orders_with_lines(spark, sf_dir).select("l_orderkey", F.col("lines.l_linenumber").alias("lines"))
+    nodes, trailers = _graph(files_of(rows, "l_orderkey", write))
     lines = nodes.where("key = 'Line'").select("doc_id", "num", "gen", F.col("int_val").alias("line"))
     return trees.page_tree(nodes, trailers).join(lines, ["doc_id", "num", "gen"]).select(_doc(), "page_index", "line")
 

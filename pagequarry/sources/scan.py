@@ -91,6 +91,7 @@ SCHEMAS = {
     "trailer_nodes": f"section_ord int, trailer_ord int, {_NODE}, error string",
     "objects": "num bigint, gen bigint, kind string, tagged_json string, error string",
     "nodes": f"num bigint, gen bigint, {_NODE}, error string",
+    "graph": f"section_ord int, trailer_ord int, num bigint, gen bigint, {_NODE}, error string",
     "streams": f"num bigint, gen bigint, raw_offset bigint, raw_length bigint, raw binary, filters array<string>, params array<{_PARAMS}>, decoded binary, error string",
     "page_spine": f"page_index int, num bigint, gen bigint, parents array<struct<num:bigint,gen:bigint>>, attributes array<{_ATTRIBUTE}>, contents array<binary>, content_error string",
     "content_ops": f"page_index int, op_index int, operator string, offset bigint, operands array<{_OPERAND}>, image binary, error string",
@@ -166,17 +167,21 @@ def _objects(doc: Document, o: ScanOptions) -> Iterator[tuple]:
             yield ref.num, ref.gen, kind, to_json(tagged(doc, value, o.dump)) if o.needs("tagged_json") and not error else None, error
 
 
-def node_rows(value) -> Iterator[tuple]:
-    """A value and all that is in it, parents first: number, number of the parent, depth, place, key, kind and value."""
+def node_rows(value, before: tuple = (), after: tuple = ()) -> Iterator[tuple]:
+    """A value and all that is in it, parents first: number, number of the parent, depth, place, key, kind and value, between columns that are the same for all."""
     number, stack = 0, [(value, None, 0, 0, None)]
     while stack:
         own, parent, depth, pos, key = stack.pop()
         kind = kind_of(own)
-        yield (
-            number, parent, depth, pos, key, kind, own if kind == "bool" else None, own if kind == "int" else None,
-            own if kind == "real" else None, _shown(own) if kind == "name" else None, own if kind == "string" else None,
-            own.num if kind == "ref" else None, own.gen if kind == "ref" else None,
-        )
+        if kind == "ref":
+            yield *before, number, parent, depth, pos, key, kind, None, None, None, None, None, own.num, own.gen, *after
+        elif kind == "name":
+            yield *before, number, parent, depth, pos, key, kind, None, None, None, _shown(own), None, None, None, *after
+        else:
+            yield (
+                *before, number, parent, depth, pos, key, kind, own if kind == "bool" else None, own if kind == "int" else None,
+                own if kind == "real" else None, None, own if kind == "string" else None, None, None, *after,
+            )
         if kind in ("array", "dict", "stream"):
             items = list(enumerate(own)) if kind == "array" else list((own.dict if kind == "stream" else own).items())
             for k in range(len(items) - 1, -1, -1):
@@ -184,19 +189,23 @@ def node_rows(value) -> Iterator[tuple]:
         number += 1
 
 
-def _nodes(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+def _nodes(doc: Document, o: ScanOptions, before: tuple = ()) -> Iterator[tuple]:
     for ref, value, error in _wanted(doc, o):
         if error:
-            yield ref.num, ref.gen, *[None] * 13, error
+            yield *before, ref.num, ref.gen, *[None] * 13, error
             continue
-        for row in node_rows(value):
-            yield ref.num, ref.gen, *row, None
+        yield from node_rows(value, (*before, ref.num, ref.gen), (None,))
 
 
-def _trailer_nodes(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+def _trailer_nodes(doc: Document, o: ScanOptions, between: tuple = ()) -> Iterator[tuple]:
     for order, (section, own) in enumerate(doc.trailers):
-        for row in node_rows(own):
-            yield section, order, *row, None
+        yield from node_rows(own, (section, order, *between), (None,))
+
+
+def _graph(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+    """Rows of ``trailer_nodes``, without object numbers, and of ``nodes``, without places of trailers."""
+    yield from _trailer_nodes(doc, o, (None, None))
+    yield from _nodes(doc, o, (None, None))
 
 
 def _streams(doc: Document, o: ScanOptions) -> Iterator[tuple]:
@@ -404,7 +413,7 @@ def _dumps(doc: Document, o: ScanOptions) -> Iterator[tuple]:
 
 
 MAKERS = {
-    "documents": _documents, "xref_entries": _xref_entries, "trailers": _trailers, "trailer_nodes": _trailer_nodes, "objects": _objects, "nodes": _nodes,
+    "documents": _documents, "xref_entries": _xref_entries, "trailers": _trailers, "trailer_nodes": _trailer_nodes, "objects": _objects, "nodes": _nodes, "graph": _graph,
     "streams": _streams, "page_spine": _page_spine, "content_ops": _content_ops, "info_entries": _info_entries, "info": _info,
     "attachments": _attachments, "struct_elems": _struct_elems, "dumps": _dumps, "security": _security,
 }
@@ -523,6 +532,8 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
     names = column_names(table)
     pick = None if schema.names[1:] == names else [names.index(c) for c in schema.names[1:]]
     last = schema.names[-1] if schema.names[-1].endswith("error") else None
+    # numbers and truth values have no bytes to count
+    heavy = [k for k, f in enumerate(arrow) if not pa.types.is_primitive(f.type)]
     held: list[tuple] = []
     weight, most = 0, FIRST_ROWS
 
@@ -548,8 +559,9 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
         for row in rows_in(table, doc, options):
             row = (doc_id, *row) if pick is None else (doc_id, *[row[k] for k in pick])
             held.append(row)
-            for value in row:
-                if type(value) not in _PLAIN:
+            for k in heavy:
+                value = row[k]
+                if value is not None:
                     weight += len(value) if type(value) in (bytes, str) else _weight(value)
             if len(held) >= most or weight >= BATCH_BYTES:
                 yield batch()
