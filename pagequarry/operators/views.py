@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.sources.scan import INFO_KEYS, ScanOptions, scan
+from pagequarry.sources.scan import INFO_KEYS, ScanOptions, scan, schema_of
 
 
 def live_entries(entries: DataFrame) -> DataFrame:
@@ -73,9 +73,26 @@ def joined_content(parts: Column) -> Column:
 BOXES = {"MediaBox": "media_box", "CropBox": "crop_box", "BleedBox": "bleed_box", "TrimBox": "trim_box", "ArtBox": "art_box"}
 
 
-def pages(files: DataFrame, options: ScanOptions | None = None, contents: bool = True) -> DataFrame:
-    """Pages with boxes, rotation, resource names and (unless told not to decode it) content; no shuffle is needed."""
-    spine = scan(files, "page_spine", replace(options or ScanOptions(), contents=contents))
+def pages(files: DataFrame, options: ScanOptions | None = None, contents: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Pages with boxes, rotation, resource names and (unless told not to decode it) content; no shuffle is needed.
+
+    Of ``columns`` only these, beside doc_id, and the scan makes only what they need.
+    """
+    if columns is not None:
+        needed = dict.fromkeys("contents" if c == "content" else c if c in _SPINE else "attributes" for c in columns)
+        spine = scan(files, "page_spine", replace(options or ScanOptions(), contents=contents), columns=tuple(needed))
+        missing = [c for c in ("page_index", "num", "gen", "parents", "attributes", "contents", "content_error") if c not in needed]
+        # columns that are not asked for are named below, and left out of the plan
+        whole = spine.select("*", *[F.lit(None).cast(schema_of("page_spine")[c].dataType).alias(c) for c in missing])
+        return _pages(whole).select("doc_id", *columns)
+    return _pages(scan(files, "page_spine", replace(options or ScanOptions(), contents=contents)))
+
+
+#: Columns of pages that the scan itself has.
+_SPINE = {"page_index", "num", "gen", "parents", "content_error"}
+
+
+def _pages(spine: DataFrame) -> DataFrame:
     box = lambda key: F.when(inherited(key)["kind"] == "array", T.normal_rect(inherited(key)["numbers"]))
     rotate = inherited("Rotate")
     return spine.select(

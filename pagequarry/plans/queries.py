@@ -243,7 +243,7 @@ def q15_page_tree(spark, sf_dir):
 def q16_boxes(spark, sf_dir):
     """Boxes with corners in any order."""
     files = _page_files(spark, sf_dir, lambda x: b"/MediaBox [%s %s -1.5 7]" % (repr(x["l_quantity"]).encode(), repr(x["l_extendedprice"]).encode()))
-    return views.pages(files, contents=False).select(_doc(), "page_index", "media_box.*")
+    return views.pages(files, contents=False, columns=("page_index", "media_box")).select(_doc(), "page_index", "media_box.*")
 
 
 @query(
@@ -258,7 +258,7 @@ def q17_inheritance(spark, sf_dir):
         return box + (b" /Rotate 180" if x["l_linenumber"] % 3 == 0 else b"")
 
     files = _page_files(spark, sf_dir, own, b"/MediaBox [0 0 100 200] /Rotate 90")
-    return views.pages(files, contents=False).select(_doc(), "page_index", (F.col("media_box.urx") - F.col("media_box.llx")).alias("width"), "rotation")
+    return views.pages(files, contents=False, columns=("page_index", "media_box", "rotation")).select(_doc(), "page_index", (F.col("media_box.urx") - F.col("media_box.llx")).alias("width"), "rotation")
 
 
 @query(

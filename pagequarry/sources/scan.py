@@ -14,6 +14,7 @@ import sys
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from pagequarry.operators.dump import DumpOptions, Literal, dump, tagged, to_json
-from pagequarry.sources.content import Operand, operations
+from pagequarry.sources.content import Operand, SharedOperand, operations
 from pagequarry.sources.document import DEFAULT_MAX_STREAM, Document, Stream
 from pagequarry.sources.security import refused
-from pagequarry.sources.syntax import Name, PdfError, Ref
+from pagequarry.sources.syntax import Flat, Name, PdfError, Ref
 from pagequarry.workspace import ship
 
 _MAX = (1 << 63) - 1
@@ -107,7 +108,7 @@ PUSHED = {"objects": ("num", "gen", "kind"), "nodes": ("num", "gen"), "streams":
 
 
 #: Kinds by exact type; ``kind_of`` asks for subclasses only of what is not here.
-_KINDS = {type(None): "null", bool: "bool", int: "int", float: "real", Name: "name", bytes: "string", Ref: "ref", list: "array", dict: "dict", Stream: "stream"}
+_KINDS = {type(None): "null", bool: "bool", int: "int", float: "real", Name: "name", bytes: "string", Ref: "ref", list: "array", dict: "dict", Flat: "dict", Stream: "stream"}
 
 
 def kind_of(value) -> str:
@@ -167,25 +168,65 @@ def _objects(doc: Document, o: ScanOptions) -> Iterator[tuple]:
             yield ref.num, ref.gen, kind, to_json(tagged(doc, value, o.dump)) if o.needs("tagged_json") and not error else None, error
 
 
+def _flat_rows(own: Flat) -> list[tuple]:
+    """Rows of a flat dictionary, counted from it, without its own one."""
+    if own.rows is None:
+        found: list[tuple] = []
+        for pos, (key, value) in enumerate(own.items()):
+            number = len(found) + 1
+            found.append((number, 0, 1, pos, key, *_shown_value(value)))
+            if type(value) is list:
+                found += [(number + 1 + k, number, 2, k, None, *_shown_value(v)) for k, v in enumerate(value)]
+        own.rows = found
+    return own.rows
+
+
+_NO_VALUE = (None,) * 7
+
+
+def _shown_value(own) -> tuple:
+    """Kind and the columns of values of one node."""
+    kind = kind_of(own)
+    if kind == "ref":
+        return kind, None, None, None, None, None, own.num, own.gen
+    if kind == "name":
+        return kind, None, None, None, _shown(own), None, None, None
+    if kind == "int":
+        return kind, None, own, None, None, None, None, None
+    if kind == "real":
+        return kind, None, None, own, None, None, None, None
+    if kind == "string":
+        return kind, None, None, None, None, own, None, None
+    if kind == "bool":
+        return kind, own, None, None, None, None, None, None
+    return kind, *_NO_VALUE
+
+
 def node_rows(value, before: tuple = (), after: tuple = ()) -> Iterator[tuple]:
     """A value and all that is in it, parents first: number, number of the parent, depth, place, key, kind and value, between columns that are the same for all."""
     number, stack = 0, [(value, None, 0, 0, None)]
     while stack:
         own, parent, depth, pos, key = stack.pop()
-        kind = kind_of(own)
-        if kind == "ref":
-            yield *before, number, parent, depth, pos, key, kind, None, None, None, None, None, own.num, own.gen, *after
-        elif kind == "name":
-            yield *before, number, parent, depth, pos, key, kind, None, None, None, _shown(own), None, None, None, *after
-        else:
-            yield (
-                *before, number, parent, depth, pos, key, kind, own if kind == "bool" else None, own if kind == "int" else None,
-                own if kind == "real" else None, None, own if kind == "string" else None, None, None, *after,
-            )
-        if kind in ("array", "dict", "stream"):
-            items = list(enumerate(own)) if kind == "array" else list((own.dict if kind == "stream" else own).items())
+        if type(own) is Flat:
+            yield (*before, number, parent, depth, pos, key, "dict", *_NO_VALUE, *after)
+            rows = _flat_rows(own)
+            if number:
+                for row in rows:
+                    yield (*before, row[0] + number, row[1] + number, row[2] + depth, *row[3:], *after)
+            else:
+                for row in rows:
+                    yield (*before, *row, *after)
+            number += 1 + len(rows)
+            continue
+        yield (*before, number, parent, depth, pos, key, *(shown := _shown_value(own)), *after)
+        kind = shown[0]
+        if kind == "array":
+            for k in range(len(own) - 1, -1, -1):
+                stack.append((own[k], number, depth + 1, k, None))
+        elif kind in ("dict", "stream"):
+            items = list((own.dict if kind == "stream" else own).items())
             for k in range(len(items) - 1, -1, -1):
-                stack.append((items[k][1], number, depth + 1, k, None if kind == "array" else _shown(items[k][0])))
+                stack.append((items[k][1], number, depth + 1, k, _shown(items[k][0])))
         number += 1
 
 
@@ -230,29 +271,41 @@ def _streams(doc: Document, o: ScanOptions) -> Iterator[tuple]:
 PAGE_KEYS = {"MediaBox": True, "CropBox": True, "Rotate": True, "Resources": True, "BleedBox": False, "TrimBox": False, "ArtBox": False}
 
 
-def _attributes(doc: Document, own: dict, depth: int) -> Iterator[dict]:
-    for key, inherited in PAGE_KEYS.items():
-        if key not in own or (depth and not inherited):
-            continue
+def _attributes(doc: Document, own: dict, depth: int) -> list[tuple]:
+    """Attributes of a page or an ancestor: depth, key, kind, numbers, int_val, keys."""
+    out: list[tuple] = []
+    for key in own.keys() & _INHERITED if depth else own.keys() & PAGE_KEYS.keys():
         try:
             value = doc.resolve(own[key])
         except PdfError:
             continue  # what cannot be read does not hide an ancestor's value
-        numbers = None
-        if isinstance(value, list):
-            found = []
+        numbers = keys = None
+        kind = type(value)
+        if kind is list:
+            numbers = []
             for v in value:
-                try:
-                    v = doc.resolve(v)
-                except PdfError:
-                    v = None
-                found.append(float(v) if type(v) in (int, float) else None)
-            numbers = found
-        yield {
-            "depth": depth, "key": key, "kind": kind_of(value), "numbers": numbers,
-            "int_val": value if type(value) is int else None,
-            "keys": [_shown(k) for k in value] if isinstance(value, dict) else None,
-        }
+                if type(v) is Ref:
+                    try:
+                        v = doc.resolve(v)
+                    except PdfError:
+                        v = None
+                numbers.append(float(v) if type(v) in (int, float) else None)
+        elif isinstance(value, dict):
+            keys = [_shown(k) for k in value]
+        out.append((depth, key, kind_of(value), numbers, value if kind is int else None, keys))
+    if len(out) > 1:
+        out.sort(key=_place)
+    return out
+
+
+_INHERITED = {k for k, lent in PAGE_KEYS.items() if lent}
+
+
+def _place(attribute: tuple) -> int:
+    return _PLACE[attribute[1]]
+
+
+_PLACE = {k: n for n, k in enumerate(PAGE_KEYS)}
 
 
 def _contents(doc: Document, page: dict) -> list[bytes]:
@@ -280,14 +333,15 @@ def _pages(doc: Document) -> Iterator[tuple]:
 
 
 def _page_spine(doc: Document, o: ScanOptions) -> Iterator[tuple]:
+    chained = o.needs("parents", "attributes")
     for index, (ref, own) in enumerate(_pages(doc)):
         if not o.holds("page_index", index):
             continue
         attributes, parents = [], []
-        for depth, node in enumerate(doc.chain(own)):
+        for depth, node in enumerate(doc.chain(own, ref) if chained else ()):
             attributes += _attributes(doc, node, depth)
-            if isinstance(node.get("Parent"), Ref):
-                parents.append({"num": node["Parent"].num, "gen": node["Parent"].gen})
+            if type(parent := node.get("Parent")) is Ref:
+                parents.append(parent)
         contents = error = None
         try:
             contents = _contents(doc, own) if o.contents and o.needs("contents", "content_error") else None
@@ -309,21 +363,37 @@ def _plain(literal: str) -> bool:
     return literal.lstrip("-").isdigit() and not (literal.lstrip("-").startswith("0") and len(literal.lstrip("-")) > 1)
 
 
-def operand_row(x: Operand) -> dict:
-    nested = x.kind in ("array", "dict")
-    return {
-        "kind": x.kind, "number": x.value if x.kind == "number" else None, "literal": x.literal,
-        "name": _shown(x.value) if x.kind == "name" else None, "bytes": x.value if x.kind == "string" else None,
-        "bool_val": x.value if x.kind == "bool" else None, "json": to_json(_operand_json(x)) if nested else None,
-    }
+_OPERAND_NAMES = ("kind", "number", "literal", "name", "bytes", "bool_val", "json")
 
 
-def operation_rows(content: bytes) -> Iterator[tuple]:
+def operand_row(x: Operand) -> dict:
+    return dict(zip(_OPERAND_NAMES, operand_values(x), strict=True))
+
+
+def operand_values(x: Operand) -> tuple:
+    """kind, number, literal, name, bytes, bool_val, json."""
+    if type(x) is SharedOperand:
+        if x.row is None:
+            x.row = (x.kind, None, None, None, None, None, to_json(_operand_json(x)))
+        return x.row
+    kind, value, literal = x
+    if kind == "number":
+        return kind, value, literal, None, None, None, None
+    if kind == "name":
+        return kind, None, literal, _shown(value), None, None, None
+    if kind == "string":
+        return kind, None, literal, None, value, None, None
+    if kind == "bool":
+        return kind, None, literal, None, None, value, None
+    return kind, None, literal, None, None, None, to_json(_operand_json(x)) if kind in ("array", "dict") else None
+
+
+def operation_rows(content: bytes, operand: Callable[[Operand], object] = operand_row) -> Iterator[tuple]:
     """op_index, operator, offset, operands, image, error; an error ends the rows."""
     index = 0
     try:
         for index, op in enumerate(operations(content)):
-            yield index, _shown(op.operator), op.offset, [operand_row(x) for x in op.operands], op.image, None
+            yield index, _shown(op.operator), op.offset, [operand(x) for x in op.operands], op.image, None
             index += 1
     except PdfError as e:
         yield index, None, None, None, None, str(e)
@@ -338,7 +408,7 @@ def _content_ops(doc: Document, o: ScanOptions) -> Iterator[tuple]:
         except PdfError as e:
             yield index, 0, None, None, None, None, str(e)
             continue
-        for row in operation_rows(content):
+        for row in operation_rows(content, operand_values):
             yield index, *row
 
 
@@ -509,10 +579,17 @@ def _weight(value) -> int:
     if kind is bytes or kind is str:
         return len(value)
     if kind is dict:
-        return sum(map(_weight, value.values()))
-    if kind is list or kind is tuple:
-        return sum(map(_weight, value))
-    return len(value) if isinstance(value, (bytes, str)) else 0
+        value = value.values()
+    elif kind is not list and kind is not tuple:
+        return len(value) if isinstance(value, (bytes, str)) else 0
+    total = 0
+    for v in value:
+        kind = type(v)
+        if kind is bytes or kind is str:
+            total += len(v)
+        elif kind not in _PLAIN:
+            total += _weight(v)
+    return total
 
 
 _PLAIN = {type(None), int, float, bool}
@@ -531,9 +608,10 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
     arrow = to_arrow_schema(schema)
     names = column_names(table)
     pick = None if schema.names[1:] == names else [names.index(c) for c in schema.names[1:]]
+    picked = None if pick is None or len(pick) < 2 else itemgetter(*pick)
     last = schema.names[-1] if schema.names[-1].endswith("error") else None
-    # numbers and truth values have no bytes to count
-    heavy = [k for k, f in enumerate(arrow) if not pa.types.is_primitive(f.type)]
+    # numbers and truth values have no bytes to count, and a document's name is counted once for each row
+    heavy = [k for k, f in enumerate(arrow) if k and not pa.types.is_primitive(f.type) and f.name != "kind"]
     held: list[tuple] = []
     weight, most = 0, FIRST_ROWS
 
@@ -556,9 +634,11 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
             return packed([r for row in held for r in checked(row)])
 
     for doc_id, doc in opened(files, options):
+        own_weight = len(doc_id or "") + _KIND_BYTES
         for row in rows_in(table, doc, options):
-            row = (doc_id, *row) if pick is None else (doc_id, *[row[k] for k in pick])
+            row = (doc_id, *(row if pick is None else picked(row) if picked else [row[k] for k in pick]))
             held.append(row)
+            weight += own_weight
             for k in heavy:
                 value = row[k]
                 if value is not None:
@@ -570,6 +650,8 @@ def batches_of(files: Iterator[tuple[str, Callable[[], bytes | None]]], table: s
         yield batch()
 
 
+#: Bytes of a column of kinds, about.
+_KIND_BYTES = 5
 _UNFIT = (pa.ArrowException, OverflowError, ValueError, TypeError)
 
 
