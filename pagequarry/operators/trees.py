@@ -1,16 +1,17 @@
 """Trees and graphs of a corpus as joins over ``nodes`` and ``trailer_nodes``.
 
 A vertex is a dictionary (or a stream's, or a kids array that is an object of its own):
-``struct<num, gen, node>``.  An edge leads from a vertex to a kid at a place.  Edges come
-from joins of all documents together.  A depth-first walk that enters every vertex once
-visits it by the smallest of its paths, as arrays of places are ordered; no edge leaves a
-document, so ``walk`` deals edges by document, sorts them there and follows those of one
-document after the other.  Order is the order of paths, so positions are ranks.
+``struct<num, gen, node>``.  An edge leads from a vertex to a kid at a place.  A depth-first
+walk that enters every vertex once visits it by the smallest of its paths, as arrays of
+places are ordered.  No edge leaves a document: trees of the table ``graph`` are followed from
+a document's rows in one task, dealt once unless they come straight from a scan; those of
+``nodes`` take edges from joins, and ``walk`` follows these.  Order is the order of paths, so positions
+are ranks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import groupby
 from operator import itemgetter
@@ -89,17 +90,6 @@ def kid_edges(nodes: DataFrame, key: str = "Kids") -> DataFrame:
     return _elements(nodes, own.select("doc_id", vertex("num", "gen", "parent_id").alias("p"), array.alias("array")))
 
 
-def structure_edges(nodes: DataFrame) -> DataFrame:
-    """Edges of /K: an array or a single dictionary; an array that is an object of its own is a vertex, entered once."""
-    own = nodes.where("key = 'K'").select("doc_id", vertex("num", "gen", "parent_id").alias("p"), vertex("num", "gen", "node_id").alias("at"), *VALUES)
-    kids = lambda found, step: found.select("doc_id", "p", F.lit(0).alias("pos"), F.col("to").alias("v"), F.lit(step).alias("step"), (F.col("kind") == "ref").alias("by_ref"))
-    arrays = led_to(nodes, own, ("array",))
-    inside = arrays.where("kind = 'array'").select("doc_id", "p", F.col("to").alias("array"))
-    apart = arrays.where("kind = 'ref'")
-    held = apart.select("doc_id", F.col("to").alias("p"), F.col("to").alias("array")).distinct()
-    return kids(led_to(nodes, own, ("dict",)), 1).unionByName(kids(apart, 0)).unionByName(_elements(nodes, sorted_join(inside.unionByName(held))))
-
-
 def walk(edges: DataFrame, roots: DataFrame, root_is_seen: bool) -> DataFrame:
     """doc_id, v, path and depth of every vertex that a walk from the roots enters, the root first.
 
@@ -196,10 +186,183 @@ def _ranked(rows: DataFrame, name: str, *order: str) -> DataFrame:
 
 # --- page, name and structure trees ------------------------------------------
 
+#: Columns of the graph that a document's trees are followed by, and what stands for a missing number: which ones are missing is told by kind and node_id.
+GRAPH_COLUMNS = ["trailer_ord", "num", "gen", "node_id", "parent_id", "pos", "key", "kind", "int_val", "name_val", "ref_num", "ref_gen"]
+_NO_NUMBER = -1
+
+
+class _Objects:
+    """The objects of one document, from its rows: vertices are (num, gen, node), entries and elements (vertex, kind, name, reference, number)."""
+
+    __slots__ = ("tops", "entries", "elements", "root")
+
+    def __init__(self, rows: Iterator[tuple]):
+        self.tops: dict[tuple, tuple] = {}
+        self.entries: dict[tuple, dict] = {}
+        self.elements: dict[tuple, list] = {}
+        roots = []
+        for _, trailer, num, gen, node, parent, pos, key, kind, number, name, ref_num, ref_gen in rows:
+            ref = (ref_num, ref_gen) if kind == "ref" else None
+            if trailer != _NO_NUMBER:
+                roots.append((trailer, kind, ref))
+            elif node == 0:
+                self.tops[num, gen] = (kind, name)
+            elif key is None:
+                self.elements.setdefault((num, gen, parent), []).append((pos, (num, gen, node), kind, ref))
+            else:
+                own = self.entries.get((num, gen, parent))
+                if own is None:
+                    own = self.entries[num, gen, parent] = {}
+                own[key] = ((num, gen, node), kind, name, ref, number)
+        # of the newest trailer that has one
+        self.root = min(roots)[2] if roots else None
+
+    def led_to(self, at: tuple, kind: str, ref: tuple | None, kinds: tuple[str, ...]) -> tuple | None:
+        """The vertex that a value is or refers to, if that is of one of some kinds."""
+        if kind == "ref":
+            return (*ref, 0) if self.tops.get(ref, _NOTHING)[0] in kinds else None
+        return at if kind in kinds else None
+
+    def entry(self, v: tuple, key: str, kinds: tuple[str, ...]) -> tuple | None:
+        found = self.entries.get(v, _EMPTY).get(key)
+        return self.led_to(found[0], found[1], found[3], kinds) if found else None
+
+    def name(self, v: tuple, key: str) -> str | None:
+        """An entry that is or refers to a name."""
+        found = self.entries.get(v, _EMPTY).get(key)
+        if found is None:
+            return None
+        kind, name = self.tops.get(found[3], _NOTHING) if found[1] == "ref" else found[1:3]
+        return name if kind == "name" else None
+
+    def from_catalog(self, key: str, kinds: tuple[str, ...]) -> tuple | None:
+        return self.entry((*self.root, 0), key, kinds) if self.root else None
+
+    def edges(self, array: tuple) -> list[tuple]:
+        """Edges to the dictionaries among an array's elements, the last one first."""
+        found = ((pos, self.led_to(at, kind, ref, ("dict", "stream")), 1, kind == "ref") for pos, at, kind, ref in self.elements.get(array, ()))
+        return sorted((e for e in found if e[1]), reverse=True)
+
+
+_NOTHING, _EMPTY = (None, None), {}
+
+
+class _PageEdges:
+    """Edges of /Kids, made where a walk asks for them."""
+
+    def __init__(self, objects: _Objects):
+        self.objects = objects
+
+    def get(self, v: tuple, default=()) -> list[tuple]:
+        found = self.objects.entries.get(v, _EMPTY).get("Kids")
+        if found is None or found[1] not in ("array", "ref"):
+            return default
+        return self.objects.edges((*found[3], 0) if found[1] == "ref" else found[0])
+
+
+class _StructureEdges(_PageEdges):
+    """Edges of /K: an array or a single dictionary; an array that is an object of its own is a vertex, entered once."""
+
+    def get(self, v: tuple, default=()) -> list[tuple]:
+        o = self.objects
+        found = o.entries.get(v, _EMPTY).get("K")
+        if found is None:
+            return o.edges(v) if o.tops.get(v[:2], _NOTHING)[0] == "array" and not v[2] else default
+        at, kind, _, ref, _ = found
+        if kind == "array":
+            return o.edges(at)
+        to = o.led_to(at, kind, ref, ("dict", "array"))
+        return [(0, to, 0 if o.tops.get(ref, _NOTHING)[0] == "array" else 1, kind == "ref")] if to else default
+
+
+def _pages_of(o: _Objects, carried: tuple[str, ...]) -> Iterator[tuple]:
+    """page_index, num, gen, node, depth and carried numbers of a document's pages."""
+    root = o.from_catalog("Pages", ("dict", "stream"))
+    if root is None:
+        return
+    edges = _PageEdges(o)
+    # kids that are no objects of their own count as often as a node that was entered holds them, see _with_copies
+    level = [e for e in _entered(edges, root, True) if not e[0][2] or e[0] == root]
+    found = list(level)
+    for _ in range(_LEVELS):
+        level = [(w, (*path, pos), depth + 1) for v, path, depth in level if depth < MAX_DEPTH for pos, w, _, by_ref in edges.get(v) if not by_ref and w != root]
+        if not level:
+            break
+        found += level
+    found.sort(key=itemgetter(1))
+    index = 0
+    for v, _, depth in found:
+        own = o.entries.get(v, _EMPTY)
+        if "Kids" in own or "Count" in own or o.name(v, "Type") == "Pages":
+            continue
+        numbers = (own[k][4] if k in own and own[k][1] == "int" else None for k in carried)
+        yield (index, *((None, None) if v[2] else v[:2]), v[2], depth, *numbers)
+        index += 1
+
+
+def _structure_of(o: _Objects) -> Iterator[tuple]:
+    """ord, depth, role and mapped_role of a document's structure elements."""
+    root = o.from_catalog("StructTreeRoot", ("dict",))
+    if root is None:
+        return
+    roles = o.entry(root, "RoleMap", ("dict",))
+    mapped = {k: e[2] for k, e in o.entries.get(roles, _EMPTY).items() if e[1] == "name"}
+    order = 0
+    for v, _, depth in _entered(_StructureEdges(o), root, False):
+        # kids arrays are vertices, but no elements
+        if not v[2] and o.tops.get(v[:2], _NOTHING)[0] == "array":
+            continue
+        role = o.name(v, "S") or o.name(v, "Type") or ""
+        yield order, depth, role, mapped.get(role)
+        order += 1
+
+
+def _by_document(batches: Iterator[pa.RecordBatch], rows_of: Callable[[_Objects], Iterator[tuple]], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows of one document after the other; the rows of each stand together."""
+
+    def column(c: pa.Array) -> list:
+        return (c.fill_null(_NO_NUMBER) if pa.types.is_integer(c.type) else c).to_numpy(zero_copy_only=False).tolist()
+
+    rows = (row for batch in batches for row in zip(*map(column, batch.columns), strict=True))
+    types = {"doc_id": pa.string(), **types}
+    packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.values(), strict=True)], names=list(types))
+    held: list[tuple] = []
+    for doc_id, own in groupby(rows, key=itemgetter(0)):
+        for row in rows_of(_Objects(own)):
+            held.append((doc_id, *row))
+            if len(held) >= _BATCH_ROWS:
+                yield packed()
+                held = []
+    if held:
+        yield packed()
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def _followed(graph: DataFrame, wanted: Column, rows_of: Callable[[_Objects], Iterator[tuple]], columns: dict[str, str], together: bool) -> DataFrame:
+    """What a document's own rows of the graph lead to; the wanted ones are dealt by document unless they stand ``together``."""
+    ship(graph.sparkSession)
+    root = "trailer_ord is not null and parent_id = 0 and key = 'Root'"
+    rows = graph.where(F.col("node_id").isNotNull() & (F.expr(root) | (F.col("trailer_ord").isNull() & wanted))).select("doc_id", *GRAPH_COLUMNS)
+    if not together:
+        rows = rows.repartition("doc_id").sortWithinPartitions("doc_id")
+    run = partial(_by_document, rows_of=rows_of, types={k: _ARROW[v] for k, v in columns.items()})
+    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in {"doc_id": "string", **columns}.items()))
+
+
+def whole_graph(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
+    """Rows of ``nodes`` and ``trailer_nodes`` as those of ``graph``."""
+    own = [c for c in GRAPH_COLUMNS if c != "trailer_ord"]
+    missing = lambda *names: [F.lit(None).cast("bigint").alias(c) for c in names]
+    ends = trailer_nodes.select("doc_id", "trailer_ord", *missing("num", "gen"), *[c for c in own if c not in ("num", "gen")])
+    return ends.unionByName(nodes.select("doc_id", F.lit(None).cast("int").alias("trailer_ord"), *own))
+
 
 def page_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     """Pages in order: doc_id, page_index, num and gen (null for a page inside another object), node, depth.
 
+    By joins over all documents; ``page_tree_of`` follows each document in one task.
     ``nodes`` is read several times: hand a stored table, or one of ``stage``.
     """
     roots = led_to(nodes, entry_of(nodes, catalogs(trailer_nodes), "Pages"), ("dict", "stream")).select("doc_id", F.col("to").alias("v"), F.col("kind").alias("how"))
@@ -218,6 +381,16 @@ def page_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     )
 
 
+def page_tree_of(graph: DataFrame, carried: tuple[str, ...] = (), together: bool = False) -> DataFrame:
+    """:func:`page_tree` from the table ``graph``, with pages' own entries that are integers, by ``carried`` keys.
+
+    ``together``: the rows of a document stand together, as those of a scan do, so that nothing moves between tasks.
+    """
+    columns = {"page_index": "int", "num": "bigint", "gen": "bigint", "node": "int", "depth": "int", **{k: "bigint" for k in carried}}
+    wanted = F.col("key").isNull() | F.col("key").isin("Pages", "Kids", "Count", "Type", *carried)
+    return _followed(graph, wanted, partial(_pages_of, carried=carried), columns, together)
+
+
 def name_tree(nodes: DataFrame, trailer_nodes: DataFrame, key: str = "EmbeddedFiles") -> DataFrame:
     """Entries of one of the catalog's name trees in order: doc_id, ord, name_bytes, spec (the vertex of its dictionary)."""
     names = led_to(nodes, entry_of(nodes, catalogs(trailer_nodes), "Names")).select("doc_id", F.col("to").alias("v"))
@@ -251,22 +424,13 @@ def structure_tree(nodes: DataFrame, trailer_nodes: DataFrame) -> DataFrame:
     A kids array that is an object is entered by the first /K that names it; that it
     may also stand, without effect, among the kids of an element does not count.
     """
-    roots = stage_rows(led_to(nodes, entry_of(nodes, catalogs(trailer_nodes), "StructTreeRoot")).select("doc_id", F.col("to").alias("v")), "structure-roots")
-    seen = walk(structure_edges(nodes), roots, root_is_seen=False)
-    # kids arrays are vertices, but no elements
-    arrays = nodes.where("node_id = 0 and kind = 'array'").select("doc_id", vertex("num", "gen", F.lit(0)).alias("v"))
-    seen = stage_rows(seen.join(arrays, ["doc_id", "v"], "left_anti"), "structure-elements")
-    names = nodes.where("node_id = 0 and kind = 'name'").select("doc_id", F.col("num").alias("ref_num"), F.col("gen").alias("ref_gen"), F.col("name_val").alias("far"))
-
-    def role_by(key: str) -> DataFrame:
-        own = nodes.where((F.col("key") == key) & F.col("kind").isin("name", "ref")).select("doc_id", vertex("num", "gen", "parent_id").alias("v"), "name_val", "ref_num", "ref_gen")
-        return sorted_join(own.join(names, ["doc_id", "ref_num", "ref_gen"], "left").select("doc_id", "v", F.coalesce("name_val", "far").alias(key)).where(F.col(key) != ""))
-
-    named = seen.join(role_by("S"), ["doc_id", "v"], "left").join(role_by("Type"), ["doc_id", "v"], "left").withColumn("role", F.coalesce("S", "Type", F.lit("")))
-    maps = led_to(nodes, entry_of(nodes, roots, "RoleMap")).select("doc_id", F.col("to").alias("v"))
-    own = nodes.where("kind = 'name' and key is not null").select("doc_id", vertex("num", "gen", "parent_id").alias("v"), F.col("key").alias("role"), F.col("name_val").alias("mapped_role"))
-    mapped = sorted_join(own.join(maps, ["doc_id", "v"]).select("doc_id", "role", "mapped_role"))
-    return _ranked(named.join(mapped, ["doc_id", "role"], "left"), "ord", "path").select("doc_id", "ord", "depth", "role", "mapped_role")
+    return structure_tree_of(whole_graph(nodes, trailer_nodes))
+
+
+def structure_tree_of(graph: DataFrame, together: bool = False) -> DataFrame:
+    """:func:`structure_tree` of the table ``graph``; ``together`` as for :func:`page_tree_of`."""
+    wanted = F.col("kind").isin("dict", "stream", "array", "ref", "name")
+    return _followed(graph, wanted, _structure_of, {"ord": "int", "depth": "int", "role": "string", "mapped_role": "string"}, together)
 
 
 # --- reachability -----------------------------------------------------------

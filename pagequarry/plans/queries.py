@@ -767,8 +767,8 @@ def q54_structure_graph(spark, sf_dir):
         kids = b" ".join(b"%d 0 R" % n for n in range(10, 10 + len(r["orders"])))
         return P.Writer().classic({**objects, 3: b"<</Type /StructTreeRoot /RoleMap 4 0 R /K 5 0 R>>", 5: b"[%s %s]" % (kids, kids)}).out
 
-    nodes, trailers = _graph(files_of(rows, "o_custkey", write))
-    return trees.structure_tree(nodes, trailers).select(_doc(), "ord", "depth", "role", "mapped_role")
+    graph = scan(files_of(rows, "o_custkey", write), "graph", columns=trees.GRAPH_COLUMNS)
+    return trees.structure_tree_of(graph, together=True).select(_doc(), "ord", "depth", "role", "mapped_role")
 
 
 @query(
