@@ -721,9 +721,8 @@ def q52_page_graph(spark, sf_dir):
         return P.Writer().classic({**objects, 2: b"<</Type /Pages /Kids 3 0 R>>", **leaves}).out
 
     rows = _orders_with_lines(spark, sf_dir).select("l_orderkey", F.col("lines.l_linenumber").alias("lines"))
-    nodes, trailers = _graph(files_of(rows, "l_orderkey", write))
-    lines = nodes.where("key = 'Line'").select("doc_id", "num", "gen", F.col("int_val").alias("line"))
-    return trees.page_tree(nodes, trailers).join(lines, ["doc_id", "num", "gen"]).select(_doc(), "page_index", "line")
+    graph = scan(files_of(rows, "l_orderkey", write), "graph", columns=trees.GRAPH_COLUMNS)
+    return trees.page_tree_of(graph, carried=("Line",), together=True).select(_doc(), "page_index", F.col("Line").alias("line"))
 
 
 @query(
