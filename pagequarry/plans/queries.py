@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +71,39 @@ def files_of(rows: DataFrame, key: str, write: Callable[[dict], bytes] | None =
     return rows.mapInArrow(run, "doc_id string, content binary")
 
 
+def grouped_files(rows: DataFrame, key: str, order: list[str], columns: list[str], name: str, write: Callable[[dict], bytes]) -> DataFrame:
+    """One file per key, as (doc_id, content): ``write`` takes the key and, under a name, the rows of it in order.
+
+    Rows are dealt by key once and sorted there, so that a key's rows stand together and are no value of their own.
+    """
+    spark = rows.sparkSession
+    # more tasks than cores where there is much, as a task sorts all of its rows
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(tasks, key).sortWithinPartitions(key, *order).select(key, *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, contents, size = [], [], 0
+        packed = lambda: pa.RecordBatch.from_pydict({"doc_id": ids, "content": pa.array(contents, pa.binary())})
+        each = (row for b in batches for row in zip(*(_plain_values(c) for c in b.columns), strict=True))
+        for own, found in groupby(each, key=itemgetter(0)):
+            body = write({key: own, name: [dict(zip(columns, row[1:], strict=True)) for row in found]})
+            ids.append(str(own))
+            contents.append(body)
+            size += len(body)
+            if len(ids) >= 200 or size >= FILES_BYTES:
+                yield packed()
+                ids, contents, size = [], [], 0
+        if ids:
+            yield packed()
+
+    return dealt.mapInArrow(run, "doc_id string, content binary")
+
+
+def _plain_values(column: pa.Array) -> list:
+    """Values as Python has them, nulls too; columns of numbers without nulls at once."""
+    return column.to_pylist() if column.null_count or not pa.types.is_primitive(column.type) or pa.types.is_temporal(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _doc(name: str = "doc_id"):
     return F.col("doc_id").cast("long").alias(name)
 
@@ -206,16 +241,21 @@ def q14_heuristics(spark, sf_dir):
 # --- pages ---
 
 
-def _orders_with_lines(spark, sf_dir) -> DataFrame:
-    line = F.struct("l_linenumber", "l_extendedprice", "l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+def _lines_files(spark, sf_dir, columns: list[str], write: Callable[[dict], bytes]) -> DataFrame:
+    """One file per order; ``write`` takes its number and its lines, in order, of the columns asked for."""
+    # all columns of the order are sorted by, so lines of one number have one order
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE)
+    return grouped_files(rows, "l_orderkey", _LINE, columns, "lines", write)
+
+
+_LINE = ["l_linenumber", "l_extendedprice", "l_quantity"]
 
 
 _LINES = "WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity) - 1 AS INTEGER) AS page_index FROM lineitem) "
 
 
 def _page_files(spark, sf_dir, attributes: Callable[[dict], bytes], root: bytes = b"") -> DataFrame:
-    return files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", lambda r: P.page_file([(attributes(x), []) for x in r["lines"]], root))
+    return _lines_files(spark, sf_dir, _LINE, lambda r: P.page_file([(attributes(x), []) for x in r["lines"]], root))
 
 
 @query("SELECT l_orderkey AS doc_id, CAST(count(*) AS INTEGER) AS page_count FROM lineitem GROUP BY l_orderkey")
@@ -233,7 +273,7 @@ def q15_page_tree(spark, sf_dir):
         objects[2] = b"<</Type /Pages /Count %d /Kids [%s]>>" % (n, b" ".join(b"%d 0 R" % (10 + k) for k in range(len(groups))))
         return P.Writer().classic(objects).out
 
-    return scan(files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", write), "documents", columns=["page_count"]).select(_doc(), "page_count")
+    return scan(_lines_files(spark, sf_dir, ["l_linenumber"], write), "documents", columns=["page_count"]).select(_doc(), "page_count")
 
 
 @query(
@@ -268,7 +308,7 @@ def q17_inheritance(spark, sf_dir):
 def q18_rotation(spark, sf_dir):
     """Negative, large and odd rotations."""
     files = _page_files(spark, sf_dir, lambda x: b"/Rotate %d" % (90 * x["l_linenumber"] - 180 + 45 * (x["l_linenumber"] % 4 == 3)))
-    return views.pages(files, contents=False).select(_doc(), "page_index", "rotation")
+    return views.pages(files, contents=False, columns=("page_index", "rotation")).select(_doc(), "page_index", "rotation")
 
 
 @query(
@@ -397,7 +437,7 @@ def q27_shown_text(spark, sf_dir):
 def q28_marked_content(spark, sf_dir):
     """Marked-content numbers."""
     write = lambda r: P.page_file([(b"", [b"\n".join(b"/P <</MCID %d>> BDC EMC" % x["l_linenumber"] for x in r["lines"])])])
-    ops = scan(files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", write), "content_ops").where("operator = 'BDC'")
+    ops = scan(_lines_files(spark, sf_dir, ["l_linenumber"], write), "content_ops", columns=["operator", "operands"]).where("operator = 'BDC'")
     return ops.select(_doc(), F.get_json_object(F.get("operands", 1)["json"], "$.MCID.number").cast("long").alias("mcid"))
 
 
@@ -468,7 +508,7 @@ def q32_dump(spark, sf_dir):
 @query("SELECT l_orderkey AS doc_id, CAST(2 + 2 * count(*) AS BIGINT) AS n_objects, count(*) AS n_streams FROM lineitem GROUP BY l_orderkey")
 def q33_object_counts(spark, sf_dir):
     """Live objects and streams of each file."""
-    files = files_of(_orders_with_lines(spark, sf_dir), "l_orderkey", lambda r: P.page_file([(b"", [b"q Q"]) for _ in r["lines"]]))
+    files = _lines_files(spark, sf_dir, ["l_linenumber"], lambda r: P.page_file([(b"", [b"q Q"]) for _ in r["lines"]]))
     counts = scan(files, "objects", columns=["kind", "error"]).where("error is null").groupBy("doc_id")
     return counts.agg(F.count("*").alias("n_objects"), F.count_if(F.col("kind") == "stream").alias("n_streams")).select(_doc(), "n_objects", "n_streams")
 
@@ -713,15 +753,14 @@ def q52_page_graph(spark, sf_dir):
 
     def write(r):
         objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 3: b"[]"}
-        leaves = {100 + k: b"<</Type /Page /Line %d>>" % x for k, x in enumerate(r["lines"])}
+        leaves = {100 + k: b"<</Type /Page /Line %d>>" % x["l_linenumber"] for k, x in enumerate(r["lines"])}
         names = [b"%d 0 R" % k for k in leaves]
         groups = [names[k : k + 2] for k in range(0, len(names), 2)]
         objects |= {10 + k: b"<</Type /Pages /Kids [%s %s]>>" % (b" ".join(own), own[0]) for k, own in enumerate(groups)}
         objects[3] = b"[%s 2 0 R]" % b" ".join(b"%d 0 R" % (10 + k) for k in range(len(groups)))
         return P.Writer().classic({**objects, 2: b"<</Type /Pages /Kids 3 0 R>>", **leaves}).out
 
-    rows = _orders_with_lines(spark, sf_dir).select("l_orderkey", F.col("lines.l_linenumber").alias("lines"))
-    graph = scan(files_of(rows, "l_orderkey", write), "graph", columns=trees.GRAPH_COLUMNS)
+    graph = scan(_lines_files(spark, sf_dir, ["l_linenumber"], write), "graph", columns=trees.GRAPH_COLUMNS)
     return trees.page_tree_of(graph, carried=("Line",), together=True).select(_doc(), "page_index", F.col("Line").alias("line"))
 
 
