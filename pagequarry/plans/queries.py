@@ -76,10 +76,8 @@ def grouped_files(rows: DataFrame, key: str, order: list[str], columns: list[str
 
     Rows are dealt by key once and sorted there, so that a key's rows stand together and are no value of their own.
     """
-    spark = rows.sparkSession
-    # more tasks than cores where there is much, as a task sorts all of its rows
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(tasks, key).sortWithinPartitions(key, *order).select(key, *columns)
+    # as many tasks as cores, as in files_of: each of more would start Python anew, and sorting spills
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key, *order).select(key, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, contents, size = [], [], 0
